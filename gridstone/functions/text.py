@@ -1,15 +1,20 @@
 """Answer extraction and normalization as native column expressions.
 
 No per-row Python: every step is a regex / string expression that stays in
-whole-stage codegen.  Regexes avoid ``\\d``/``\\s`` (Unicode in Python, ASCII in
-Java and RE2) in favour of explicit classes.  Balanced ``\\boxed{...}`` groups
-are matched by a regex of bounded nesting depth (``BOX_DEPTH``); deeper
-nesting is not recognised.
+whole-stage codegen.  Multi-step extractions are applied as *staged* columns
+(``add_*`` helpers) so that each expensive regex over a whole text runs once:
+Catalyst does not collapse projections that would repeat a non-cheap
+expression.
+
+Regexes avoid ``\\d``/``\\s`` (Unicode in Python, ASCII in Java and RE2) in
+favour of explicit classes.  Balanced ``\\boxed{...}`` groups are matched by a
+regex of bounded nesting depth (``BOX_DEPTH``); deeper nesting is not
+recognised, and outer braces are stripped at most 6 times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.functions.features import WS, WS_CHARS
@@ -33,47 +38,45 @@ ANSWER_NEXT_LINE = (
 )
 FENCED = "(?is)```(?:python)?" + WS + "*(.*?)```"
 DEF_START = "(?s)(def" + WS + "+[a-zA-Z_][a-zA-Z0-9_]*" + WS + "*\\(.*)"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+EQUATION = "(?is)(?:^|[" + WS_CHARS + ",.;:])(?:[a-z]|answer|value)" + WS + "*=" + WS + "*(.+)$"
+FRAC = "(\\\\[dt]?frac" + WS + "*\\{[^{}]+\\}" + WS + "*\\{[^{}]+\\})"
+FRAC_FULL = "^([-+]?)\\\\frac\\{([-+]?[0-9]+)\\}\\{([-+]?[0-9]+)\\}$"
+DEC_FULL = "^[-+]?[0-9]+(?:\\.[0-9]+)?$"
+MAX_DIGITS = 18
+LATEX_REPLACEMENTS = (("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"), ("\\,", ""), ("\\!", ""),
+                      ("\\dfrac", "\\frac"), ("\\tfrac", "\\frac"))
+
 
+# ---------------------------------------------------------------------------
+# single-step expressions
+# ---------------------------------------------------------------------------
 
 def pystrip(c: Column) -> Column:
     """Python ``str.strip()``: trim the whole whitespace set at both ends."""
     return F.regexp_replace(c, "^" + WS + "+|" + WS + "+$", "")
 
 
-def nonblank(c: Column) -> Column:
-    """Null for null or blank strings."""
-    return F.when(F.length(pystrip(c)) > 0, c)
+def blank_to_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
-def last_boxed(text: Column) -> Column:
-    """Content of the last ``\\boxed{..}``, stripped; null when none or blank.
-    A box nested inside the last outer box wins (re-applied to its own result)."""
+def last_match(c: Column, pattern: str) -> Column:
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), 1), F.lit(-1))
 
-    def once(t: Column) -> Column:
-        return F.try_element_at(F.regexp_extract_all(t, F.lit(BOXED), 1), F.lit(-1))
 
-    first = once(text)
-    second = F.coalesce(once(first), first)
-    third = F.coalesce(once(second), second)
-    return nonblank(pystrip(third))
+def strip_chars(c: Column, chars: str) -> Column:
+    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
+    return F.regexp_replace(c, "^" + cls + "+|" + cls + "+$", "")
 
 
 def strip_markdown(c: Column) -> Column:
-    v = pystrip(c)
-    v = F.regexp_replace(v, "^[-*" + WS_CHARS + "]+", "")
-    v = F.regexp_replace(F.regexp_replace(v, "\\*\\*", ""), "__", "")
-    return pystrip(v)
+    v = F.regexp_replace(pystrip(c), "^[-*" + WS_CHARS + "]+", "")
+    return pystrip(F.regexp_replace(F.regexp_replace(v, "\\*\\*", ""), "__", ""))
 
 
-def _marker(text: Column, pattern: str) -> Column:
-    got = F.regexp_extract(text, pattern, 1)
-    return F.when(got != "", nonblank(strip_markdown(got)))
-
-
-def marked_answer(text_col: str = "output_text") -> Column:
-    """G1: last boxed; else first ``#### x``, ``answer: x``, ``answer:\\n x`` (markdown stripped)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return F.coalesce(last_boxed(t), _marker(t, HASH_MARK), _marker(t, ANSWER_INLINE), _marker(t, ANSWER_NEXT_LINE))
+def marker_answer(t: Column, pattern: str) -> Column:
+    return blank_to_null(strip_markdown(F.regexp_extract(t, pattern, 1)))
 
 
 def normalize_number(c: Column) -> Column:
@@ -81,22 +84,7 @@ def normalize_number(c: Column) -> Column:
     raw = F.regexp_replace(F.regexp_extract(c, NUMBER, 0), ",", "")
     trimmed = F.regexp_replace(F.regexp_replace(raw, "0+$", ""), "\\.$", "")
     norm = F.when(F.instr(raw, ".") > 0, F.when(trimmed == "", F.lit("0")).otherwise(trimmed)).otherwise(raw)
-    return F.when(F.regexp_extract(c, NUMBER, 0) != "", norm)
-
-
-def numeric_answer(text_col: str = "output_text") -> Column:
-    """First number of the marked answer, else last number of the text."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    m = marked_answer(text_col)
-    from_marked = F.when(m.isNotNull(), normalize_number(m))
-    last = F.try_element_at(F.regexp_extract_all(t, F.lit("(" + NUMBER + ")"), 1), F.lit(-1))
-    return F.coalesce(from_marked, normalize_number(last))
-
-
-def final_answer(text_col: str = "output_text") -> Column:
-    """Marked answer, else the stripped text (null when blank)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return F.coalesce(marked_answer(text_col), nonblank(pystrip(t)))
+    return F.when(raw != "", norm)
 
 
 def normalize_text(c: Column) -> Column:
@@ -104,100 +92,95 @@ def normalize_text(c: Column) -> Column:
     return pystrip(F.regexp_replace(F.lower(c), WS + "+", " "))
 
 
-def code_block(text_col: str = "output_text") -> Column:
-    """Last fenced block (stripped), else text from the first ``def name(``."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    fenced = F.try_element_at(F.regexp_extract_all(t, F.lit(FENCED), 1), F.lit(-1))
-    start = F.regexp_extract(t, DEF_START, 1)
-    return F.when(fenced.isNotNull(), nonblank(pystrip(fenced))).otherwise(F.when(start != "", nonblank(pystrip(start))))
+def strip_brace_round(c: Column) -> Column:
+    wrapped = c.rlike("^\\{" + balanced() + "\\}$")
+    return F.when(wrapped, F.regexp_replace(c, "^\\{|\\}$", "")).otherwise(c)
 
 
-# --------------------------------------------------------------------------
-# math (G3)
-# --------------------------------------------------------------------------
+# ---------------------------------------------------------------------------
+# staged transforms
+# ---------------------------------------------------------------------------
 
-EQUATION = "(?is)(?:^|[" + WS_CHARS + ",.;:])(?:[a-z]|answer|value)" + WS + "*=" + WS + "*(.+)$"
-FRAC = "(\\\\[dt]?frac" + WS + "*\\{[^{}]+\\}" + WS + "*\\{[^{}]+\\})"
+def add_last_boxed(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """Content of the last ``\\boxed{..}`` of ``src``, stripped; null when none or blank.
+    A box nested inside the last outer box wins (extraction re-applied to its result)."""
+    df = df.withColumn(dst + "_1", last_match(F.col(src), BOXED))
+    df = df.withColumn(dst + "_2", F.coalesce(last_match(F.col(dst + "_1"), BOXED), F.col(dst + "_1")))
+    df = df.withColumn(dst + "_3", F.coalesce(last_match(F.col(dst + "_2"), BOXED), F.col(dst + "_2")))
+    return df.withColumn(dst, blank_to_null(pystrip(F.col(dst + "_3")))).drop(dst + "_1", dst + "_2", dst + "_3")
 
 
-def _strip_chars(c: Column, chars: str) -> Column:
-    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
-    return F.regexp_replace(c, "^" + cls + "+|" + cls + "+$", "")
-
-
-def math_output_answer(text_col: str = "output_text") -> Column:
-    """Marked answer; else the last line holding ``x = ..``; else last ``\\frac{..}{..}``;
-    else last number; else the stripped text."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda ln: F.length(pystrip(ln)) > 0)
-    stripped = F.transform(lines, lambda ln: _strip_chars(pystrip(ln), "$"))
-    eq = F.transform(stripped, lambda ln: F.regexp_extract(ln, EQUATION, 1))
-    eq_hits = F.filter(eq, lambda x: x != "")
-    eq_last = F.try_element_at(eq_hits, F.lit(-1))
-    eq_ans = _strip_chars(pystrip(eq_last), "$.,;:")
-    frac = F.try_element_at(F.regexp_extract_all(t, F.lit(FRAC), 1), F.lit(-1))
-    num = F.try_element_at(F.regexp_extract_all(t, F.lit("(" + NUMBER + ")"), 1), F.lit(-1))
-    return F.coalesce(marked_answer(text_col), F.when(eq_last.isNotNull(), eq_ans), frac, num, nonblank(pystrip(t)))
-
-
-def _outer_wrapped(c: Column) -> Column:
-    """True when ``c`` is ``{...}`` with the first brace closing at the end (bounded depth)."""
-    return c.rlike("^\\{" + balanced() + "\\}$")
-
-
-def strip_braces(c: Column, rounds: int = 3) -> Column:
-    out = c
-    for _ in range(rounds):
-        out = F.when(_outer_wrapped(out), F.regexp_replace(out, "^\\{|\\}$", "")).otherwise(out)
-    return out
-
-
-def normalize_math(c: Column) -> Column:
-    """G3 normalization of an answer string (null when blank)."""
-    boxed = last_boxed(c)
-    t = pystrip(F.coalesce(boxed, c))
-    t = F.when(F.length(t) > 0, t)
-    t = F.replace(t, F.lit("$"), F.lit(""))
-    for a, b in (("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"), ("\\,", ""), ("\\!", ""),
-                 ("\\dfrac", "\\frac"), ("\\tfrac", "\\frac")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, WS + "+", "")
-    t = strip_braces(t)
-    after_eq = strip_braces(F.try_element_at(F.split(t, "=", F.lit(-1)), F.lit(-1)))
-    t = F.when(F.instr(t, "=") > 0, after_eq).otherwise(t)
-    t = F.regexp_replace(t, "\\\\?%$", "")
-    t = F.lower(t)
-    return F.when(F.length(t) > 0, t)
+def add_marked_answer(df: DataFrame, text_col: str, dst: str = "_marked") -> DataFrame:
+    """G1: last boxed; else first ``#### x``, ``answer: x``, ``answer:\\n x`` (markdown stripped)."""
+    df = df.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = add_last_boxed(df, "_t", "_boxed")
+    t = F.col("_t")
+    return df.withColumn(dst, F.coalesce(F.col("_boxed"), marker_answer(t, HASH_MARK), marker_answer(t, ANSWER_INLINE),
+                                         marker_answer(t, ANSWER_NEXT_LINE))).drop("_boxed")
+
+
+def add_text_answers(df: DataFrame, text_col: str = "output_text") -> DataFrame:
+    """All answer candidates of a text, each regex over the text run once:
+    ``_t, _marked, _lastnum, _numeric, _stripped, _final, _code, _math_raw``."""
+    df = add_marked_answer(df, text_col, "_marked")
+    t, mk = F.col("_t"), F.col("_marked")
+    df = df.withColumn("_lastnum", last_match(t, "(" + NUMBER + ")"))
+    df = df.withColumn("_numeric", F.coalesce(F.when(mk.isNotNull(), normalize_number(mk)), normalize_number(F.col("_lastnum"))))
+    df = df.withColumn("_stripped", blank_to_null(pystrip(t)))
+    df = df.withColumn("_final", F.coalesce(mk, F.col("_stripped")))
+    # G5 code block: last fenced block, else from the first ``def name(``
+    df = df.withColumn("_fenced", last_match(t, FENCED))
+    df = df.withColumn("_code", F.when(F.col("_fenced").isNotNull(), blank_to_null(pystrip(F.col("_fenced"))))
+                       .otherwise(blank_to_null(pystrip(F.regexp_extract(t, DEF_START, 1))))).drop("_fenced")
+    # G3 math output answer
+    lines = F.filter(F.split(t, LINE_BREAK), lambda ln: F.length(pystrip(ln)) > 0)
+    eq = F.filter(F.transform(lines, lambda ln: F.regexp_extract(strip_chars(pystrip(ln), "$"), EQUATION, 1)), lambda x: x != "")
+    df = df.withColumn("_eq", F.try_element_at(eq, F.lit(-1)))
+    df = df.withColumn("_math_raw", F.coalesce(
+        mk, F.when(F.col("_eq").isNotNull(), strip_chars(pystrip(F.col("_eq")), "$.,;:")), last_match(t, FRAC),
+        F.col("_lastnum"), F.col("_stripped"))).drop("_eq")
+    return df
+
+
+def add_normalized_math(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """G3 normalization of an answer string (null when blank), staged."""
+    df = add_last_boxed(df, src, dst + "_bx")
+    v = blank_to_null(pystrip(F.coalesce(F.col(dst + "_bx"), F.col(src))))
+    v = F.replace(v, F.lit("$"), F.lit(""))
+    for a, b in LATEX_REPLACEMENTS:
+        v = F.replace(v, F.lit(a), F.lit(b))
+    df = df.withColumn(dst, F.regexp_replace(v, WS + "+", "")).drop(dst + "_bx")
+    for _ in range(3):
+        df = df.withColumn(dst, strip_brace_round(F.col(dst)))
+    c = F.col(dst)
+    df = df.withColumn(dst, F.when(F.instr(c, "=") > 0, F.try_element_at(F.split(c, "=", -1), F.lit(-1))).otherwise(c))
+    for _ in range(3):
+        df = df.withColumn(dst, strip_brace_round(F.col(dst)))
+    return df.withColumn(dst, blank_to_null(F.lower(F.regexp_replace(F.col(dst), "\\\\?%$", ""))))
+
+
+def add_rational(df: DataFrame, src: str) -> DataFrame:
+    """``src_q_n``/``src_q_d``: exact numerator/denominator (decimal(38,0)) of a simple number or
+    ``\\frac{a}{b}``; null otherwise.  More than 18 digits: not parsed (string equality only)."""
+    dst = src + "_q"
+    df = df.withColumn(dst + "_t", pystrip(F.regexp_replace(F.col(src), ",", "")))
+    t = F.col(dst + "_t")
+    fn, fd = F.regexp_extract(t, FRAC_FULL, 2), F.regexp_extract(t, FRAC_FULL, 3)
+    sign = F.when(F.regexp_extract(t, FRAC_FULL, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    ip, fp = F.regexp_extract(t, "^([-+]?[0-9]+)", 1), F.regexp_extract(t, "\\.([0-9]+)$", 1)
+    is_frac = t.rlike(FRAC_FULL) & (F.length(fn) <= MAX_DIGITS + 1) & (F.length(fd) <= MAX_DIGITS + 1)
+    is_frac = is_frac & (fd.try_cast("decimal(38,0)") != 0)
+    is_dec = t.rlike(DEC_FULL) & ((F.length(ip) + F.length(fp)) <= MAX_DIGITS)
+    num = F.when(is_frac, fn.try_cast("decimal(38,0)") * sign).when(is_dec, F.concat(ip, fp).try_cast("decimal(38,0)"))
+    den = F.when(is_frac, fd.try_cast("decimal(38,0)")).when(is_dec, F.pow(F.lit(10), F.length(fp)).cast("decimal(38,0)"))
+    return df.withColumn(dst + "_n", num.cast("decimal(38,0)")).withColumn(dst + "_d", den.cast("decimal(38,0)")).drop(dst + "_t")
 
 
-FRAC_FULL = "^([-+]?)\\\\frac\\{([-+]?[0-9]+)\\}\\{([-+]?[0-9]+)\\}$"
-DEC_FULL = "^[-+]?[0-9]+(?:\\.[0-9]+)?$"
-MAX_DIGITS = 18
+def math_equal(left: str, right: str) -> Column:
+    """Equal strings, or equal exact rationals by cross-multiplication (after add_rational on both)."""
+    cross = F.try_multiply(F.col(left + "_q_n"), F.col(right + "_q_d")) == F.try_multiply(F.col(right + "_q_n"), F.col(left + "_q_d"))
+    return (F.col(left) == F.col(right)) | F.coalesce(cross, F.lit(False))
 
 
-def rational_parts(c: Column) -> tuple[Column, Column]:
-    """(numerator, denominator) as decimal(38,0) of a simple number or ``\\frac``; null otherwise.
-    Numbers with more than 18 digits are not parsed (string comparison only)."""
-    t = pystrip(F.regexp_replace(c, ",", ""))
-    is_frac = t.rlike(FRAC_FULL)
-    sign = F.when(F.regexp_extract(t, FRAC_FULL, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    fn, fd = F.regexp_extract(t, FRAC_FULL, 2), F.regexp_extract(t, FRAC_FULL, 3)
-    is_dec = t.rlike(DEC_FULL)
-    int_part = F.regexp_extract(t, "^([-+]?[0-9]+)", 1)
-    frac_part = F.regexp_extract(t, "\\.([0-9]+)$", 1)
-    digits_ok_frac = (F.length(fn) <= MAX_DIGITS + 1) & (F.length(fd) <= MAX_DIGITS + 1)
-    digits_ok_dec = (F.length(int_part) + F.length(frac_part)) <= MAX_DIGITS
-    dec_num = F.concat(int_part, frac_part).cast("decimal(38,0)")
-    dec_den = F.pow(F.lit(10), F.length(frac_part)).cast("decimal(38,0)")
-    frac_den = fd.cast("decimal(38,0)")
-    num = F.when(is_frac & digits_ok_frac & (frac_den != 0), fn.cast("decimal(38,0)") * sign).when(is_dec & digits_ok_dec, dec_num)
-    den = F.when(is_frac & digits_ok_frac & (frac_den != 0), frac_den).when(is_dec & digits_ok_dec, dec_den)
-    return num, den
-
-
-def math_equal(left: Column, right: Column) -> Column:
-    """Equal strings, or equal exact rationals by cross-multiplication."""
-    ln, ld = rational_parts(left)
-    rn, rd = rational_parts(right)
-    cross = F.try_multiply(ln, rd) == F.try_multiply(rn, ld)
-    return (left == right) | F.coalesce(cross, F.lit(False))
+def drop_temps(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
