@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     # automatic threshold modest so growing tables never get broadcast.
     "spark.sql.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
