@@ -153,7 +153,8 @@ def analyze_failures(df: DataFrame) -> DataFrame:
     ``route_confidence`` is carried through when present (T6).
     """
     df = with_sample_id(df)
-    for c, t in (("split", "string"), ("extracted_answer", "string"), ("error_type", "string"), ("total_tokens", "bigint")):
+    for c, t in (("split", "string"), ("extracted_answer", "string"), ("error_type", "string"), ("total_tokens", "bigint"),
+                 ("query", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
     j = with_correct_budgets(df).filter(~F.coalesce(F.col("is_correct").cast("boolean"), F.lit(False)))

@@ -21,7 +21,11 @@ from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, select
 
 MODEL = "selected_model"
 BUDGET = "selected_budget"
-RANK_ORDER = [F.desc("utility"), F.desc("accuracy"), F.asc("avg_cost")]
+
+
+def rank_order() -> list:
+    """Best-first order of summary rows: utility desc, accuracy desc, avg_cost asc."""
+    return [F.desc("utility"), F.desc("accuracy"), F.asc("avg_cost")]
 
 
 def model_budget_stats(df: DataFrame, w: Weights | None = None, exact: bool = True) -> DataFrame:
@@ -41,7 +45,7 @@ def policy_stats(df: DataFrame, w: Weights | None = None, exact: bool = True) ->
 
 def _ranked(stats: DataFrame) -> DataFrame:
     """Rank rows of the (tiny, dimension-bounded) stats table inside each level."""
-    win = Window.partitionBy("level").orderBy(*RANK_ORDER, F.asc_nulls_last(MODEL), F.asc_nulls_last(BUDGET))
+    win = Window.partitionBy("level").orderBy(*rank_order(), F.asc_nulls_last(MODEL), F.asc_nulls_last(BUDGET))
     return stats.withColumn("level_rank", F.row_number().over(win))
 
 
@@ -52,7 +56,7 @@ def best_choices(df: DataFrame, w: Weights | None = None, exact: bool = True) ->
 
 def best_policy(summary: DataFrame) -> DataFrame:
     """Best summary row by utility desc, accuracy desc, avg_cost asc (policy name breaks ties)."""
-    return summary.orderBy(*RANK_ORDER, F.asc("policy")).limit(1)
+    return summary.orderBy(*rank_order(), F.asc("policy")).limit(1)
 
 
 def _winner(df: DataFrame, level: str, w: Weights | None, exact: bool) -> DataFrame:
