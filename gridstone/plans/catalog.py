@@ -57,5 +57,6 @@ def load_all() -> dict[str, QuerySpec]:
     from gridstone.plans import queries_core  # noqa: F401
     from gridstone.plans import queries_text  # noqa: F401
     from gridstone.plans import queries_more  # noqa: F401
+    from gridstone.plans import queries_reports  # noqa: F401
 
     return REGISTRY

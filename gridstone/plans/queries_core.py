@@ -146,9 +146,7 @@ def policy_table(spark, sf):
     return P.policy_table(grid_view(spark, sf))
 
 
-@register(
-    "baseline_table",
-    f"""
+REGISTRY_BASELINE_SQL = f"""
 SELECT concat('fixed_model_budget_', r.selected_model, '_', CAST(r.selected_budget AS STRING)) AS policy,
   'fixed_model_budget' AS policy_family, r.selected_model, CAST(NULL AS VARCHAR) AS selected_model_provider, t.tier AS selected_model_tier,
   CAST(NULL AS VARCHAR) AS selected_model_alias, CAST(r.selected_budget AS BIGINT) AS selected_budget, {M}
@@ -170,7 +168,12 @@ SELECT concat('aggregate_utility_safe_fallback_', a.selected_model, '_', CAST(a.
   CAST(a.selected_budget AS BIGINT), s.*
 FROM (SELECT {Q.METRICS} FROM safe) s, (SELECT * FROM ranked WHERE level = 'model_budget' AND level_rank = 1) a,
      (SELECT * FROM ranked WHERE level = 'budget' AND level_rank = 1) b
-""",
+"""
+
+
+@register(
+    "baseline_table",
+    REGISTRY_BASELINE_SQL,
     MD, ctes=POLICY_CTES + (("tiers", "SELECT selected_model, min(selected_model_tier) AS tier FROM grid GROUP BY selected_model"),),
 )
 def baseline_table(spark, sf):
