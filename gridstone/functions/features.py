@@ -28,7 +28,9 @@ def count_chars(col: Column, chars: str) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(F.regexp_extract_all(col, F.lit("(" + NON_WS + "+)"), 1))
+    """Number of maximal non-whitespace runs, without building an array of words:
+    each run becomes one character, then whitespace is removed."""
+    return F.length(F.regexp_replace(F.regexp_replace(col, NON_WS + "+", "x"), WS + "+", ""))
 
 
 def ws_count(col: Column) -> Column:
@@ -116,7 +118,32 @@ def difficulty_band(score: Column) -> Column:
     return F.when(score < 0.35, "easy").when(score < 0.7, "medium").otherwise("hard")
 
 
+COUNT_COLUMNS = ["char_count", "word_count", "digit_count", "math_symbol_count", "punctuation_count", "code_marker_count",
+                 "probe_code_markers", "non_ws_chars"]
+
+
+def features_from_counts() -> list[Column]:
+    """Surface + probe features from staged ``_n_*`` count columns (each text scanned once per count)."""
+    c = {k: F.col("_n_" + k) for k in COUNT_COLUMNS}
+    wc, dc, cm, mm = c["word_count"], c["digit_count"], c["probe_code_markers"], c["math_symbol_count"]
+    diff = F.least(F.lit(1.0), wc / 80.0 + dc / 20.0 + cm / 2.0 + mm / 10.0)
+    return [
+        c["char_count"].cast("double").alias("char_count"), wc.cast("double").alias("word_count"),
+        dc.cast("double").alias("digit_count"), (dc / F.greatest(c["char_count"], F.lit(1))).alias("digit_density"),
+        mm.cast("double").alias("math_symbol_count"), c["punctuation_count"].cast("double").alias("punctuation_count"),
+        c["code_marker_count"].cast("double").alias("code_marker_count"),
+        (c["non_ws_chars"] / F.greatest(wc, F.lit(1))).alias("avg_word_length"),
+        diff.alias("cheap_probe_difficulty"),
+        F.greatest(F.lit(0.05), 1.0 - diff * 0.75).alias("cheap_probe_confidence"),
+        F.greatest(F.lit(0.0), 1.0 - F.abs(dc - mm) / F.greatest(wc, F.lit(1))).alias("cheap_probe_consistency"),
+    ]
+
+
 def feature_frame(df: DataFrame, query_col: str = "query") -> DataFrame:
-    """surface + probe features; other input columns kept unless they collide."""
+    """surface + probe features; other input columns kept unless they collide.
+    Counts are staged once per row, then every feature is arithmetic on them."""
     names = set(SURFACE_COLUMNS) | set(PROBE_COLUMNS)
-    return df.select(*[c for c in df.columns if c not in names], *surface_feature_columns(query_col), *probe_feature_columns(query_col))
+    keep = [c for c in df.columns if c not in names]
+    counts = surface_counts(query_col)
+    staged = df.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
+    return staged.select(*keep, *features_from_counts())

@@ -119,26 +119,35 @@ def add_marked_answer(df: DataFrame, text_col: str, dst: str = "_marked") -> Dat
                                          marker_answer(t, ANSWER_NEXT_LINE))).drop("_boxed")
 
 
-def add_text_answers(df: DataFrame, text_col: str = "output_text") -> DataFrame:
+def add_text_answers(df: DataFrame, text_col: str = "output_text", task_col: str | None = None) -> DataFrame:
     """All answer candidates of a text, each regex over the text run once:
-    ``_t, _marked, _lastnum, _numeric, _stripped, _final, _code, _math_raw``."""
+    ``_t, _marked, _lastnum, _numeric, _stripped, _final, _code, _math_raw``.
+
+    With ``task_col``, each candidate is computed only on the rows of the task
+    that uses it (conditional evaluation skips the regexes elsewhere)."""
     df = add_marked_answer(df, text_col, "_marked")
     t, mk = F.col("_t"), F.col("_marked")
-    df = df.withColumn("_lastnum", last_match(t, "(" + NUMBER + ")"))
+
+    def only(tasks, expr):
+        if task_col is None:
+            return expr
+        return F.when(F.col(task_col).isin(*tasks), expr) if tasks[0] != "*other*" else F.when(
+            ~F.col(task_col).isin("gsm8k", "math", "humaneval"), expr)
+    df = df.withColumn("_lastnum", only(("gsm8k", "math"), last_match(t, "(" + NUMBER + ")")))
     df = df.withColumn("_numeric", F.coalesce(F.when(mk.isNotNull(), normalize_number(mk)), normalize_number(F.col("_lastnum"))))
     df = df.withColumn("_stripped", blank_to_null(pystrip(t)))
     df = df.withColumn("_final", F.coalesce(mk, F.col("_stripped")))
     # G5 code block: last fenced block, else from the first ``def name(``
-    df = df.withColumn("_fenced", last_match(t, FENCED))
-    df = df.withColumn("_code", F.when(F.col("_fenced").isNotNull(), blank_to_null(pystrip(F.col("_fenced"))))
-                       .otherwise(blank_to_null(pystrip(F.regexp_extract(t, DEF_START, 1))))).drop("_fenced")
+    df = df.withColumn("_fenced", only(("humaneval",), last_match(t, FENCED)))
+    df = df.withColumn("_code", only(("humaneval",), F.when(F.col("_fenced").isNotNull(), blank_to_null(pystrip(F.col("_fenced"))))
+                       .otherwise(blank_to_null(pystrip(F.regexp_extract(t, DEF_START, 1)))))).drop("_fenced")
     # G3 math output answer
     lines = F.filter(F.split(t, LINE_BREAK), lambda ln: F.length(pystrip(ln)) > 0)
     eq = F.filter(F.transform(lines, lambda ln: F.regexp_extract(strip_chars(pystrip(ln), "$"), EQUATION, 1)), lambda x: x != "")
-    df = df.withColumn("_eq", F.try_element_at(eq, F.lit(-1)))
-    df = df.withColumn("_math_raw", F.coalesce(
+    df = df.withColumn("_eq", only(("math",), F.try_element_at(eq, F.lit(-1))))
+    df = df.withColumn("_math_raw", only(("math",), F.coalesce(
         mk, F.when(F.col("_eq").isNotNull(), strip_chars(pystrip(F.col("_eq")), "$.,;:")), last_match(t, FRAC),
-        F.col("_lastnum"), F.col("_stripped"))).drop("_eq")
+        F.col("_lastnum"), F.col("_stripped")))).drop("_eq")
     return df
 
 

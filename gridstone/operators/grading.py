@@ -22,12 +22,13 @@ def add_grades(df: DataFrame, text_col: str = "output_text", expected_col: str =
                task_col: str = "task_type", outcome_col: str | None = None) -> DataFrame:
     """G6 dispatch by task type — gsm8k numeric (G2), math (G3), humaneval code (G5, G8),
     anything else exact match (G4) — adding ``_g_*`` grade columns."""
-    df = T.add_text_answers(df, text_col)
+    df = T.add_text_answers(df, text_col, task_col)
     df = df.withColumn("_exp_s", F.col(expected_col).cast("string"))
+    df = df.withColumn("_exp_m", F.when(F.col(task_col) == "math", F.col("_exp_s")))
     df = df.withColumn("_exp_num", T.normalize_number(F.col("_exp_s")))
     df = df.withColumn("_exp_text", F.when(F.col("_exp_s").isNotNull(), T.normalize_text(F.col("_exp_s"))))
     df = T.add_normalized_math(df, "_math_raw", "_m_ext")
-    df = T.add_normalized_math(df, "_exp_s", "_m_exp")
+    df = T.add_normalized_math(df, "_exp_m", "_m_exp")
     df = T.add_rational(T.add_rational(df, "_m_ext"), "_m_exp")
     outcome = F.col(outcome_col) if outcome_col else F.lit(None).cast("string")
     c = F.col
@@ -85,9 +86,12 @@ def add_failure_class(df: DataFrame, text_col: str = "output_text", expected_col
     """Failure class per task (numeric for gsm8k and anything unknown, math, code)."""
     df = df.withColumn("_ft", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.withColumn("_fexp", F.col(expected_col).cast("string")).withColumn("_fext", F.col(extracted_col).cast("string"))
-    df = T.add_normalized_math(df, "_fexp", "_fm_exp")
-    df = T.add_normalized_math(df, "_fext", "_fm_ext")
-    df = T.add_normalized_math(df, "_ft", "_fm_out")
+    is_math = F.col(task_col) == "math"
+    df = df.withColumn("_fexp_m", F.when(is_math, F.col("_fexp"))).withColumn("_fext_m", F.when(is_math, F.col("_fext")))
+    df = df.withColumn("_ft_m", F.when(is_math, F.col("_ft")))
+    df = T.add_normalized_math(df, "_fexp_m", "_fm_exp")
+    df = T.add_normalized_math(df, "_fext_m", "_fm_ext")
+    df = T.add_normalized_math(df, "_ft_m", "_fm_out")
     c = F.col
     n_exp, n_ext = T.normalize_number(c("_fexp")), T.normalize_number(c("_fext"))
     df = df.withColumn("_fn_exp", n_exp).withColumn("_fn_ext", n_ext)

@@ -342,7 +342,7 @@ def feature_frame(spark, sf):
 )
 def document_features(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return docs.select("doc_id", "lang", *FT.surface_feature_columns("text"), *FT.probe_feature_columns("text"))
+    return FT.feature_frame(docs, "text").drop("text")
 
 
 @register(
