@@ -28,9 +28,8 @@ def count_chars(col: Column, chars: str) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    """Number of maximal non-whitespace runs, without building an array of words:
-    each run becomes one character, then whitespace is removed."""
-    return F.length(F.regexp_replace(F.regexp_replace(col, NON_WS + "+", "x"), WS + "+", ""))
+    """Number of maximal non-whitespace runs."""
+    return F.size(F.regexp_extract_all(col, F.lit("(" + NON_WS + "+)"), 1))
 
 
 def ws_count(col: Column) -> Column:
