@@ -3,8 +3,8 @@
 The reference filters the trace table once per policy and loops over models
 and budgets.  Here every fixed / model-only / budget-only statistic comes from
 ONE ``cube(selected_model, selected_budget)`` aggregation (one scan, one
-shuffle of partial aggregates), and the winners are joined back with a
-broadcast of a one-row frame.  Only the oracle and safe-fallback policies need
+shuffle of partial aggregates), and the winners are applied as scalar
+subqueries over that tiny table.  Only the oracle and safe-fallback policies need
 a per-sample pass, each a single hash aggregate keyed by ``sample_id``.
 """
 
