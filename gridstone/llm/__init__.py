@@ -1,4 +1,11 @@
 """Training-data operators: ten stand-alone Spark operators and their registered queries.
 
 Nothing else in the library imports this package; ``__spark_entry__`` adds its queries when it is present.
+Functions that run in Python workers are sent by value, so executors need no copy of the package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import chat_format, quality_rules, secret_scan, source_mix, url_filter
+from gridstone.llm import chat_format, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, url_filter, vector_search, warc
 from gridstone.llm.common import table
 
 #: Fixed rules of the url query: host, path, action.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.tokenize(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,6 +25,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(vector_search.quantize(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -34,12 +42,27 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_trees(chat_format.chain(turns)))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources at equal target weight, as many rows on average as there are documents."""
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op5_url_filter, op6_chat_format, op9_source_mix)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentence_pieces, op2_quality_rules, op3_secret_scan, op4_vector_search, op5_url_filter, op6_chat_format,
+    op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
