@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import quality_rules, secret_scan, source_mix
+from gridstone.llm import near_dup, quality_rules, secret_scan, sentence_pieces, source_mix
 from gridstone.llm.common import materialize, table
 
 
@@ -13,6 +13,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near-duplicates stays."""
+    return near_dup.drop_duplicates(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: reported secrets are cut out of the texts."""
     return secret_scan.redact(docs)
@@ -23,7 +28,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality), ("secret scans", secrets), ("mixing sources", mixing)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the token ids of every document, checked by decoding them."""
+    return sentence_pieces.tokenize(docs)
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", duplicates), ("secret scans", secrets), ("mixing sources", mixing), ("sentence pieces", tokens)]
 
 #: Tokenization has no SQL form; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None

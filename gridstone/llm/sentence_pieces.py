@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -338,8 +339,8 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
                     [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32))],
                     names=[*part.schema.names, "ids", "n_tokens"])
 
-    schema = docs.schema.add("ids", "array<int>").add("n_tokens", "int")
-    return docs.mapInArrow(run, schema)
+    made = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
 
 
 def decode(tokens: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -355,7 +356,7 @@ def decode(tokens: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "d
                 texts = [None if x is None else v.decode(np.array(x, np.int32)).decode("utf-8", "replace") for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    return tokens.mapInArrow(run, tokens.schema.add(out, "string"))
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(out, StringType())]))
 
 
 def tokenize(docs: DataFrame, path: str = MODEL) -> DataFrame:
