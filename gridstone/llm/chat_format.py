@@ -23,7 +23,6 @@ from gridstone.llm.common import materialize
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 #: FIXED VALUES: control strings that must not survive inside a text (own markers and those of common templates).
 CONTROL = r"(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])"
-MAX_ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -64,23 +63,25 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = materialize(messages, "chat-nodes")
     tree, node = F.col("tree").alias("_t"), F.col("node").alias("_n")
     known = _lookup(nodes.select("tree", "node", "parent", "score"), "parent", nodes.select(tree, node), "left")
-    state = materialize(known.select("tree", "node", F.col("_n").alias("jump"), F.lit(1).alias("depth"),
+    state = materialize(known.select("tree", "node", F.col("_n").alias("jump"), F.lit(1).cast("long").alias("depth"),
                                      F.coalesce("score", F.lit(0.0)).alias("score")), "chat-jump")
     inner = state.where("jump is not null").select(tree, F.col("jump").alias("_n")).distinct()
     jumps = [state]
-    for _ in range(MAX_ROUNDS):
-        if state.where("jump is not null").isEmpty():
+    size = nodes.count()
+    while True:
+        shortest = state.where("jump is not null").agg(F.min("depth")).first()[0]
+        if shortest is None or shortest > size:  # all are rooted, but for messages in a cycle
             break
         further = state.select(tree, node, F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("score").alias("_s"))
-        state = materialize(_lookup(state, "jump", further, "left").select(
-            "tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score")), "chat-jump")
+        moved = _lookup(state.where("jump is not null"), "jump", further).select(
+            "tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("score") + F.col("_s")).alias("score"))
+        state = materialize(state.where("jump is null").unionByName(moved), "chat-jump")
         jumps.append(state)
     rooted = state.where("jump is null")
     leaves = _lookup(rooted, "node", inner, "left_anti")
     w = Window.partitionBy("tree").orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).alias("back"))
+    paths = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("back"))
     for k, jump in enumerate(jumps[:-1]):
         further = _lookup(paths, "node", jump.where("jump is not null").select(tree, node, F.col("jump").alias("_j")))
         paths = paths.unionByName(further.select("tree", "leaf", "branch", F.col("_j").alias("node"), (F.col("back") + 2**k).alias("back")))
