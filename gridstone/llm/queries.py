@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm import chat_format, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, url_filter, vector_search, warc
 from gridstone.llm.common import table
+from gridstone.llm.oracles import ORACLES  # noqa: F401
 
 #: Fixed rules of the url query: host, path, action.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -63,6 +64,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sentence_pieces, op2_quality_rules, op3_secret_scan, op4_vector_search, op5_url_filter, op6_chat_format,
     op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc)}
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
