@@ -25,8 +25,8 @@ s AS (SELECT lines.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_a
   FROM lines LEFT JOIN covered ON covered.doc_id = lines.doc_id),
 v AS (SELECT *, coalesce(chars, 0) AS word_chars, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars / nw BETWEEN 2 AND 15 AND n_symbols / nw <= 0.5
-  AND (n_words < 50 OR n_stop / nw >= 0.02) AND n_dup_lines / nl <= 0.3 AND n_ellipsis / nl <= 0.3 AND n_bullets / nl <= 0.9 AS kept
+  NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars / nw BETWEEN 2 AND 15 AND n_symbols / nw <= 0.3
+  AND (n_words < 50 OR n_stop / nw >= 0.02) AND (n_lines < 8 OR (n_dup_lines / nl <= 0.3 AND n_ellipsis / nl <= 0.3 AND n_bullets / nl <= 0.9)) AS kept
 FROM v
 """
 

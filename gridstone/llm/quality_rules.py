@@ -25,15 +25,16 @@ STOP_WORDS = (
     "el los las y que en un una por con para es se del no su al lo"
 ).split()
 
-#: (name, statistic, smallest, largest value that passes, fewest words at which the rule applies)
+#: (name, statistic, smallest, largest value that passes, size statistic, least size at which the rule applies).  A
+#: share of few lines or words says little, so those rules start at a size.
 THRESHOLDS = (
-    ("length", "n_words", 10, 1_000_000, 0),
-    ("word_length", "mean_word_chars", 2.0, 15.0, 0),
-    ("symbols", "symbol_ratio", 0.0, 0.5, 0),
-    ("stop_words", "stop_ratio", 0.02, 1.0, 50),
-    ("duplicate_lines", "dup_line_ratio", 0.0, 0.3, 0),
-    ("ellipsis_lines", "ellipsis_ratio", 0.0, 0.3, 0),
-    ("bullet_lines", "bullet_ratio", 0.0, 0.9, 0),
+    ("length", "n_words", 10, 1_000_000, "n_words", 0),
+    ("word_length", "mean_word_chars", 2.0, 15.0, "n_words", 10),
+    ("symbols", "symbol_ratio", 0.0, 0.3, "n_words", 10),
+    ("stop_words", "stop_ratio", 0.02, 1.0, "n_words", 50),
+    ("duplicate_lines", "dup_line_ratio", 0.0, 0.3, "n_lines", 8),
+    ("ellipsis_lines", "ellipsis_ratio", 0.0, 0.3, "n_lines", 8),
+    ("bullet_lines", "bullet_ratio", 0.0, 0.9, "n_lines", 8),
 )
 MAX_REPEAT_PERCENT, MIN_WORDS = 20, 10
 GRAM = 5
@@ -95,8 +96,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def compile_rules(rules=THRESHOLDS) -> Column:
     """The rule table as one boolean column over the measured statistics: true if every rule passes."""
     verdict = F.lit(True)
-    for _, stat, low, high, from_words in rules:
-        verdict = verdict & ((F.col("n_words") < from_words) | F.col(stat).between(low, high))
+    for _, stat, low, high, size, least in rules:
+        verdict = verdict & ((F.col(size) < least) | F.col(stat).between(low, high))
     return verdict
 
 

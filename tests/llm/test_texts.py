@@ -25,7 +25,7 @@ def test_quality_statistics_match_plain_version(docs, texts):
 def test_quality_verdict_follows_the_rule_table(docs):
     judged = quality_rules.apply_rules(docs).collect()
     for r in judged:
-        rules = all(r.n_words < n or low <= r[stat] <= high for _, stat, low, high, n in quality_rules.THRESHOLDS)
+        rules = all(r[size] < n or low <= r[stat] <= high for _, stat, low, high, size, n in quality_rules.THRESHOLDS)
         assert r.kept == (rules and not r.base_failed)
     kept = {r.doc_id for r in judged if r.kept}
     assert 126 in kept and not kept & {116, 117, 118, 119, 122, 133}
