@@ -7,9 +7,9 @@ Catalyst does not collapse projections that would repeat a non-cheap
 expression.
 
 Regexes avoid ``\\d``/``\\s`` (Unicode in Python, ASCII in Java and RE2) in
-favour of explicit classes.  Balanced ``\\boxed{...}`` groups are matched by a
-regex of bounded nesting depth (``BOX_DEPTH``); deeper nesting is not
-recognised, and outer braces are stripped at most 6 times.
+favour of explicit classes.  Braces are balanced by folds over the list of a
+text's braces, and rationals are compared digit by digit: neither nesting depth
+nor length has a bound.
 """
 
 from __future__ import annotations
@@ -19,17 +19,6 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.features import WS, WS_CHARS
 
-BOX_DEPTH = 4
-
-
-def balanced(depth: int = BOX_DEPTH) -> str:
-    inner = "[^{}]*"
-    for _ in range(depth):
-        inner = "(?:[^{}]|\\{" + inner + "\\})*"
-    return inner
-
-
-BOXED = "\\\\boxed" + WS + "*\\{(" + balanced() + ")\\}"
 NUMBER = "[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?"
 HASH_MARK = "####" + WS + "*([^\n]+)"
 ANSWER_INLINE = "(?i)(?:final" + WS + "+answer|answer)" + WS + "*\\*{0,2}" + WS + "*[:：]" + WS + "*\\*{0,2}" + WS + "*([^\n]+)"
@@ -38,12 +27,14 @@ ANSWER_NEXT_LINE = (
 )
 FENCED = "(?is)```(?:python)?" + WS + "*(.*?)```"
 DEF_START = "(?s)(def" + WS + "+[a-zA-Z_][a-zA-Z0-9_]*" + WS + "*\\(.*)"
+BACKSLASH = "\\"
+BOX_START = "\\\\boxed" + WS + "*\\z"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 EQUATION = "(?is)(?:^|[" + WS_CHARS + ",.;:])(?:[a-z]|answer|value)" + WS + "*=" + WS + "*(.+)$"
 FRAC = "(\\\\[dt]?frac" + WS + "*\\{[^{}]+\\}" + WS + "*\\{[^{}]+\\})"
 FRAC_FULL = "^([-+]?)\\\\frac\\{([-+]?[0-9]+)\\}\\{([-+]?[0-9]+)\\}$"
 DEC_FULL = "^[-+]?[0-9]+(?:\\.[0-9]+)?$"
-MAX_DIGITS = 18
+LIMB = 9  # decimal digits multiplied at a time
 LATEX_REPLACEMENTS = (("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"), ("\\,", ""), ("\\!", ""),
                       ("\\dfrac", "\\frac"), ("\\tfrac", "\\frac"))
 
@@ -54,7 +45,7 @@ LATEX_REPLACEMENTS = (("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"
 
 def pystrip(c: Column) -> Column:
     """Python ``str.strip()``: trim the whole whitespace set at both ends."""
-    return F.regexp_replace(c, "^" + WS + "+|" + WS + "+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -66,8 +57,7 @@ def last_match(c: Column, pattern: str) -> Column:
 
 
 def strip_chars(c: Column, chars: str) -> Column:
-    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
-    return F.regexp_replace(c, "^" + cls + "+|" + cls + "+$", "")
+    return F.btrim(c, F.lit(chars))
 
 
 def strip_markdown(c: Column) -> Column:
@@ -92,22 +82,60 @@ def normalize_text(c: Column) -> Column:
     return pystrip(F.regexp_replace(F.lower(c), WS + "+", " "))
 
 
-def strip_brace_round(c: Column) -> Column:
-    wrapped = c.rlike("^\\{" + balanced() + "\\}$")
-    return F.when(wrapped, F.regexp_replace(c, "^\\{|\\}$", "")).otherwise(c)
-
-
 # ---------------------------------------------------------------------------
 # staged transforms
 # ---------------------------------------------------------------------------
 
 def add_last_boxed(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Content of the last ``\\boxed{..}`` of ``src``, stripped; null when none or blank.
-    A box nested inside the last outer box wins (extraction re-applied to its result)."""
-    df = df.withColumn(dst + "_1", last_match(F.col(src), BOXED))
-    df = df.withColumn(dst + "_2", F.coalesce(last_match(F.col(dst + "_1"), BOXED), F.col(dst + "_1")))
-    df = df.withColumn(dst + "_3", F.coalesce(last_match(F.col(dst + "_2"), BOXED), F.col(dst + "_2")))
-    return df.withColumn(dst, blank_to_null(pystrip(F.col(dst + "_3")))).drop(dst + "_1", dst + "_2", dst + "_3")
+    """Content of the last ``\\boxed{..}`` of ``src`` that closes, stripped; null when there is none or it is blank.
+
+    The text is cut at its braces.  A fold from the right finds the last box start with a closing brace left over for
+    it, a fold from there the brace that closes it; both keep a fixed state, so length and depth have no bound."""
+    items, hit, close = f"{dst}_items", f"{dst}_hit", f"{dst}_close"
+    boxed = F.instr(F.col(src), BACKSLASH + "boxed") > 0
+    df = df.withColumn(items, F.when(boxed, F.arrays_zip(
+        F.regexp_extract_all(F.col(src), F.lit("([{}])"), 1), F.split(F.col(src), "[{}]", -1), F.slice(F.split(F.col(src), "[{}]", -1), 2, 1 << 30))))
+    it = F.col(items)
+    df = df.withColumn(items, F.transform(F.filter(it, lambda x: x["0"].isNotNull()), lambda x: F.struct(
+        (x["0"] == "{").alias("opens"), x["1"].rlike(BOX_START).alias("box"), F.concat(x["0"], x["2"]).alias("text"))))
+
+    def leftwards(a, i):
+        x = F.get(it, i)
+        return F.when(a["hit"] >= 0, a).when(~x["opens"], F.struct((a["free"] + 1).alias("free"), a["hit"].alias("hit"))).when(
+            a["free"] == 0, a).when(x["box"], F.struct(a["free"].alias("free"), i.alias("hit"))).otherwise(
+            F.struct((a["free"] - 1).alias("free"), a["hit"].alias("hit")))
+
+    none = F.lit(-1)
+    df = df.withColumn(hit, F.when(F.size(it) > 0, F.aggregate(
+        F.sequence(F.size(it) - 1, F.lit(0), none), F.struct(F.lit(0).alias("free"), none.alias("hit")), leftwards)["hit"]))
+
+    def rightwards(a, i):
+        depth = a["depth"] + F.when(F.get(it, i)["opens"], 1).otherwise(-1)
+        return F.when(a["close"] >= 0, a).otherwise(F.struct(depth.alias("depth"), F.when(depth == 0, i).otherwise(none).alias("close")))
+
+    df = df.withColumn(close, F.when(F.col(hit) >= 0, F.aggregate(
+        F.sequence(F.col(hit) + 1, F.size(it) - 1), F.struct(F.lit(1).alias("depth"), none.alias("close")), rightwards)["close"]))
+    inside = F.array_join(F.transform(F.slice(it, F.col(hit) + 1, F.col(close) - F.col(hit)), lambda x: x["text"]), "")
+    return df.withColumn(dst, F.when(F.col(hit) >= 0, blank_to_null(pystrip(F.substr(inside, F.lit(2)))))).drop(items, hit, close)
+
+
+def add_stripped_braces(df: DataFrame, col: str) -> DataFrame:
+    """All braces that wrap the whole of ``col`` removed: as many as the lowest depth between the leading and the
+    trailing braces, if the text is balanced."""
+    c, braces = F.col(col), col + "_braces"
+    wrapped = c.startswith("{") & c.endswith("}")
+    df = df.withColumn(braces, F.when(wrapped, F.regexp_extract_all(c, F.lit("([{}])"), 1)))
+    lead, trail = F.length(c) - F.length(F.ltrim(c, F.lit("{"))), F.length(c) - F.length(F.rtrim(c, F.lit("}")))
+
+    def step(a, b):
+        depth = a["depth"] + F.when(b == "{", 1).otherwise(-1)
+        core = (a["i"] >= lead - 1) & (a["i"] < F.size(braces) - trail)
+        return F.struct((a["i"] + 1).alias("i"), depth.alias("depth"), F.when(core, F.least(a["low"], depth)).otherwise(a["low"]).alias("low"))
+
+    end = F.aggregate(braces, F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit((1 << 31) - 1).alias("low")), step)
+    df = df.withColumn(braces, F.when(wrapped, F.when(end["depth"] == 0, F.greatest(end["low"], F.lit(0))).otherwise(0)))
+    layers = F.col(braces)
+    return df.withColumn(col, F.when(layers > 0, F.substr(c, layers + 1, F.length(c) - 2 * layers)).otherwise(c)).drop(braces)
 
 
 def add_marked_answer(df: DataFrame, text_col: str, dst: str = "_marked") -> DataFrame:
@@ -159,37 +187,57 @@ def add_normalized_math(df: DataFrame, src: str, dst: str) -> DataFrame:
     for a, b in LATEX_REPLACEMENTS:
         v = F.replace(v, F.lit(a), F.lit(b))
     df = df.withColumn(dst, F.regexp_replace(v, WS + "+", "")).drop(dst + "_bx")
-    for _ in range(3):
-        df = df.withColumn(dst, strip_brace_round(F.col(dst)))
+    df = add_stripped_braces(df, dst)
     c = F.col(dst)
     df = df.withColumn(dst, F.when(F.instr(c, "=") > 0, F.try_element_at(F.split(c, "=", -1), F.lit(-1))).otherwise(c))
-    for _ in range(3):
-        df = df.withColumn(dst, strip_brace_round(F.col(dst)))
+    df = add_stripped_braces(df, dst)
     return df.withColumn(dst, blank_to_null(F.lower(F.regexp_replace(F.col(dst), "\\\\?%$", ""))))
 
 
 def add_rational(df: DataFrame, src: str) -> DataFrame:
-    """``src_q_n``/``src_q_d``: exact numerator/denominator (decimal(38,0)) of a simple number or
-    ``\\frac{a}{b}``; null otherwise.  More than 18 digits: not parsed (string equality only)."""
-    dst = src + "_q"
-    df = df.withColumn(dst + "_t", pystrip(F.regexp_replace(F.col(src), ",", "")))
-    t = F.col(dst + "_t")
-    fn, fd = F.regexp_extract(t, FRAC_FULL, 2), F.regexp_extract(t, FRAC_FULL, 3)
-    sign = F.when(F.regexp_extract(t, FRAC_FULL, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    """``src_q``: sign, numerator and denominator (digit strings of any length) of a simple number or
+    ``\\frac{a}{b}``; null otherwise."""
+    t = pystrip(F.regexp_replace(F.col(src), ",", ""))
+    sign = lambda x: F.when(F.startswith(x, F.lit("-")), -1).otherwise(1)
+    digits = lambda x: F.regexp_replace(F.regexp_replace(x, "^[-+]", ""), "^0+(?=[0-9])", "")
+    fs, fn, fd = (F.regexp_extract(t, FRAC_FULL, i) for i in (1, 2, 3))
+    frac = F.struct((sign(fs) * sign(fn) * sign(fd)).alias("s"), digits(fn).alias("n"), digits(fd).alias("d"))
     ip, fp = F.regexp_extract(t, "^([-+]?[0-9]+)", 1), F.regexp_extract(t, "\\.([0-9]+)$", 1)
-    is_frac = t.rlike(FRAC_FULL) & (F.length(fn) <= MAX_DIGITS + 1) & (F.length(fd) <= MAX_DIGITS + 1)
-    is_frac = is_frac & (fd.try_cast("decimal(38,0)") != 0)
-    is_dec = t.rlike(DEC_FULL) & ((F.length(ip) + F.length(fp)) <= MAX_DIGITS)
-    num = F.when(is_frac, fn.try_cast("decimal(38,0)") * sign).when(is_dec, F.concat(ip, fp).try_cast("decimal(38,0)"))
-    den = F.when(is_frac, fd.try_cast("decimal(38,0)")).when(is_dec, F.pow(F.lit(10), F.length(fp)).cast("decimal(38,0)"))
-    return df.withColumn(dst + "_n", num.cast("decimal(38,0)")).withColumn(dst + "_d", den.cast("decimal(38,0)")).drop(dst + "_t")
+    dec = F.struct(sign(ip).alias("s"), digits(F.concat(ip, fp)).alias("n"), F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fp))).alias("d"))
+    return df.withColumn(src + "_q", F.when(t.rlike(FRAC_FULL), F.when(digits(fd) != "0", frac)).when(t.rlike(DEC_FULL), dec))
 
 
-def math_equal(left: str, right: str) -> Column:
-    """Equal strings, or equal exact rationals by cross-multiplication (after add_rational on both)."""
-    cross = F.try_multiply(F.col(left + "_q_n"), F.col(right + "_q_d")) == F.try_multiply(F.col(right + "_q_n"), F.col(left + "_q_d"))
-    return (F.col(left) == F.col(right)) | F.coalesce(cross, F.lit(False))
+def product(a: Column, b: Column) -> Column:
+    """Product of two digit strings of any length, as digits: limbs of nine digits are multiplied and carried."""
+    number, base = "decimal(38,0)", F.lit(10**LIMB).cast("decimal(38,0)")
+
+    def limbs(x):
+        n = F.ceil(F.length(x) / LIMB).cast("int")
+        padded = F.lpad(x, n * LIMB, F.lit("0"))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(padded, (n - i) * LIMB + 1, F.lit(LIMB)).cast(number))
+
+    la, lb = limbs(a), limbs(b)
+    zero = F.lit(0).cast(number)
+    column = lambda k: F.aggregate(F.sequence(F.greatest(F.lit(0), k - F.size(lb) + 1), F.least(k, F.size(la) - 1)), zero,
+                                   lambda s, i: (s + (F.get(la, i) * F.get(lb, k - i)).cast(number)).cast(number))
+    columns = F.transform(F.sequence(F.lit(0), F.size(la) + F.size(lb) - 2), column)
+
+    def carry(s, x):
+        total = (s["carry"] + x).cast(number)
+        low = (total % base).cast(number)
+        return F.struct(((total - low) / base).cast(number).alias("carry"), F.concat(F.lpad(low.cast("string"), LIMB, "0"), s["digits"]).alias("digits"))
 
+    done = F.aggregate(columns, F.struct(zero.alias("carry"), F.lit("").alias("digits")), carry)
+    return F.ltrim(F.concat(done["carry"].cast("string"), done["digits"]), F.lit("0"))
 
-def drop_temps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+def math_equal(left: str, right: str) -> Column:
+    """Equal strings, or equal exact rationals by cross-multiplication (after add_rational on both)."""
+    a, b = F.col(left + "_q"), F.col(right + "_q")
+    zero = (a["n"] == "0") & (b["n"] == "0")
+    short = F.length(a["n"]) + F.length(b["d"]) <= 36
+    short = short & (F.length(b["n"]) + F.length(a["d"]) <= 36)
+    whole = lambda x: x.try_cast("decimal(36,0)")
+    cross = F.when(short, F.try_multiply(whole(a["n"]), whole(b["d"])) == F.try_multiply(whole(b["n"]), whole(a["d"]))).otherwise(
+        product(a["n"], b["d"]) == product(b["n"], a["d"]))
+    return (F.col(left) == F.col(right)) | F.coalesce(zero | ((a["s"] == b["s"]) & cross), F.lit(False))

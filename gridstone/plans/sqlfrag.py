@@ -1,7 +1,7 @@
 """DuckDB SQL fragments mirroring the column expressions, for the oracle only.
 
-These are written independently of the Spark column code; the driver runs
-both and compares row counts, schemas and value hashes.
+Expressions, patterns and character sets are written here on their own; tables
+of the output contract (weights, markers, symbols) come from the configuration.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from gridstone.config import (
     SURFACE_CODE_MARKERS,
     Weights,
 )
-from gridstone.functions.features import WS, WS_CHARS
-from gridstone.functions import text as T
+
+# White space of Python's str.split(), by code point (written here on its own, not taken from the engine).
+WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198,
+                             8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]))
+WS = "[" + WS_CHARS + "]"
 
 
 def lit(s: str) -> str:
@@ -121,144 +124,3 @@ METRIC_DOUBLES = ["accuracy", "avg_cost", "total_cost", "avg_latency", "p95_late
 
 def pystrip(x: str) -> str:
     return f"regexp_replace({x}, {lit('^' + WS + '+|' + WS + '+$')}, '', 'g')"
-
-
-def nonblank(x: str) -> str:
-    return f"CASE WHEN length({pystrip(x)}) > 0 THEN {x} END"
-
-
-def last_of(x: str, pattern: str) -> str:
-    return f"list_extract(regexp_extract_all({x}, {lit(pattern)}, 1), -1)"
-
-
-def last_boxed(x: str) -> str:
-    first = last_of(x, T.BOXED)
-    second = f"coalesce({last_of(first, T.BOXED)}, {first})"
-    third = f"coalesce({last_of(second, T.BOXED)}, {second})"
-    return nonblank(pystrip(third))
-
-
-def strip_markdown(x: str) -> str:
-    v = pystrip(x)
-    v = f"regexp_replace({v}, {lit('^[-*' + WS_CHARS + ']+')}, '', 'g')"
-    v = f"replace(replace({v}, '**', ''), '__', '')"
-    return pystrip(v)
-
-
-def _re2(pattern: str) -> str:
-    return pattern
-
-
-def marker(x: str, pattern: str) -> str:
-    got = f"regexp_extract({x}, {lit(_re2(pattern))}, 1)"
-    return f"CASE WHEN {got} <> '' THEN {nonblank(strip_markdown(got))} END"
-
-
-def marked_answer(col: str = "output_text") -> str:
-    t = f"coalesce({col}, '')"
-    return f"coalesce({last_boxed(t)}, {marker(t, T.HASH_MARK)}, {marker(t, T.ANSWER_INLINE)}, {marker(t, T.ANSWER_NEXT_LINE)})"
-
-
-def normalize_number(x: str) -> str:
-    first = f"regexp_extract({x}, {lit(T.NUMBER)}, 0)"
-    raw = f"replace({first}, ',', '')"
-    trimmed = f"regexp_replace(regexp_replace({raw}, '0+$', ''), '\\.$', '')"
-    norm = f"CASE WHEN instr({raw}, '.') > 0 THEN (CASE WHEN {trimmed} = '' THEN '0' ELSE {trimmed} END) ELSE {raw} END"
-    return f"CASE WHEN {first} <> '' THEN {norm} END"
-
-
-def numeric_answer(col: str = "output_text") -> str:
-    t = f"coalesce({col}, '')"
-    m = marked_answer(col)
-    from_marked = f"CASE WHEN ({m}) IS NOT NULL THEN {normalize_number(m)} END"
-    last = last_of(t, "(" + T.NUMBER + ")")
-    return f"coalesce({from_marked}, {normalize_number(last)})"
-
-
-def final_answer(col: str = "output_text") -> str:
-    t = f"coalesce({col}, '')"
-    return f"coalesce({marked_answer(col)}, {nonblank(pystrip(t))})"
-
-
-def normalize_text(x: str) -> str:
-    return pystrip(f"regexp_replace(lower({x}), {lit(WS + '+')}, ' ', 'g')")
-
-
-def code_block(col: str = "output_text") -> str:
-    t = f"coalesce({col}, '')"
-    fenced = last_of(t, T.FENCED)
-    start = f"regexp_extract({t}, {lit(T.DEF_START)}, 1)"
-    return (f"CASE WHEN ({fenced}) IS NOT NULL THEN {nonblank(pystrip(fenced))} "
-            f"ELSE (CASE WHEN {start} <> '' THEN {nonblank(pystrip(start))} END) END")
-
-
-# ---- math -------------------------------------------------------------------
-
-def strip_chars(x: str, chars: str) -> str:
-    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
-    return f"regexp_replace({x}, {lit('^' + cls + '+|' + cls + '+$')}, '', 'g')"
-
-
-def math_output_answer(t: str, marked: str) -> str:
-    """``t`` = coalesced text expression, ``marked`` = its marked answer."""
-    lines = f"list_filter(regexp_split_to_array({t}, {lit(T.LINE_BREAK)}), lambda ln: length({pystrip('ln')}) > 0)"
-    stripped = f"list_transform({lines}, lambda ln: {strip_chars(pystrip('ln'), '$')})"
-    eq = f"list_filter(list_transform({stripped}, lambda ln: regexp_extract(ln, {lit(T.EQUATION)}, 1)), lambda x: x <> '')"
-    eq_last = f"list_extract({eq}, -1)"
-    eq_ans = strip_chars(pystrip(eq_last), "$.,;:")
-    frac = last_of(t, T.FRAC)
-    num = last_of(t, "(" + T.NUMBER + ")")
-    return f"coalesce({marked}, CASE WHEN ({eq_last}) IS NOT NULL THEN {eq_ans} END, {frac}, {num}, {nonblank(pystrip(t))})"
-
-
-def strip_braces(x: str, rounds: int = 3) -> str:
-    out = x
-    for _ in range(rounds):
-        out = (f"CASE WHEN regexp_matches({out}, {lit('^\\{' + T.balanced() + '\\}$')}) "
-               f"THEN regexp_replace({out}, '^\\{{|\\}}$', '', 'g') ELSE {out} END")
-    return out
-
-
-def normalize_math_steps(c: str) -> list[str]:
-    """Staged SQL for normalize_math: each step refers to the previous as ``_v``."""
-    steps = [f"CASE WHEN length({pystrip(f'coalesce({last_boxed(c)}, {c})')}) > 0 THEN {pystrip(f'coalesce({last_boxed(c)}, {c})')} END"]
-    v = "replace(_v, '$', '')"
-    for a, b in (("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}"), ("\\,", ""), ("\\!", ""),
-                 ("\\dfrac", "\\frac"), ("\\tfrac", "\\frac")):
-        v = f"replace({v}, {lit(a)}, {lit(b)})"
-    steps.append(f"regexp_replace({v}, {lit(WS + '+')}, '', 'g')")
-    steps.append(strip_braces("_v"))
-    after = strip_braces("list_extract(string_split(_v, '='), -1)")
-    steps.append(f"CASE WHEN instr(_v, '=') > 0 THEN {after} ELSE _v END")
-    steps.append("CASE WHEN length(lower(regexp_replace(_v, '\\\\?%$', ''))) > 0 THEN lower(regexp_replace(_v, '\\\\?%$', '')) END")
-    return steps
-
-
-def normalize_math(c: str) -> str:
-    """Inline composition of the staged steps (used for short inputs)."""
-    out = None
-    for step in normalize_math_steps(c):
-        out = step if out is None else step.replace("_v", f"({out})")
-    return out
-
-
-def rational(x: str) -> tuple[str, str]:
-    t = pystrip(f"replace({x}, ',', '')")
-    ff, df = lit(T.FRAC_FULL), lit(T.DEC_FULL)
-    fn, fd = f"regexp_extract({t}, {ff}, 2)", f"regexp_extract({t}, {ff}, 3)"
-    sign = f"(CASE WHEN regexp_extract({t}, {ff}, 1) = '-' THEN -1 ELSE 1 END)"
-    ip, fp = f"regexp_extract({t}, '^([-+]?[0-9]+)', 1)", f"regexp_extract({t}, '\\.([0-9]+)$', 1)"
-    is_frac = f"(regexp_matches({t}, {ff}) AND length({fn}) <= {T.MAX_DIGITS + 1} AND length({fd}) <= {T.MAX_DIGITS + 1}"
-    is_frac += f" AND CAST({fd} AS HUGEINT) <> 0)"
-    is_dec = f"(regexp_matches({t}, {df}) AND length({ip}) + length({fp}) <= {T.MAX_DIGITS})"
-    num = (f"CASE WHEN {is_frac} THEN CAST({fn} AS HUGEINT) * {sign} "
-           f"WHEN {is_dec} THEN CAST(concat({ip}, {fp}) AS HUGEINT) END")
-    den = (f"CASE WHEN {is_frac} THEN CAST({fd} AS HUGEINT) "
-           f"WHEN {is_dec} THEN CAST(pow(10, length({fp})) AS HUGEINT) END")
-    return num, den
-
-
-def math_equal(a: str, b: str) -> str:
-    an, ad = rational(a)
-    bn, bd = rational(b)
-    return f"(({a}) = ({b}) OR coalesce(({an}) * ({bd}) = ({bn}) * ({ad}), false))"

@@ -51,7 +51,7 @@ def samples_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc_"), _s(d)).alias("sample_id"),
         task.alias("task_type"),
         split.alias("split"),
-        F.concat(F.substring("text", 1, 200), suffix).alias("query"),
+        F.concat("text", suffix).alias("query"),
         expected.alias("expected_answer"),
         "n_chars",
     )
