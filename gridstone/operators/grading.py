@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridstone.config import CONFIDENCE_BANDS
 from gridstone.functions import text as T
 from gridstone.functions.utility import with_sample_id
+from gridstone.operators.summaries import mean
 
 GRADE_COLUMNS = ["score", "is_correct", "extracted_answer", "expected_answer", "error_type"]
 
@@ -177,7 +178,7 @@ def failure_taxonomy(failures: DataFrame, class_col: str = "failure_class") -> D
     """Count, average cost and latency per failure class; count desc, avg cost asc."""
     return (
         failures.groupBy(F.col(class_col).alias("error_type"))
-        .agg(F.count(F.lit(1)).alias("count"), F.avg("cost_usd").alias("avg_cost"), F.avg("latency_s").alias("avg_latency"))
+        .agg(F.count(F.lit(1)).alias("count"), mean("cost_usd").alias("avg_cost"), mean("latency_s").alias("avg_latency"))
         .orderBy(F.desc("count"), F.asc("avg_cost"), F.asc("error_type"))
     )
 

@@ -1,8 +1,8 @@
 """Training labels: best row per group (W1–W3) and difficulty buckets.
 
-"Best row per group" is a hash aggregate ``min_by(row, key)`` where the key is
-a struct of the sort columns with descending ones negated.  It combines
-map-side, so a hot group (a third of all rows) is pre-reduced in every task
+"Best row per group" is an aggregate ``min_by(row, key)`` where the key is a
+struct of the sort columns with descending ones negated (a sort-based aggregate
+in Spark, as its buffer is a struct; rows are kept narrow).  It combines map-side, so a hot group (a third of all rows) is pre-reduced in every task
 before the shuffle and never lands whole on one task.  Ties that the reference
 resolves by input order are broken by ``(model, budget, id)`` (T10).
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.config import BUDGET_LEVELS, DIFFICULTY_TASK_BONUS, DIFFICULTY_TASK_BONUS_DEFAULT, REPAIR_BUDGET, Weights
+from gridstone.config import DIFFICULTY_TASK_BONUS, DIFFICULTY_TASK_BONUS_DEFAULT, Weights
+from gridstone.functions.budgets import repair_budget
 from gridstone.functions.features import surface_counts
 from gridstone.functions.utility import row_utility, with_sample_id
 from gridstone.session import cut_lineage
@@ -32,25 +33,29 @@ def _tail(df: DataFrame, cols: tuple[str, ...]) -> list[Column]:
     return [F.col(c) for c in cols if c in df.columns]
 
 
-def best_joint(df: DataFrame, w: Weights | None = None) -> DataFrame:
-    """Best (model, budget) per sample by utility desc, correct desc, cost asc, latency asc."""
+def best_joint(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Best (model, budget) per sample by utility desc, correct desc, cost asc, latency asc.
+
+    With ``queries`` (sample_id, query, task_type) the ranked rows hold no text; it is joined to the winners."""
     df = with_sample_id(df).withColumn("utility", row_utility(w))
     order = [-F.col("utility"), ~F.col("is_correct").cast("boolean"), F.col("cost_usd"), F.col("latency_s"),
              *_tail(df, (MODEL, BUDGET, "id"))]
-    return top1(df, ["sample_id"], order, ["query", "task_type", MODEL, BUDGET])
+    if queries is None:
+        return top1(df, ["sample_id"], order, ["query", "task_type", MODEL, BUDGET])
+    best = top1(df, ["sample_id"], order, [MODEL, BUDGET])
+    return best.join(queries.select("sample_id", "query", "task_type"), "sample_id").select("sample_id", "query", "task_type", MODEL, BUDGET)
 
 
-def best_per_model(df: DataFrame, w: Weights | None = None) -> DataFrame:
-    """Best budget per (sample, model); keeps ``target_utility``."""
+def best_per_model(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Best budget per (sample, model); keeps ``target_utility``.  ``queries`` as in ``best_joint``."""
     df = with_sample_id(df).withColumn("target_utility", row_utility(w))
     order = [-F.col("target_utility"), ~F.col("is_correct").cast("boolean"), F.col("cost_usd"), F.col("latency_s"),
              F.col(BUDGET), *_tail(df, ("id",))]
-    return top1(df, ["sample_id", MODEL], order, ["query", "task_type", BUDGET, "target_utility"])
-
-
-def repair_budget(col: Column) -> Column:
-    """A budget that is not a level becomes 1024."""
-    return F.when(col.isin(*BUDGET_LEVELS), col).otherwise(F.lit(REPAIR_BUDGET))
+    if queries is None:
+        return top1(df, ["sample_id", MODEL], order, ["query", "task_type", BUDGET, "target_utility"])
+    best = top1(df, ["sample_id", MODEL], order, [BUDGET, "target_utility"])
+    return best.join(queries.select("sample_id", "query", "task_type"), "sample_id").select(
+        "sample_id", MODEL, "query", "task_type", BUDGET, "target_utility")
 
 
 def best_budget(df: DataFrame, with_difficulty: bool = True) -> DataFrame:
@@ -67,13 +72,6 @@ def best_budget(df: DataFrame, with_difficulty: bool = True) -> DataFrame:
     return out
 
 
-def oracle_label(df: DataFrame) -> DataFrame:
-    """W5 as a label table (see ``policies.oracle_policy`` for the full row)."""
-    from gridstone.operators.policies import oracle_policy
-
-    return oracle_policy(df)
-
-
 # ---------------------------------------------------------------------------
 # W4 difficulty labels with a distributed global rank
 # ---------------------------------------------------------------------------

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.functions.features import SURFACE_COLUMNS, surface_feature_columns
+from gridstone.session import cut_lineage
 
 NUMERIC = SURFACE_COLUMNS
 
@@ -25,49 +26,66 @@ def with_features(df: DataFrame, query_col: str = "query") -> DataFrame:
     return df.select(*[c for c in df.columns if c not in NUMERIC], *surface_feature_columns(query_col))
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """sklearn ``class_weight='balanced'``: n / (k · n_c), from one small count table."""
+def balanced_weights(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
+    """sklearn ``class_weight='balanced'``: n / (k · n_c); with the number of rows and of classes.
+
+    The table of class sizes is joined as Spark sees fit for its size; two numbers come to the driver."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = df.count()  # one number to the driver
-    k = counts.count()  # label domain: bounded
-    return df.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc")))
+    totals = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, k = totals["n"] or 0, totals["k"]
+    return df.join(counts, label).withColumn("_w", F.lit(float(n)) / (F.lit(float(max(k, 1))) * F.col("_nc"))), n, k
 
 
-def _pipeline(label: str, cats: list[str], clf) -> Pipeline:
+def _feature_stages(label: str, cats: list[str]) -> list:
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_ohe" for c in cats], handleInvalid="keep")
     num = VectorAssembler(inputCols=NUMERIC, outputCol="_num")
     scale = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)
     feats = VectorAssembler(inputCols=["_scaled", *[f"{c}_ohe" for c in cats]], outputCol="features")
-    lab = StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep")
-    return Pipeline(stages=[*idx, ohe, num, scale, feats, lab, clf])
+    return [*idx, ohe, num, scale, feats, StringIndexer(inputCol=label, outputCol="label", handleInvalid="error")]
 
 
 def train_classifier(df: DataFrame, label: str, cats: list[str], kind: str = "logreg", seed: int = 0) -> PipelineModel:
-    """R5 / R11 / R12 / R13 (logreg, balanced) and R7 (MLP 16-8)."""
-    data = balanced_weights(with_features(df), label)
-    n = data.count()
-    if kind == "mlp":
-        n_in = len(NUMERIC) + sum(data.select(c).distinct().count() for c in cats)  # one-hot widths (keep slot, last dropped)
-        n_out = data.select(label).distinct().count()
-        clf = MultilayerPerceptronClassifier(layers=[n_in, 16, 8, max(n_out, 2)], seed=seed, maxIter=200)
+    """R5 / R11 / R12 / R13 (logreg, balanced) and R7 (MLP 16-8).
+
+    The labelled rows are written once (reliable checkpoint) and read by every fit.  One class gives a constant model.
+    """
+    data, n, k = balanced_weights(with_features(df), label)
+    if not n:
+        raise ValueError("no labelled rows to train on")
+    # the same rows in the same partitions and order, so that a seed gives the same model
+    place = [c for c in data.columns if c != "_nc"]
+    data = cut_lineage(data.repartition(F.xxhash64(*place)).sortWithinPartitions(*place))
+    prepared = Pipeline(stages=_feature_stages(label, cats)).fit(data)
+    if k == 1:
+        last = SQLTransformer(statement="SELECT *, CAST(0 AS DOUBLE) AS prediction FROM __THIS__")
+    elif kind == "mlp":
+        rows = prepared.transform(data)
+        width = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
+        last = MultilayerPerceptronClassifier(layers=[width, 16, 8, k], seed=seed, maxIter=200).fit(rows)
     else:
-        clf = LogisticRegression(weightCol="_w", regParam=1.0 / max(n, 1), elasticNetParam=0.0, maxIter=500, standardization=False)
-    return _pipeline(label, cats, clf).fit(data)
+        last = LogisticRegression(weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0, maxIter=500, standardization=False).fit(
+            prepared.transform(data))
+    return PipelineModel(stages=[*prepared.stages, last])
 
 
 def score(model: PipelineModel, df: DataFrame, label_name: str = "predicted_label") -> DataFrame:
-    """Predicted label (original string) and max class probability as confidence."""
-    out = model.transform(with_features(df))
-    labels = model.stages[-2].labels
-    conv = IndexToString(inputCol="prediction", outputCol=label_name, labels=labels)
-    out = conv.transform(out)
-    return out.withColumn("route_confidence", F.array_max(vector_to_array("probability")))
-
-
-def split_joint_label(df: DataFrame, col: str = "predicted_label") -> DataFrame:
-    """``model::budget`` → route_model, route_budget (budget clamped to a level, P5)."""
+    """Predicted label (original string) and max class probability as confidence (1 of a constant model)."""
+    scored = with_features(df)
+    label_stage = next(s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol") and s.getOutputCol() == "label")
+    for stage in model.stages:
+        if stage is not label_stage:  # rows to score carry no label
+            scored = stage.transform(scored)
+    scored = IndexToString(inputCol="prediction", outputCol=label_name, labels=label_stage.labels).transform(scored)
+    sure = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(1.0)
+    return scored.withColumn("route_confidence", sure)
+
+
+def split_joint_label(df: DataFrame, col: str = "predicted_label", pool: list[str] | None = None) -> DataFrame:
+    """``model::budget`` → route_model, route_budget (budget clamped to a level, P5); a model that is not in ``pool``
+    becomes the pool's first."""
     from gridstone.functions.budgets import clamp_budget
 
     parts = F.split(F.col(col), "::")
-    return df.withColumn("route_model", parts[0]).withColumn("route_budget", clamp_budget(parts[1].try_cast("int")))
+    model = parts[0] if not pool else F.when(parts[0].isin(*pool), parts[0]).otherwise(F.lit(pool[0]))
+    return df.withColumn("route_model", model).withColumn("route_budget", clamp_budget(parts[1].try_cast("int")))

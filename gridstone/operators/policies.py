@@ -54,11 +54,6 @@ def best_choices(df: DataFrame, w: Weights | None = None, exact: bool = True) ->
     return _ranked(policy_stats(df, w, exact)).filter(F.col("level_rank") == 1).drop("level_rank")
 
 
-def best_policy(summary: DataFrame) -> DataFrame:
-    """Best summary row by utility desc, accuracy desc, avg_cost asc (policy name breaks ties)."""
-    return summary.orderBy(*rank_order(), F.asc("policy")).limit(1)
-
-
 def _winner(df: DataFrame, level: str, w: Weights | None, exact: bool) -> DataFrame:
     return best_choices(df, w, exact).filter(F.col("level") == level)
 
@@ -107,10 +102,11 @@ def _tiebreak(df: DataFrame) -> list[Column]:
 def oracle_policy(df: DataFrame) -> DataFrame:
     """Cheapest correct row per sample, else cheapest row.
 
-    Hash aggregate ``min_by(row, key)`` keyed by sample: combines map-side, so a
-    hot sample never sends all its rows to one task.
+    An aggregate ``min_by(row, key)`` keyed by sample: combines map-side, so a hot
+    sample never sends all its rows to one task.  Texts are not ranked: join them
+    to the result by ``id`` where they are wanted.
     """
-    df = with_sample_id(df)
+    df = with_sample_id(df).drop("query", "output_text")
     key = F.struct(
         (~F.col("is_correct").cast("boolean")).alias("k0"), F.col("cost_usd").alias("k1"), F.col("latency_s").alias("k2"),
         F.col(BUDGET).alias("k3"), *[c.alias(f"t{i}") for i, c in enumerate(_tiebreak(df))],
@@ -193,8 +189,8 @@ def baseline_table(df: DataFrame, w: Weights | None = None, errors: Sequence[str
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     order_col = "id" if "id" in df.columns else "sample_id"
-    # first non-null attributes per model: a tiny frame bounded by the model pool
-    model_attrs = F.broadcast(df.groupBy(MODEL).agg(*[first_non_null(c, order_col).alias(c) for c in attrs]))
+    # first non-null attributes per model: one row per model, broadcast by Spark only if its size allows
+    model_attrs = df.groupBy(MODEL).agg(*[first_non_null(c, order_col).alias(c) for c in attrs])
     ranked = _ranked(policy_stats(df, w, exact))
     metrics = [F.col(c) for c in METRIC_COLUMNS]
     b = F.col(BUDGET).cast("string")
@@ -235,7 +231,7 @@ def choose_fallback(df: DataFrame, w: Weights | None = None, exact: bool = True)
 
     df = with_sample_id(df)
     ab = best_choices(df, w, exact).filter(F.col("level") == "model_budget")
-    n_labels = best_per_model(df, w).select(F.countDistinct(BUDGET)).scalar()
+    n_labels = best_per_model(df.withColumns({"query": F.lit(None), "task_type": F.lit(None)}), w).select(F.countDistinct(BUDGET)).scalar()
     return ab.withColumn("candidate_budget_count", n_labels).select(
         F.lit("fallback_to_aggregate_utility").alias("safe_policy"),
         F.col(BUDGET).alias("fallback_budget"),

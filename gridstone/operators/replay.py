@@ -1,9 +1,9 @@
 """Counterfactual replay of routing decisions against recorded traces.
 
 Decisions are made once per distinct sample (or (sample, model)), then joined
-to the trace table on the sample key; the chosen row per sample is a hash
-aggregate ``min_by`` on the same key, so the join and the aggregate share one
-shuffle.  The reference's silent fallback to the cheapest row (T2) is kept and
+to the trace table on the sample key; the chosen row per sample is an aggregate
+``min_by`` over narrow rows on the same key, so the join and the aggregate share
+one shuffle.  The reference's silent fallback to the cheapest row (T2) is kept and
 flagged with ``matched``.
 """
 
@@ -34,8 +34,9 @@ def replay(grid: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("sample
            decision_cols: Sequence[str] = (), group_extra: Sequence[str] = ()) -> DataFrame:
     """The trace row matching the decided (model, budget) of each key, else the key's
     cheapest row by (cost, latency, budget).  ``decisions`` has ``keys``, ``route_model``
-    (optional when keys include the model) and ``route_budget``."""
-    grid = with_sample_id(grid)
+    (optional when keys include the model) and ``route_budget``.  Texts are not ranked: join
+    them to the result by ``id`` where they are wanted."""
+    grid = with_sample_id(grid).drop("query", "output_text")
     keys = list(keys)
     d = decisions.select(*keys, *group_extra,
                          *[c for c in ("route_model", "route_budget") if c in decisions.columns and c not in keys],

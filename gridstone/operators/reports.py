@@ -105,13 +105,14 @@ def rank_policies(summary: DataFrame, w: Weights | None = None) -> DataFrame:
 # A11 bootstrap CI
 # ---------------------------------------------------------------------------
 
-def poisson1_thresholds(k_max: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..k_max (derived from the rule, not tabulated)."""
-    out, p, c = [], math.exp(-1.0), 0.0
-    for k in range(k_max + 1):
+def poisson1_thresholds() -> list[float]:
+    """CDF of Poisson(1) at 0, 1, ... until it no longer grows in double precision: no weight is cut off."""
+    out, p, c, k = [], math.exp(-1.0), 0.0, 0
+    while c + p > c:
         c += p
         out.append(c)
-        p = p / (k + 1)
+        k += 1
+        p = p / k
     return out
 
 

@@ -1,9 +1,8 @@
 """Routing rules as batch scorers over whole tables.
 
 Routers score *distinct samples*; decisions are then joined to traces
-(replay).  The model pool is a dimension: it is read with a checked size
-bound and turned into literals, so scoring is a per-row expression with no
-join and no shuffle.
+(replay).  The model pool is a short list of the caller's, turned into literals,
+so scoring is a per-row expression with no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -38,32 +37,12 @@ from gridstone.config import (
 )
 from gridstone.functions.features import difficulty_band, heuristic_difficulty, probe_feature_columns
 
-MAX_POOL = 1000
-
-
 @dataclass(frozen=True)
 class PoolModel:
     model_id: str
     tier: str | None
 
 
-def read_pool(models: DataFrame, order_col: str = "pool_order") -> list[PoolModel]:
-    """Collect the model pool — a dimension with a checked size bound."""
-    rows = models.orderBy(order_col).select("model_id", "tier").limit(MAX_POOL + 1).collect()
-    if not rows:
-        raise ValueError("empty model pool")
-    if len(rows) > MAX_POOL:
-        raise ValueError(f"model pool larger than {MAX_POOL}")
-    return [PoolModel(r["model_id"], r["tier"]) for r in rows]
-
-
-def pool_from_grid(grid: DataFrame) -> DataFrame:
-    """Model pool (model_id, tier, pool_order) as recorded in a trace table, ordered by tier rank then id."""
-    rank = F.when(F.col("tier") == "cheap", 0).when(F.col("tier") == "mid", 1).when(F.col("tier") == "strong", 2).otherwise(3)
-    p = grid.groupBy(F.col("selected_model").alias("model_id")).agg(F.min("selected_model_tier").alias("tier"))
-    return p.withColumn("pool_order", F.concat(rank.cast("string"), F.lit(":"), F.col("model_id")))
-
-
 def _lookup(mapping: dict, key: Column, default) -> Column:
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(m[key], F.lit(default))
@@ -196,14 +175,16 @@ def route_uncertain(primary: DataFrame, fallback: DataFrame, threshold: float |
     )
 
 
+def artifact_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a saved model is there, in any store that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def route_or_threshold(spark: SparkSession, samples: DataFrame, pool: list[PoolModel], model_path: str | None, name: str,
                        scorer) -> DataFrame:
-    """A learned router whose artifact is missing falls back to the threshold rule,
-    keeping its own name.  The branch is decided once at plan time."""
-    import os
-
-    if model_path and os.path.exists(model_path):
+    """A learned router whose artifact is missing gives the threshold rule's decisions, flags included, under its
+    own name.  The branch is decided once at plan time."""
+    if model_path and artifact_exists(spark, model_path):
         return scorer(samples, model_path)
-    out = route_threshold(samples, pool)
-    return out.withColumn("router_name", F.lit(name)).withColumn("fallback_triggered", F.lit(True)).withColumn(
-        "fallback_reason", F.lit("missing_artifact"))
+    return route_threshold(samples, pool).withColumn("router_name", F.lit(name))

@@ -15,6 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SUM_TYPE = "decimal(38,12)"
+
+
+def total(col: str | Column) -> Column:
+    """Sum that does not depend on the order of rows: exact in decimals, then a double."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.try_cast(SUM_TYPE)).cast("double")
+
+
+def mean(col: str | Column) -> Column:
+    """Mean of an order-independent sum; null without values."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.try_divide(total(c), F.count(c.try_cast(SUM_TYPE)))
+
+
 def p95(col: str = "latency_s", exact: bool = True) -> Column:
     return F.percentile(col, 0.95) if exact else F.percentile_approx(col, 0.95, 100000).cast("double")
 
@@ -38,8 +53,8 @@ def summarize_costs(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame
         df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg("cost_usd").alias("avg_cost"),
-            F.sum("cost_usd").alias("total_cost"),
+            mean("cost_usd").alias("avg_cost"),
+            total("cost_usd").alias("total_cost"),
             F.avg("total_tokens").alias("avg_tokens"),
             F.sum("total_tokens").alias("total_tokens"),
         )
@@ -54,7 +69,7 @@ def summarize_latency(df: DataFrame, by: Sequence[str] | None = None, exact: boo
         df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg("latency_s").alias("avg_latency"),
+            mean("latency_s").alias("avg_latency"),
             p50("latency_s", exact).alias("p50_latency"),
             p95("latency_s", exact).alias("p95_latency"),
             F.max("latency_s").alias("max_latency"),
@@ -67,9 +82,9 @@ def selection_metrics(exact: bool = True) -> list[Column]:
     """The A3 metric columns, as aggregate expressions (reusable in any groupBy)."""
     return [
         F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-        F.avg("cost_usd").alias("avg_cost"),
-        F.sum("cost_usd").alias("total_cost"),
-        F.avg("latency_s").alias("avg_latency"),
+        mean("cost_usd").alias("avg_cost"),
+        total("cost_usd").alias("total_cost"),
+        mean("latency_s").alias("avg_latency"),
         p95("latency_s", exact).alias("p95_latency"),
         F.count(F.lit(1)).alias("n"),
     ]
@@ -114,7 +129,7 @@ def summarize_router(df: DataFrame, router_name: str, exact: bool = True) -> Dat
     def attr(c: str) -> Column:
         return single_or_mixed(c) if c in cols else F.lit(None).cast("string")
 
-    conf = F.avg(F.col("route_confidence").cast("double")) if "route_confidence" in cols else F.lit(None).cast("double")
+    conf = mean(F.col("route_confidence").cast("double")) if "route_confidence" in cols else F.lit(None).cast("double")
     fb = (
         F.avg(F.coalesce(F.col("fallback_triggered"), F.lit(False)).cast("double"))
         if "fallback_triggered" in cols
@@ -129,6 +144,7 @@ def summarize_router(df: DataFrame, router_name: str, exact: bool = True) -> Dat
         attr("selected_budget").alias("selected_budget"),
         conf.alias("avg_route_confidence"),
         fb.alias("fallback_rate"),
+        *([F.avg(F.col("matched").cast("double")).alias("match_rate")] if "matched" in cols else []),
     )
     out = out.select(
         F.lit(f"phase2_{router_name}").alias("policy"),
@@ -144,7 +160,7 @@ def dashboard_kpis(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("traces"),
         F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-        F.avg("cost_usd").alias("avg_cost"),
+        mean("cost_usd").alias("avg_cost"),
         p95("latency_s", exact).alias("p95_latency"),
     )
 

@@ -91,18 +91,32 @@ def learned_joint_router(spark, sf):
     scored on the test split's distinct samples."""
     from gridstone.operators import learn
 
-    grid = grid_view(spark, sf)
-    labels = L.best_joint(grid.filter(F.col("split") == "train")).withColumn(
+    grid, queries = grid_view(spark, sf), samples_view(spark, sf)
+    labels = L.best_joint(grid.filter(F.col("split") == "train"), queries=queries).withColumn(
         "joint_label", F.concat_ws("::", "selected_model", F.col("selected_budget").cast("string")))
     model = learn.train_classifier(labels, "joint_label", ["task_type"])
-    test = L.best_joint(grid.filter(F.col("split") == "test")).select("sample_id", "query", "task_type")
-    scored = learn.split_joint_label(learn.score(model, test))
+    test = queries.filter(F.col("split") == "test").select("sample_id", "query", "task_type")
+    scored = learn.split_joint_label(learn.score(model, test), pool=MODELS)
     return scored.select("sample_id", "route_model", "route_budget", "route_confidence")
 
 
-@register("stream_traces", None, note="Structured Streaming (availableNow): rows-only check")
+@register("learned_mlp_router", None, note="Spark ML training: rows-only check")
+def learned_mlp_router(spark, sf):
+    """R7 + R8: the joint label by a 16-8 perceptron, trained on the train split, scored on the test split."""
+    from gridstone.operators import learn
+
+    queries = samples_view(spark, sf)
+    labels = L.best_joint(grid_view(spark, sf).filter(F.col("split") == "train"), queries=queries).withColumn(
+        "joint_label", F.concat_ws("::", "selected_model", F.col("selected_budget").cast("string")))
+    model = learn.train_classifier(labels, "joint_label", ["task_type"], kind="mlp")
+    test = queries.filter(F.col("split") == "test").select("sample_id", "query", "task_type")
+    return learn.split_joint_label(learn.score(model, test), pool=MODELS).select("sample_id", "route_model", "route_budget", "route_confidence")
+
+
+@register("stream_traces", "SELECT DISTINCT sample_id, selected_model, selected_budget, task_type FROM trace_log",
+          note="one file, so one batch: every repeated request lies inside the watermark")
 def stream_traces(spark, sf):
-    """X2 + X3: events stream → keyed traces, de-duplicated within the watermark, parquet sink."""
-    from gridstone.streaming.streams import trace_stream
+    """X2 + X3: events stream → keyed traces, one per request key within the watermark, parquet sink."""
+    from gridstone.streaming.streams import REQUEST_FIELDS, trace_stream
 
-    return trace_stream(spark, sf).select("id", "sample_id", "selected_model", "selected_budget", "is_correct", "request_key")
+    return trace_stream(spark, sf).select(*REQUEST_FIELDS)

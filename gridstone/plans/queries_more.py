@@ -14,7 +14,7 @@ from gridstone.operators import replay as RP
 from gridstone.operators import routers as R
 from gridstone.plans import sqlfrag as Q
 from gridstone.plans.catalog import register
-from gridstone.sources.views import FIXTURE_MODELS, grid_view
+from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view
 
 POOL = [R.PoolModel(m, t) for _, m, t, _ in FIXTURE_MODELS]
 MODEL_IDS = [m for _, m, _, _ in FIXTURE_MODELS]
@@ -44,8 +44,16 @@ FROM (SELECT *, CASE tier WHEN 'cheap' THEN 'm-cheap' WHEN 'mid' THEN 'm-mid' EL
 TH_DOUBLES = ["estimated_accuracy", "estimated_cost", "estimated_latency", "route_confidence"]
 
 
+def sample_queries(spark, sf):
+    return samples_view(spark, sf).select("sample_id", "query", "task_type")
+
+
+def split_grid(spark, sf, split):
+    return grid_view(spark, sf).filter(F.col("split") == split)
+
+
 def threshold_decisions(spark, sf):
-    return R.route_threshold(RP.first_queries(grid_view(spark, sf)), POOL)
+    return R.route_threshold(sample_queries(spark, sf), POOL)
 
 
 @register("threshold_router", THRESH_SQL, TH_DOUBLES, ctes=(FIRSTQ,))
@@ -77,12 +85,12 @@ SELECT sample_id, task_type, model_id AS route_model, budget AS route_budget, di
 @register("joint_router", JOINT_SQL, ["estimated_accuracy", "estimated_cost", "estimated_latency", "route_utility"], ctes=(FIRSTQ,))
 def joint_router(spark, sf):
     """Joint utility argmax over models × four budgets, per distinct sample."""
-    out = R.route_joint(RP.first_queries(grid_view(spark, sf)), MODEL_IDS)
+    out = R.route_joint(sample_queries(spark, sf), MODEL_IDS)
     return out.select("sample_id", "task_type", "route_model", "route_budget", "route_difficulty", "estimated_accuracy",
                       "estimated_cost", "estimated_latency", "route_utility")
 
 
-def _replay_sql(dec: str) -> str:
+def _replay_sql(dec: str, grid: str = "grid") -> str:
     return f"""
 SELECT * FROM (
   SELECT g.*, d.route_confidence, (g.selected_model = d.route_model AND g.selected_budget = d.route_budget) AS matched,
@@ -90,7 +98,7 @@ SELECT * FROM (
       CASE WHEN NOT (g.selected_model = d.route_model AND g.selected_budget = d.route_budget) THEN g.cost_usd END,
       CASE WHEN NOT (g.selected_model = d.route_model AND g.selected_budget = d.route_budget) THEN g.latency_s END,
       g.selected_budget, g.selected_model, g.id) AS rn
-  FROM grid g JOIN {dec} d ON g.sample_id = d.sample_id) WHERE rn = 1"""
+  FROM {grid} g JOIN {dec} d ON g.sample_id = d.sample_id) WHERE rn = 1"""
 
 
 def _som(c: str) -> str:
@@ -100,11 +108,11 @@ def _som(c: str) -> str:
 
 ROUTER_SUMMARY = f"""
 SELECT 'phase2_threshold' AS policy, 'phase2_threshold' AS policy_family, 'threshold' AS router_name,
-  avg(CAST(is_correct AS DOUBLE)) AS accuracy, avg(cost_usd) AS avg_cost, sum(cost_usd) AS total_cost, avg(latency_s) AS avg_latency,
+  avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost, (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency,
   quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
   {_som('selected_model')} AS selected_model, CAST(NULL AS VARCHAR) AS selected_model_provider, {_som('selected_model_tier')} AS selected_model_tier,
   CAST(NULL AS VARCHAR) AS selected_model_alias, {_som('selected_budget')} AS selected_budget,
-  avg(route_confidence) AS avg_route_confidence, 0.0 AS fallback_rate, avg(CAST(matched AS DOUBLE)) AS match_rate
+  (CAST(sum(CAST(route_confidence AS DECIMAL(38,12))) AS DOUBLE) / count(route_confidence)) AS avg_route_confidence, 0.0 AS fallback_rate, avg(CAST(matched AS DOUBLE)) AS match_rate
 FROM replayed"""
 
 
@@ -114,9 +122,8 @@ FROM replayed"""
 def replay_threshold(spark, sf):
     """B9 + A4: threshold router replayed against the recorded grid, with the match rate."""
     grid = grid_view(spark, sf)
-    sel, summ = RP.replay_router(grid, R.route_threshold(RP.first_queries(grid), POOL), "threshold")
-    mr = sel.select(F.avg(F.col("matched").cast("double"))).scalar()
-    return summ.withColumn("match_rate", mr)
+    _, summ = RP.replay_router(grid, R.route_threshold(sample_queries(spark, sf), POOL), "threshold")
+    return summ
 
 
 @register("replayed_rows", "SELECT sample_id, id, selected_model, selected_budget, matched, cost_usd, latency_s FROM replayed",
@@ -124,7 +131,7 @@ def replay_threshold(spark, sf):
 def replayed_rows(spark, sf):
     """The replayed trace row per sample (exact match, else cheapest)."""
     grid = grid_view(spark, sf)
-    sel, _ = RP.replay_router(grid, R.route_threshold(RP.first_queries(grid), POOL), "threshold")
+    sel, _ = RP.replay_router(grid, R.route_threshold(sample_queries(spark, sf), POOL), "threshold")
     return sel.select("sample_id", "id", "selected_model", "selected_budget", "matched", "cost_usd", "latency_s")
 
 
@@ -134,7 +141,7 @@ def replayed_rows(spark, sf):
 
 def primary_decisions(spark, sf):
     grid = grid_view(spark, sf)
-    fq = RP.first_queries(grid)
+    fq = sample_queries(spark, sf)
     j = R.route_joint(fq, MODEL_IDS)
     return j.withColumn("route_confidence", FT.probe_feature_columns("query")[1])
 
@@ -159,8 +166,8 @@ def uncertainty_router(spark, sf):
 
 
 SWEEP_SQL = """
-SELECT threshold, avg(CAST(is_correct AS DOUBLE)) AS accuracy, avg(cost_usd) AS avg_cost, sum(cost_usd) AS total_cost,
-  avg(latency_s) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
+SELECT threshold, avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost,
+  (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
   avg(CAST(fallback_triggered AS DOUBLE)) AS fallback_rate
 FROM (SELECT * FROM (
   SELECT g.*, d.threshold, d.fallback_triggered, row_number() OVER (PARTITION BY g.sample_id, d.threshold ORDER BY
@@ -168,7 +175,7 @@ FROM (SELECT * FROM (
     CASE WHEN NOT (g.selected_model = d.route_model AND g.selected_budget = d.route_budget) THEN g.cost_usd END,
     CASE WHEN NOT (g.selected_model = d.route_model AND g.selected_budget = d.route_budget) THEN g.latency_s END,
     g.selected_budget, g.selected_model, g.id) AS rn
-  FROM grid g JOIN dec d ON g.sample_id = d.sample_id) WHERE rn = 1)
+  FROM grid g JOIN dec d ON g.sample_id = d.sample_id WHERE g.split = 'dev') WHERE rn = 1)
 GROUP BY threshold"""
 DEC_CTE = ("dec", """SELECT t.sample_id, th.threshold,
   CASE WHEN coalesce(p.pconf >= th.threshold, false) THEN p.route_model ELSE t.route_model END AS route_model,
@@ -183,8 +190,8 @@ FROM thr t CROSS JOIN (VALUES (0.55), (0.65), (0.75), (0.85)) AS th(threshold) L
           ["threshold", "accuracy", "avg_cost", "total_cost", "avg_latency", "p95_latency", "fallback_rate", "utility"],
           ctes=(FIRSTQ, ("thr", THRESH_SQL), ("joint", JOINT_SQL), PRIM_CTE, DEC_CTE))
 def threshold_sweep(spark, sf):
-    """Confidence-threshold sweep in one job; first best p95 utility marked."""
-    return RP.sweep_thresholds(grid_view(spark, sf), primary_decisions(spark, sf), threshold_decisions(spark, sf))
+    """Confidence-threshold sweep on the dev split in one job; first best p95 utility marked."""
+    return RP.sweep_thresholds(split_grid(spark, sf, "dev"), primary_decisions(spark, sf), threshold_decisions(spark, sf))
 
 
 # predictions (B10/B12 "given predictions"): the threshold rule's budget for every (sample, model)
@@ -194,7 +201,7 @@ PRED_CTE = ("pred", "SELECT g.sample_id, g.selected_model, t.route_budget AS pre
 
 def predictions(spark, sf):
     grid = grid_view(spark, sf)
-    thr = R.route_threshold(RP.first_queries(grid), POOL).select("sample_id", F.col("route_budget").alias("predicted_budget"))
+    thr = R.route_threshold(sample_queries(spark, sf), POOL).select("sample_id", F.col("route_budget").alias("predicted_budget"))
     pairs = grid.select("sample_id", "selected_model").distinct()
     return pairs.join(thr, "sample_id")
 
@@ -223,14 +230,14 @@ def policy_replay(spark, sf):
   CASE WHEN starts_with(policy, 'fixed_budget_') THEN CAST(replace(policy, 'fixed_budget_', '') AS INTEGER) END AS fallback_budget,
   utility AS calibration_utility, accuracy AS calibration_accuracy, avg_cost AS calibration_avg_cost, avg_latency AS calibration_avg_latency
 FROM (SELECT *, {Q.summary_utility()} AS utility FROM (
-  SELECT 'learned_policy_raw' AS policy, {Q.METRICS} FROM polrep
-  UNION ALL SELECT concat('fixed_budget_', CAST(selected_budget AS VARCHAR)), {Q.METRICS} FROM grid GROUP BY selected_budget))
+  SELECT 'learned_policy_raw' AS policy, {Q.METRICS} FROM polrep WHERE split = 'dev'
+  UNION ALL SELECT concat('fixed_budget_', CAST(selected_budget AS VARCHAR)), {Q.METRICS} FROM grid WHERE split = 'dev' GROUP BY selected_budget))
 ORDER BY utility DESC, accuracy DESC, avg_cost, policy LIMIT 1""",
           ["calibration_utility", "calibration_accuracy", "calibration_avg_cost", "calibration_avg_latency"],
           ctes=(FIRSTQ, ("thr", THRESH_SQL), PRED_CTE, ("polrep", POLICY_REPLAY_SQL)))
 def calibration(spark, sf):
     """Calibrate the budget policy on the dev table against every fixed budget."""
-    return RP.calibrate(grid_view(spark, sf), predictions(spark, sf))
+    return RP.calibrate(split_grid(spark, sf, "dev"), predictions(spark, sf))
 
 
 @register("confidence_bands",

@@ -11,7 +11,10 @@ from gridstone.operators import routers as R
 from gridstone.plans import sqlfrag as Q
 from gridstone.plans.catalog import register
 from gridstone.plans.queries_core import POLICY_CTES
-from gridstone.plans.queries_more import FIRSTQ, POOL, ROUTER_SUMMARY, THRESH_SQL, _replay_sql
+from gridstone.operators import grading as G
+from gridstone.operators.summaries import mean
+from gridstone.plans.queries_more import FIRSTQ, POOL, ROUTER_SUMMARY, THRESH_SQL, _replay_sql, sample_queries, split_grid
+from gridstone.plans.queries_text import FAIL_CTES
 from gridstone.plans.queries_core import REGISTRY_BASELINE_SQL
 from gridstone.sources.views import grid_view, trace_log_view
 
@@ -19,23 +22,24 @@ M = "accuracy, avg_cost, total_cost, avg_latency, p95_latency, n"
 INTEG_SQL = f"""
 SELECT *, {Q.summary_utility(latency='p95')} AS utility FROM (
   SELECT task_type AS benchmark, concat('fixed_model_budget_', selected_model, '_', CAST(selected_budget AS VARCHAR)) AS policy,
-    'fixed_model_budget' AS policy_family, {Q.METRICS} FROM grid GROUP BY task_type, selected_model, selected_budget
+    'fixed_model_budget' AS policy_family, {Q.METRICS} FROM testgrid GROUP BY task_type, selected_model, selected_budget
   UNION ALL
   SELECT benchmark, concat('aggregate_utility_', selected_model, '_', CAST(selected_budget AS VARCHAR)), 'joint_aggregate_utility', {M}
   FROM (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY {Q.summary_utility()} DESC, accuracy DESC, avg_cost,
           selected_model, selected_budget) AS rn
-        FROM (SELECT task_type AS benchmark, selected_model, selected_budget, {Q.METRICS} FROM grid
+        FROM (SELECT task_type AS benchmark, selected_model, selected_budget, {Q.METRICS} FROM testgrid
               GROUP BY task_type, selected_model, selected_budget)) WHERE rn = 1
   UNION ALL
   SELECT task_type, 'phase2_threshold', 'phase2_threshold', {Q.METRICS} FROM replayed GROUP BY task_type)
 """
-INTEG_CTES = (FIRSTQ, ("thr", THRESH_SQL), ("replayed", _replay_sql("thr")), ("integ", INTEG_SQL))
+TEST_CTE = ("testgrid", "SELECT * FROM grid WHERE split = 'test'")
+INTEG_CTES = (FIRSTQ, TEST_CTE, ("thr", THRESH_SQL), ("replayed", _replay_sql("thr", "testgrid")), ("integ", INTEG_SQL))
 DOUBLES = Q.METRIC_DOUBLES + ["utility"]
 
 
 def _integrated(spark, sf):
-    grid = grid_view(spark, sf)
-    sel, _ = RP.replay_router(grid, R.route_threshold(RP.first_queries(grid), POOL), "threshold")
+    grid = split_grid(spark, sf, "test")
+    sel, _ = RP.replay_router(grid, R.route_threshold(sample_queries(spark, sf), POOL), "threshold")
     return RE.integrated_summary(grid, sel, "threshold")
 
 
@@ -75,16 +79,21 @@ def win_list(spark, sf):
         "winning_benchmarks", F.coalesce("winning_benchmarks", F.lit("")))
 
 
-@register("final_failures", """SELECT task_type AS benchmark, coalesce(error_type, 'none') AS error_type, count(*) AS count,
-  avg(cost_usd) AS avg_cost, avg(latency_s) AS avg_latency FROM replayed WHERE NOT is_correct GROUP BY task_type, coalesce(error_type, 'none')""",
-          ["avg_cost", "avg_latency"], ctes=INTEG_CTES)
+@register("final_failures", """SELECT r.task_type AS benchmark, c.failure_class, coalesce(r.error_type, 'none') AS error_type, count(*) AS count,
+  (CAST(sum(CAST(r.cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(r.cost_usd)) AS avg_cost,
+  (CAST(sum(CAST(r.latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(r.latency_s)) AS avg_latency
+FROM replayed r JOIN classified c ON r.id = c.id WHERE NOT r.is_correct GROUP BY ALL""",
+          ["avg_cost", "avg_latency"], ctes=(*INTEG_CTES, *FAIL_CTES))
 def final_failures(spark, sf):
-    """Q3: cross-benchmark failure summary of the router's selected rows (recorded error type, T5)."""
-    grid = grid_view(spark, sf)
-    sel, _ = RP.replay_router(grid, R.route_threshold(RP.first_queries(grid), POOL), "threshold")
-    return sel.filter(~F.col("is_correct")).groupBy(F.col("task_type").alias("benchmark"),
-                                                    F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(
-        F.count(F.lit(1)).alias("count"), F.avg("cost_usd").alias("avg_cost"), F.avg("latency_s").alias("avg_latency"))
+    """Q3: cross-benchmark failure summary of the router's selected rows on the test split: class from the output
+    and recorded error type (T5)."""
+    grid = split_grid(spark, sf, "test")
+    sel, _ = RP.replay_router(grid, R.route_threshold(sample_queries(spark, sf), POOL), "threshold")
+    failed = sel.filter(~F.col("is_correct")).join(grid.select("id", "output_text"), "id")
+    graded = G.add_grades(failed).withColumn("extracted_answer", F.col("_g_extracted"))
+    return G.add_failure_class(graded).groupBy(
+        F.col("task_type").alias("benchmark"), "failure_class", F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(
+        F.count(F.lit(1)).alias("count"), mean("cost_usd").alias("avg_cost"), mean("latency_s").alias("avg_latency"))
 
 
 ABL_CASE = "CASE policy_family " + " ".join(f"WHEN {Q.lit(k)} THEN {Q.lit(v)}" for k, v in
@@ -142,7 +151,7 @@ def evaluation_bundle(spark, sf):
         "policy", "policy_family", F.lit(None).cast("string").alias("router_name"), "selected_model", "selected_model_tier",
         F.col("selected_budget").cast("string").alias("selected_budget"), "accuracy", "avg_cost", "avg_latency",
         F.lit(None).cast("double").alias("avg_route_confidence"), F.lit(None).cast("double").alias("fallback_rate"))
-    _, summ = RP.replay_router(grid, R.route_threshold(RP.first_queries(grid), POOL), "threshold")
+    _, summ = RP.replay_router(grid, R.route_threshold(sample_queries(spark, sf), POOL), "threshold")
     summ = summ.select("policy", "policy_family", "router_name", "selected_model", "selected_model_tier", "selected_budget",
                        "accuracy", "avg_cost", "avg_latency", "avg_route_confidence", "fallback_rate")
     return RE.rank_policies(base.unionByName(summ))

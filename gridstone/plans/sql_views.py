@@ -58,6 +58,8 @@ FROM events
 """
 
 BASE_VIEWS = {"samples": SAMPLES_SQL, "grid": GRID_SQL, "trace_log": TRACE_LOG_SQL}
+# Text layers that several parts of an oracle read: computed once.
+COSTLY = ("graded", "fin", "fbase", "classified")
 _DEPENDS = {"grid": ["samples"], "samples": [], "trace_log": []}
 
 
@@ -76,7 +78,7 @@ def with_views(body: str, *ctes: tuple[str, str]) -> str:
         if _mentions(text, name):
             need(name)
     parts = [f"{name} AS ({BASE_VIEWS[name]})" for name in needed]
-    parts += [f"{name} AS ({sql})" for name, sql in ctes]
+    parts += [f"{name} AS {'MATERIALIZED ' if name in COSTLY else ''}({sql})" for name, sql in ctes]
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body

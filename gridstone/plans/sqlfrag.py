@@ -115,8 +115,8 @@ def summary_utility(w: Weights | None = None, latency: str = "avg") -> str:
             f"- CAST({w.gamma} AS DOUBLE) * {lat})")
 
 
-METRICS = ("avg(CAST(is_correct AS DOUBLE)) AS accuracy, avg(cost_usd) AS avg_cost, sum(cost_usd) AS total_cost, "
-           "avg(latency_s) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n")
+METRICS = ("avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost, "
+           "(CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n")
 METRIC_DOUBLES = ["accuracy", "avg_cost", "total_cost", "avg_latency", "p95_latency"]
 
 

@@ -14,6 +14,9 @@ from gridstone.session import shared_path
 from gridstone.sources.views import trace_log_from_events
 
 
+REQUEST_FIELDS = ["sample_id", "selected_model", "selected_budget", "task_type"]
+
+
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
@@ -31,13 +34,6 @@ def with_request_key(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("request_key", F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256))
 
 
-def route_stream(sdf: DataFrame, pool) -> DataFrame:
-    """Stateless threshold routing of a request stream (features + rule per row)."""
-    from gridstone.operators.routers import route_threshold
-
-    return route_threshold(sdf, pool)
-
-
 def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run a stream to completion with ``availableNow`` into a parquet sink under the
     shared checkpoint folder, then return the sink as a batch DataFrame."""
@@ -53,6 +49,5 @@ def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events stream → trace rows with request keys, de-duplicated within the watermark,
     appended to a parquet trace table (exactly-once via the checkpoint)."""
     traces = trace_log_from_events(events_stream(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    keyed = with_request_key(traces, ["sample_id", "selected_model", "selected_budget", "task_type"])
-    deduped = dedup_requests(keyed.withColumn("request_key", F.concat_ws(":", "request_key", F.col("id").cast("string"))))
-    return run_available_now(deduped, "traces")
+    keyed = with_request_key(traces, REQUEST_FIELDS)
+    return run_available_now(dedup_requests(keyed), "traces")
