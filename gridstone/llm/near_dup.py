@@ -10,11 +10,12 @@ order, so a register of two documents is equal with probability J.
    (1 - 0.75^5)^60 < 1e-7.  In each key's bucket all members are paired with one leader only: the member that meets most
    others.  Sketches then estimate J, corrected for collisions of registers by chance, with a margin of 5.5 standard
    deviations; what passes is confirmed on the full sets.
-3. Links give components.  Buckets that still hold several components have links that leaders may have missed.  Small
-   ones pair their members across components.  Large ones first drop, by an exact bound, the members that cannot link to
-   another component: a shingle that no other component of the large buckets has cannot be shared, so c shared shingles
-   at most, in a set of n, against sets of m or more, give J <= c / (n + max(m, c) - c).
-4. The pairs of step 3 are estimated and confirmed like the first, and all links give the final components.
+3. Links give components.  Members of buckets that still hold several components are paired with the bucket's
+   ``LEADERS`` next leaders, and the components are joined up again.
+4. What is still mixed is settled in full.  Small buckets pair their members across components.  In large ones a pair is
+   listed only if an exact bound allows it: a shingle whose bit is not in the other set's bitmap is not in the other set,
+   so |A and B| <= |A| - (bits of A that B lacks), and the same the other way round.  All of these pairs are estimated
+   and confirmed like the first, and all links give the final components.
 
 No step lists the pairs of a bucket's copies, nothing is capped, and nothing but counts reaches the driver.
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.llm.common import RangeHash, materialize, mix64
@@ -39,8 +40,11 @@ ROWS, BANDS = 5, 60
 REGISTERS = ROWS * BANDS
 MANTISSA, VALUE_BITS = 10, 40
 MARGIN = 5.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: A bucket with more cross-component pairs than this is thinned by the exact bound before its pairs are listed.
-DIRECT_PAIRS = 200
+LEADERS = 8
+#: A bucket with more cross-component pairs than this lists only those that the bitmaps' bound allows.
+DIRECT_PAIRS, BITMAP_LONGS = 200, 32
+#: Up to so many ids (8 MB) are broadcast to pick texts; beyond, texts and ids are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 SKETCH = "doc_id long, n_shingles int, d1 long, d2 long, regs binary"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,17 +181,32 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """node, set: the sorted shingle hashes of each text as 64-bit integers in binary."""
+    """node, set: the sorted shingle hashes of each text as 64-bit integers in binary; n: their number; bits: a bitmap of
+    the set, one bit by each hash."""
 
     def run(batches):
         for part in _pieces(batches):
             doc, h = shingle_sets(part.column("text").to_pylist())
-            ends = np.searchsorted(doc, np.arange(part.num_rows), side="right")
-            starts = np.searchsorted(doc, np.arange(part.num_rows), side="left")
+            rows = np.arange(part.num_rows)
+            starts, ends = np.searchsorted(doc, rows, side="left"), np.searchsorted(doc, rows, side="right")
+            place = (mix64(h + np.uint64(0x1F83D9ABFB41BD6B)) % np.uint64(64 * BITMAP_LONGS)).astype(np.int64)
+            bits = np.zeros(part.num_rows * BITMAP_LONGS, np.uint64)
+            np.bitwise_or.at(bits, doc * BITMAP_LONGS + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BITMAP_LONGS)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["node", "set"])
+                [part.column("doc_id").cast(pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                 pa.array((ends - starts).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(bits.view(np.int64)))], names=["node", "set", "n", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary, n int, bits array<long>")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (doc_id, distinct).  A bounded number of ids is broadcast, so texts
+    stay where they are; more ids are joined by a shuffle."""
+    ids = materialize(ids, "near-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
 def _keep_pairs(pairs: DataFrame, test) -> DataFrame:
@@ -219,7 +238,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= 75 * union."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(full_sets(docs.select("doc_id", "text").join(need, "doc_id", "left_semi")), "near-sets")
+    sets = materialize(full_sets(_texts_of(docs, need)).select("node", "set"), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
 
@@ -242,6 +261,7 @@ def components(links: DataFrame) -> DataFrame:
     the shuffle, and the steps' frames are written tables.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -249,8 +269,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         new = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        before, state = state, new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
             break
         edges = new
     return new.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(new.select("v", "v").distinct())
@@ -269,34 +289,35 @@ def _cross_pairs(members: DataFrame, condition: Column | None = None) -> DataFra
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def _remaining(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs across components in buckets that hold several (step 3 above)."""
-    m = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    m = materialize(m, "near-members")
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, node, weight, comp, cross of the buckets that hold several components; cross: their pairs across them."""
+    m = members.select("key", "node", "weight").join(comp, "node", "left")
+    m = materialize(m.select("key", "node", "weight", F.coalesce("comp", "node").alias("comp")), "near-members")
     sizes = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     cross = sizes.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross")).where("cross > 0")
-    mixed = materialize(m.join(cross, "key"), "near-mixed")
+    return materialize(m.join(cross, "key"), "near-mixed")
+
+
+def _led(mixed: DataFrame) -> DataFrame:
+    """Members paired with the leaders of their bucket that are in another component."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "node"))
+    leaders = mixed.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("key", F.col("node").alias("leader"), F.col("comp").alias("other"))
+    pairs = mixed.join(materialize(leaders, "near-leaders"), "key").where("comp <> other")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _remaining(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs across components that can be similar (step 4 above)."""
     direct = _cross_pairs(mixed.where(F.col("cross") <= DIRECT_PAIRS).select("key", "node", "comp"))
-    large = mixed.where(F.col("cross") > DIRECT_PAIRS)
-    inside = large.select(F.col("node").alias("doc_id"), "comp").distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(inside.select("doc_id"), "doc_id", "left_semi"))
-    shingles = sets.join(inside.withColumnRenamed("doc_id", "node"), "node").select("node", "comp", F.explode(_longs("set")).alias("h"))
-    shingles = materialize(shingles, "near-shingles")
-    common = shingles.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    shared = shingles.join(common, "h").groupBy("node").agg(F.countDistinct("h").alias("c"))
-    sized = large.select("key", "node", "comp").join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node")
-    sized = sized.join(shared, "node")
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    bound = 100 * F.col("c") >= SIMILARITY * (F.col("n") + F.greatest("least", "c") - F.col("c"))
-    able = materialize(sized.join(least, "key").where(bound).select("key", "node", "comp", "n", "c"), "near-able")
-    c = F.least("c_a", "c_b")
-    return direct.union(_cross_pairs(able, 100 * c >= SIMILARITY * (F.col("n_a") + F.col("n_b") - c))).distinct()
-
-
-def _longs(column: str) -> Column:
-    """Big-endian value of each 8 bytes: any one-to-one reading serves to compare shingles."""
-    at = F.sequence(F.lit(0), (F.length(column) / 8).cast("int") - 1)
-    return F.transform(at, lambda i: F.conv(F.hex(F.substring(F.col(column), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    large = materialize(mixed.where(F.col("cross") > DIRECT_PAIRS).select("key", "node", "comp"), "near-large")
+    if large.isEmpty():
+        return direct
+    sets = full_sets(_texts_of(docs, large.select(F.col("node").alias("doc_id")).distinct())).select("node", "n", "bits")
+    sized = materialize(large.join(sets, "node"), "near-bits")
+    lacks = lambda x, y: sum((F.bit_count(F.get(f"bits_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", F.lit(i))))) for i in range(BITMAP_LONGS)), F.lit(0))
+    shared = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
+    able = 100 * shared >= SIMILARITY * (F.col("n_a") + F.col("n_b") - shared)
+    return direct.union(_cross_pairs(sized, able)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -320,12 +341,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(likely(stars, nodes), "near-likely")
     links = materialize(confirm(first, texts), "near-links")
     comp = materialize(components(links), "near-comp")
-    pairs = _remaining(weighed.select("key", "node"), comp, nodes, texts).join(first, ["a", "b"], "left_anti")
-    second = materialize(likely(materialize(pairs, "near-pairs"), nodes), "near-likely")
-    more = materialize(confirm(second, texts), "near-links")
-    if not more.isEmpty() or not of_copies.isEmpty():
+    tried = first
+    for find in (_led, lambda m: _remaining(m, texts)):
+        mixed = _mixed(weighed, comp)
+        if mixed.isEmpty():
+            break
+        second = materialize(likely(materialize(find(mixed).join(tried, ["a", "b"], "left_anti"), "near-pairs"), nodes), "near-likely")
+        more = materialize(confirm(second, texts), "near-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = materialize(components(links), "near-comp")
+        tried, weighed = tried.union(second), mixed
+    if not of_copies.isEmpty():
         copies = of_copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-        comp = materialize(components(links.union(more).union(copies)), "near-comp")
+        comp = materialize(components(links.union(copies)), "near-comp")
     found = all_rows.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return found.select(
