@@ -11,7 +11,8 @@ close together travel as one row until a pass tells them apart:
    removed whole; the earliest goes on only if the digit has other covered bytes too.
 2. Last digit: the remaining rows get their covered bytes, and within a digit all windows at the same distance from it are
    ordered by their ``WIDTH`` bytes.  All but the earliest of an equal group are removed.  A digit with more than
-   ``GROUP_ROWS`` rows is not ordered in one task: its windows become rows of their own, grouped across the cluster.
+   ``GROUP_ROWS`` rows is not ordered in one task: its rows are dealt out by a salt and their windows become rows of
+   their own, which are grouped across the cluster.
 3. The removed windows of a document are merged into spans and cut out of its text.
 
 Earlier means a smaller document id, or the same document and an earlier start.  Copies inside one block of texts are
@@ -37,7 +38,7 @@ from gridstone.llm.common import RangeHash, materialize, partitions
 WIDTH, DIGIT = 100, 32
 #: Bytes hashed at a time; longer texts are taken in pieces that overlap by a window.
 BLOCK = 1 << 20
-GROUP_ROWS = 4096
+GROUP_ROWS, SALTS = 4096, 256
 NULL_ID = -(2**63)
 ROW = "h long, k long, id long, tie long, at long, run int, lead int"
 PASS_ONE = "kind int, h long, id long, tie long, at long, until long, lead int"
@@ -201,8 +202,12 @@ def _pass_one(spans, go) -> pa.RecordBatch:
 
 
 def covered_bytes(going: DataFrame, docs: DataFrame) -> DataFrame:
-    """h, id, tie, at, lead, cover (the bytes of a run's windows) of the runs that go on."""
-    lists = going.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", F.col("until").cast("int").alias("run"), "lead")).alias("runs"))
+    """h, id, tie, at, lead, salt, cover (the bytes of a run's windows) of the runs that go on; salt is -1 unless the
+    digit is frequent."""
+    counts = going.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+    salt = F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
+    salted = going.join(counts, "h", "left").withColumn("salt", salt)
+    lists = salted.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", F.col("until").cast("int").alias("run"), "lead", "salt")).alias("runs"))
     joined = docs.join(lists, ["id", "tie"])
 
     def run(batches):
@@ -210,12 +215,12 @@ def covered_bytes(going: DataFrame, docs: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 data = (batch.column("text")[row].as_py() or "").encode()
                 runs = batch.column("runs")[row].values
-                h, at, n, lead = (runs.field(c) for c in ("h", "at", "run", "lead"))
+                h, at, n, lead, salt = (runs.field(c) for c in ("h", "at", "run", "lead", "salt"))
                 cover = [data[a : a + m - 1 + WIDTH] for a, m in zip(at.to_pylist(), n.to_pylist(), strict=True)]
                 same = [pa.array([batch.column(c)[row].as_py()] * len(h), pa.int64()) for c in ("id", "tie")]
-                yield pa.RecordBatch.from_arrays([h, *same, at, lead, pa.array(cover, pa.binary())], names=["h", "id", "tie", "at", "lead", "cover"])
+                yield pa.RecordBatch.from_arrays([h, *same, at, lead, salt, pa.array(cover, pa.binary())], names=["h", "id", "tie", "at", "lead", "salt", "cover"])
 
-    return joined.mapInArrow(run, "h long, id long, tie long, at long, lead int, cover binary")
+    return joined.mapInArrow(run, "h long, id long, tie long, at long, lead int, salt int, cover binary")
 
 
 def _windows(h, i, tie, at, lead, cover):
@@ -233,8 +238,8 @@ def _windows(h, i, tie, at, lead, cover):
 
 
 def last_digits(rows: DataFrame) -> DataFrame:
-    """Pass 2 over rows sorted by digit: spans to remove (w 0, ``until`` set), and the windows of digits with more rows
-    than one task should order (``until`` 0)."""
+    """Pass 2 over rows sorted by digit: spans to remove (w 0, ``until`` set), and the windows of frequent digits
+    (``until`` 0).  A task holds the rows of one batch and of one digit that is not frequent."""
 
     def resolve(group):
         h, key, i, tie, p = _windows(*group)
@@ -250,68 +255,35 @@ def last_digits(rows: DataFrame) -> DataFrame:
         zero = np.zeros(int(new.sum()), np.int64)
         return [zero, zero, i[new], tie[new], p[new], p[end] + WIDTH]
 
-    def run(batches):
-        held: list[list] = [[] for _ in range(6)]
-        hot = None
-
-        def batch_of(columns):
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=[c.split()[0] for c in WINDOWS.split(", ")])
+    def batch_of(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
-        def arrays(rows):
-            return [np.array(x, np.int64) if n < 5 else x for n, x in enumerate(rows)]
-
-        def spread(rows):
-            h, key, i, tie, p = _windows(*arrays(rows))
-            return batch_of([h, key, i, tie, p, np.zeros(len(h), np.int64)])
+    def arrays(rows):
+        return [np.array(x, np.int64) if n < 5 else x for n, x in enumerate(rows)]
 
+    def run(batches):
+        held: list[list] = [[] for _ in range(6)]
         for batch in batches:
-            for n, c in enumerate(("h", "id", "tie", "at", "lead", "cover")):
-                held[n].extend(batch.column(c).to_pylist())
-            while held[0]:
-                if hot is not None:  # rows of a digit known to be frequent
-                    cut = next((x for x, v in enumerate(held[0]) if v != hot), len(held[0]))
-                    for at in range(0, cut, GROUP_ROWS):
-                        yield spread([x[at : min(cut, at + GROUP_ROWS)] for x in held])
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                frequent = part.column("salt").to_numpy(zero_copy_only=False) >= 0
+                if frequent.any():
+                    own = part.filter(pa.array(frequent))
+                    h, key, i, tie, p = _windows(*arrays([own.column(c).to_pylist() for c in ("h", "id", "tie", "at", "lead", "cover")]))
+                    yield batch_of([h, key, i, tie, p, np.zeros(len(h), np.int64)])
+                part = part.filter(pa.array(~frequent))
+                for n, c in enumerate(("h", "id", "tie", "at", "lead", "cover")):
+                    held[n].extend(part.column(c).to_pylist())
+                if held[0] and held[0][0] != held[0][-1]:  # all digits but the last are whole
+                    cut = held[0].index(held[0][-1])
+                    yield batch_of(resolve(arrays([x[:cut] for x in held])))
                     held = [x[cut:] for x in held]
-                    if held[0]:
-                        hot = None
-                    continue
-                if len(held[0]) <= GROUP_ROWS:
-                    break
-                tail = held[0][-1]
-                cut = next(x for x, v in enumerate(held[0]) if v == tail)
-                if cut == 0:
-                    hot = tail
-                    continue
-                for at in _group_cuts(held[0][:cut]):
-                    part = [x[at[0] : at[1]] for x in held]
-                    yield spread(part) if at[1] - at[0] > GROUP_ROWS else batch_of(resolve(arrays(part)))
-                held = [x[cut:] for x in held]
         if held[0]:
-            for at in _group_cuts(held[0]) if hot is None else [(0, len(held[0]))]:
-                part = [x[at[0] : at[1]] for x in held]
-                yield spread(part) if at[1] - at[0] > GROUP_ROWS or hot is not None else batch_of(resolve(arrays(part)))
+            yield batch_of(resolve(arrays(held)))
 
     return rows.mapInArrow(run, WINDOWS)
 
 
-def _group_cuts(h: list[int]) -> list[tuple[int, int]]:
-    """Slices of whole digits: as many as fit in GROUP_ROWS, a larger digit alone."""
-    values = np.array(h, np.int64)
-    edges = np.concatenate([[0], np.nonzero(values[1:] != values[:-1])[0] + 1, [len(values)]])
-    cuts, begin = [], 0
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b - begin > GROUP_ROWS and a > begin:
-            cuts.append((begin, int(a)))
-            begin = int(a)
-        if b - a > GROUP_ROWS:
-            cuts.append((int(a), int(b)))
-            begin = int(b)
-    if begin < len(values):
-        cuts.append((begin, len(values)))
-    return cuts
-
-
 def _frequent(windows: DataFrame) -> DataFrame:
     """Spans of the windows of frequent digits that an earlier equal window precedes."""
     order = F.struct("id", "tie", "at")
@@ -333,7 +305,7 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     sorted_rows = first_digits(rows).repartition(n, "h").sortWithinPartitions("h", "k", "id", "tie", "at")
     one = materialize(settle_digits(sorted_rows), "suffix-digits")
     going = one.where("kind = 1")
-    covers = covered_bytes(going, rows).repartition(n, "h").sortWithinPartitions("h", "id", "tie", "at")
+    covers = covered_bytes(going, rows).repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "id", "tie", "at")
     two = materialize(last_digits(covers), "suffix-windows")
     frequent = _frequent(two.where("until = 0").select("h", "w", "id", "tie", "at"))
     spans = [x.select("id", "tie", "at", "until") for x in (one.where("kind = 0"), two.where("until > 0"), frequent)]
