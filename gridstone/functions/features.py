@@ -23,38 +23,39 @@ DIGITS = "0123456789"
 
 
 def count_chars(col: Column, chars: str) -> Column:
-    """Number of characters of ``col`` that belong to ``chars``."""
-    return F.length(col) - F.length(F.translate(col, chars, ""))
+    """Number of characters of ``col`` that belong to ``chars``: all others are cut out in whole runs."""
+    cls = "".join("\\" + c for c in chars if c in "\\]^-[&") + "".join(c for c in chars if c not in "\\]^-[&")
+    return F.length(F.regexp_replace(col, "[^" + cls + "]+", ""))
 
 
-def word_count(col: Column) -> Column:
-    """Number of maximal non-whitespace runs."""
-    return F.size(F.regexp_extract_all(col, F.lit("(" + NON_WS + "+)"), 1))
+def words(col: Column) -> Column:
+    """Maximal runs of characters other than white space."""
+    return F.array_remove(F.split(col, WS + "+", -1), "")
 
 
-def ws_count(col: Column) -> Column:
-    return F.length(col) - F.length(F.regexp_replace(col, WS, ""))
-
-
-def marker_count(col: Column, markers: tuple[str, ...]) -> Column:
-    low = F.lower(col)
+def marker_count(low: Column, markers: tuple[str, ...]) -> Column:
+    """Number of ``markers`` in the lower-cased text ``low``."""
     total = F.lit(0)
     for m in markers:
         total = total + (F.instr(low, m) > 0).cast("int")
     return total
 
 
-def surface_counts(query_col: str = "query") -> dict[str, Column]:
+def surface_counts(query_col: str = "query", words_col: str | None = None, low_col: str | None = None) -> dict[str, Column]:
+    """Counts over the whole text.  ``words_col`` and ``low_col`` name staged columns with its words and its lower-cased
+    form, which are then made once."""
     q = F.coalesce(F.col(query_col).cast("string"), F.lit(""))
+    w = F.col(words_col) if words_col else words(q)
+    low = F.col(low_col) if low_col else F.lower(q)
     return {
         "char_count": F.length(q),
-        "word_count": word_count(q),
+        "word_count": F.size(w),
         "digit_count": count_chars(q, DIGITS),
         "math_symbol_count": count_chars(q, MATH_SYMBOLS),
         "punctuation_count": count_chars(q, PUNCTUATION),
-        "code_marker_count": marker_count(q, SURFACE_CODE_MARKERS),
-        "probe_code_markers": marker_count(q, PROBE_CODE_MARKERS),
-        "non_ws_chars": F.length(q) - ws_count(q),
+        "code_marker_count": marker_count(low, SURFACE_CODE_MARKERS),
+        "probe_code_markers": marker_count(low, PROBE_CODE_MARKERS),
+        "non_ws_chars": F.length(F.array_join(w, "")),
     }
 
 
@@ -143,6 +144,8 @@ def feature_frame(df: DataFrame, query_col: str = "query") -> DataFrame:
     Counts are staged once per row, then every feature is arithmetic on them."""
     names = set(SURFACE_COLUMNS) | set(PROBE_COLUMNS)
     keep = [c for c in df.columns if c not in names]
-    counts = surface_counts(query_col)
-    staged = df.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
+    q = F.coalesce(F.col(query_col).cast("string"), F.lit(""))
+    base = df.select(*df.columns, words(q).alias("_f_words"), F.lower(q).alias("_f_low"))
+    counts = surface_counts(query_col, "_f_words", "_f_low")
+    staged = base.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
     return staged.select(*keep, *features_from_counts())

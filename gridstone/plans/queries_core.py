@@ -10,7 +10,7 @@ from gridstone.operators import policies as P
 from gridstone.operators import summaries as S
 from gridstone.plans import sqlfrag as Q
 from gridstone.plans.catalog import register
-from gridstone.sources.views import grid_view, samples_view, table, trace_log_view
+from gridstone.sources.views import grid_view, samples_view, table, trace_log_view, spread
 
 MD = Q.METRIC_DOUBLES
 UTIL = Q.summary_utility()
@@ -341,7 +341,7 @@ def feature_frame(spark, sf):
     FEATURE_DOUBLES, headline=True, note="whole document texts",
 )
 def document_features(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     return FT.feature_frame(docs, "text").drop("text")
 
 

@@ -29,12 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: an input of few splits would leave most of them idle
+    in a stage that works hard on each row.  Large inputs have more splits and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
 def samples_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
     d = F.col("doc_id")
     m4 = d % 4
     task = F.when(m4 == 0, "gsm8k").when(m4 == 1, "math").when(m4 == 2, "humaneval").otherwise("custom")
