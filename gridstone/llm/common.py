@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches to Python limited by bytes as well as rows: very long texts come a few at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
+def text_parts(batches, column: str, rows: int, size: int = 4 << 20):
+    """Slices of Arrow batches of up to ``rows`` rows and, unless a single text is longer, ``size`` bytes of text."""
+    for batch in batches:
+        length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(np.cumsum(length[at : at + rows]), size, side="right"))
+            n = max(1, min(n, rows))
+            yield batch.slice(at, n)
+            at += n
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

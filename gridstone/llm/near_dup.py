@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import RangeHash, materialize, mix64
+from gridstone.llm.common import RangeHash, materialize, mix64, small_batches, text_parts
 
 SHINGLE, SIMILARITY = 5, 75
 ROWS, BANDS = 5, 60
@@ -154,17 +154,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 # jobs
 # ---------------------------------------------------------------------------
 
-def _pieces(batches, rows: int = 256):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """SKETCH rows: id, set size, 128-bit digest of the set, registers."""
 
     def run(batches):
-        for part in _pieces(batches):
+        for part in text_parts(batches, "text", 256):
             doc, h = shingle_sets(part.column("text").to_pylist())
             regs = sketch(doc, h, part.num_rows)
             sums = []
@@ -177,7 +171,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), *sums, pa.array([r.tobytes() for r in regs], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -185,7 +179,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     the set, one bit by each hash."""
 
     def run(batches):
-        for part in _pieces(batches):
+        for part in text_parts(batches, "text", 256):
             doc, h = shingle_sets(part.column("text").to_pylist())
             rows = np.arange(part.num_rows)
             starts, ends = np.searchsorted(doc, rows, side="left"), np.searchsorted(doc, rows, side="right")
@@ -197,7 +191,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 [part.column("doc_id").cast(pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
                  pa.array((ends - starts).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(bits.view(np.int64)))], names=["node", "set", "n", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary, n int, bits array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "node long, set binary, n int, bits array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,8 +207,10 @@ def _keep_pairs(pairs: DataFrame, test) -> DataFrame:
     """a, b of the pairs for which ``test`` (batch to mask) holds."""
 
     def run(batches):
-        for part in _pieces(batches, 2048):
-            yield part.select(["a", "b"]).filter(pa.array(test(part)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield part.select(["a", "b"]).filter(pa.array(test(part)))
 
     return pairs.mapInArrow(run, "a long, b long")
 

@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from gridstone.llm.common import small_batches, text_parts
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A vocabulary above this size is refused rather than broadcast.
 MAX_MODEL_BYTES = 64 << 20
-#: Units up to so many bytes are solved together; the cache of solved units is emptied when it has so many.
-SHORT_UNIT, CACHE_UNITS = 48, 150_000
+#: Units up to so many bytes are solved together; the cache of solved units is emptied when it has so many; the new units
+#: of so many texts are solved at a time.
+SHORT_UNIT, CACHE_UNITS, PART_ROWS = 48, 400_000, 1024
 #: FIXED VALUES: kinds of pieces in a model file.
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 
@@ -285,22 +288,15 @@ class Encoder:
         self.v, self.cache, self.find = vocabulary, {}, re.compile(vocabulary.units).findall
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        counts, chunks = np.zeros(len(texts), np.int64), []
-        for k, text in enumerate(texts):
-            if text:
-                units = self.find(" " + text)
-                missing = {u for u in units if u not in self.cache}
-                if missing:
-                    self._learn(missing)
-                    got = b"".join(map(self.cache.__getitem__, units))
-                    if len(self.cache) > CACHE_UNITS:
-                        self.cache.clear()
-                else:
-                    got = b"".join(map(self.cache.__getitem__, units))
-                counts[k] = len(got) // 4
-                chunks.append(got)
-        return np.frombuffer(b"".join(chunks), np.int32), counts
+        """(ids of all texts, number of ids of each).  The new units of all these texts are solved together."""
+        units = [self.find(" " + t) if t else [] for t in texts]
+        missing = set().union(*units) - self.cache.keys()
+        if missing:
+            self._learn(missing)
+        got = [b"".join(map(self.cache.__getitem__, u)) for u in units]
+        if len(self.cache) > CACHE_UNITS:
+            self.cache.clear()
+        return np.frombuffer(b"".join(got), np.int32), np.array([len(g) // 4 for g in got], np.int64)
 
     def _learn(self, units: set[str]) -> None:
         """A marker character of the text itself is cut out of its unit and written as bytes."""
@@ -330,17 +326,15 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, counts = encoder.encode(part.column(text).to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32))],
-                    names=[*part.schema.names, "ids", "n_tokens"])
+        for part in text_parts(batches, text, PART_ROWS):
+            ids, counts = encoder.encode(part.column(text).to_pylist())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32))],
+                names=[*part.schema.names, "ids", "n_tokens"])
 
     made = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *made]))
 
 
 def decode(tokens: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -368,19 +362,17 @@ def tokenize(docs: DataFrame, path: str = MODEL) -> DataFrame:
         encoder = Encoder(shared.value)
         is_byte = np.zeros(len(shared.value.scores), bool)
         is_byte[shared.value.byte_ids] = True
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                ids, counts = encoder.encode(texts)
-                ends = np.cumsum(counts)
-                bytes_seen = np.concatenate([[0], np.cumsum(is_byte[ids])])
-                same = [shared.value.decode(ids[e - n : e]) == (t or "").encode() for t, e, n in zip(texts, ends, counts, strict=True)]
-                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int32)), pa.array((bytes_seen[ends] - bytes_seen[ends - counts]).astype(np.int32)),
-                     pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same)],
-                    names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"])
+        for part in text_parts(batches, "text", PART_ROWS):
+            texts = part.column("text").to_pylist()
+            ids, counts = encoder.encode(texts)
+            ends = np.cumsum(counts)
+            bytes_seen = np.concatenate([[0], np.cumsum(is_byte[ids])])
+            same = [shared.value.decode(ids[e - n : e]) == (t or "").encode() for t, e, n in zip(texts, ends, counts, strict=True)]
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(counts.astype(np.int32)), pa.array((bytes_seen[ends] - bytes_seen[ends - counts]).astype(np.int32)),
+                 pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same)],
+                names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import RangeHash, materialize, partitions
+from gridstone.llm.common import RangeHash, materialize, partitions, small_batches, text_parts
 
 WIDTH, DIGIT = 100, 32
 #: Bytes hashed at a time; longer texts are taken in pieces that overlap by a window.
@@ -149,7 +149,7 @@ def first_digits(docs: DataFrame) -> DataFrame:
                 [_signed(out[0]), _signed(out[1]), pa.array(out[2].astype(np.int64)), pa.array(out[3].astype(np.int64)), pa.array(out[4].astype(np.int64)),
                  pa.array(out[5].astype(np.int32)), pa.array(out[6].astype(np.int32))], names=["h", "k", "id", "tie", "at", "run", "lead"])
 
-    return docs.mapInArrow(run, ROW)
+    return small_batches(docs).mapInArrow(run, ROW)
 
 
 def settle_digits(rows: DataFrame) -> DataFrame:
@@ -320,29 +320,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = rows.join(lists, ["id", "tie"], "left").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "spans")
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sizes, starts, ends, offsets, kept = [], [], [], [0], []
-                found = part.column("spans")
-                for row, text in enumerate(part.column("text").to_pylist()):
-                    data = (text or "").encode()
-                    sizes.append(len(data))
-                    cut = found[row].values
-                    if cut is None:
-                        kept.append(data)
-                    else:
-                        s, e = merge(*(cut.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")))
-                        starts.append(s)
-                        ends.append(e)
-                        edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(data)]
-                        kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                    offsets.append(offsets[-1] + (0 if cut is None else len(starts[-1])))
-                flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (starts, ends)]
-                struct = pa.StructArray.from_arrays(flat, names=["start", "end"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "spans", "kept"])
+        for part in text_parts(batches, "text", 256):
+            sizes, starts, ends, offsets, kept = [], [], [], [0], []
+            found = part.column("spans")
+            for row, text in enumerate(part.column("text").to_pylist()):
+                data = (text or "").encode()
+                sizes.append(len(data))
+                cut = found[row].values
+                if cut is None:
+                    kept.append(data)
+                else:
+                    s, e = merge(*(cut.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")))
+                    starts.append(s)
+                    ends.append(e)
+                    edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(data)]
+                    kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                offsets.append(offsets[-1] + (0 if cut is None else len(starts[-1])))
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (starts, ends)]
+            struct = pa.StructArray.from_arrays(flat, names=["start", "end"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
