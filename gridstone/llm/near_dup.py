@@ -316,20 +316,8 @@ def _remaining(mixed: DataFrame, docs: DataFrame) -> DataFrame:
     return direct.union(_cross_pairs(sized, able)).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    all_rows = materialize(sketches(texts), "near-sketches")
-    filled = all_rows.where("n_shingles > 0 and doc_id is not null")
-    digest = ["n_shingles", "d1", "d2"]
-    classes = materialize(filled.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "near-classes")
-    of_copies = filled.select("doc_id", *digest).join(classes.where("node <> last"), digest).where("doc_id <> node").select("doc_id", "node").distinct()
-    chosen = classes.select("node", *digest)
-    nodes = filled.withColumnRenamed("doc_id", "node").join(chosen, ["node", *digest], "left_semi")
-    nodes = materialize(nodes.select("node", F.col("n_shingles").alias("n"), "regs"), "near-nodes")
-    keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band_key)).alias("key"))
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    buckets = materialize(keys.join(met.select("key", "met"), "key"), "near-buckets")
+def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: confirmed links that join up all nodes that are linked, from the members (key, node, met) of the buckets."""
     weight = buckets.groupBy("node").agg(F.sum("met").alias("weight"))
     weighed = materialize(buckets.join(weight, "node").select("key", "node", "weight"), "near-weighed")
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("leader"))
@@ -348,9 +336,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.union(more)
             comp = materialize(components(links), "near-comp")
         tried, weighed = tried.union(second), mixed
-    if not of_copies.isEmpty():
-        copies = of_copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-        comp = materialize(components(links.union(copies)), "near-comp")
+    return links
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs`` (doc_id, text)."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    all_rows = materialize(sketches(texts), "near-sketches")
+    filled = all_rows.where("n_shingles > 0 and doc_id is not null")
+    digest = ["n_shingles", "d1", "d2"]
+    classes = materialize(filled.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "near-classes")
+    of_copies = filled.select("doc_id", *digest).join(classes.where("node <> last"), digest).where("doc_id <> node").select("doc_id", "node").distinct()
+    chosen = classes.select("node", *digest)
+    nodes = filled.withColumnRenamed("doc_id", "node").join(chosen, ["node", *digest], "left_semi")
+    nodes = materialize(nodes.select("node", F.col("n_shingles").alias("n"), "regs"), "near-nodes")
+    keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band_key)).alias("key"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    buckets = materialize(keys.join(met.select("key", "met"), "key"), "near-buckets")
+    copies = of_copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = copies if buckets.isEmpty() else copies.union(_links(buckets, nodes, texts))
+    if links.isEmpty():
+        comp = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    else:
+        comp = materialize(components(links), "near-comp")
     found = all_rows.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return found.select(
@@ -359,13 +367,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each component stays, with its own columns; of rows that share its id, one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    null_rows = docs.where("doc_id is null")
-    found = docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: one document of each component stays, with its own columns; of rows that share its id, one.
+
+    What goes is fewer than what stays: its ids are broadcast up to a bound, and beyond joined by a shuffle."""
+    gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    stays = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "near-repeated")
     if repeated.isEmpty():
-        return found if null_rows.isEmpty() else found.unionByName(null_rows)
-    once = found.join(repeated, "doc_id", "left_anti").unionByName(
-        found.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    return once.unionByName(null_rows)
+        return stays
+    once = stays.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return stays.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gridstone.llm.common import materialize
 
 SCOPE = 256
+#: Spans of up to so many texts (some 40 MB) are broadcast.
+BROADCAST_ROWS = 1 << 18
 #: FIXED VALUES: kinds in order; pattern, group whose length counts, fewest characters of it, role, strong or weak.
 KINDS = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, "secret", True),
@@ -116,8 +118,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """Pipeline stage: ``docs`` with every reported span replaced by ``mark`` (overlapping spans by one); ``n_chars``,
-    if present, follows the new text.  The text is moved only for rows that hold a span's key."""
+    if present, follows the new text.  Up to a bound the spans are broadcast and texts stay where they are; more spans
+    are joined by a shuffle."""
     _, linked = find(docs)
+    linked = materialize(linked, "secret-linked")
+    size = linked.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["spans"] <= 4 * BROADCAST_ROWS:
+        linked = F.broadcast(linked)
     text = F.coalesce("text", F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("key"))

@@ -37,3 +37,12 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, f"src{i % 3}", len(t or "")) for i, t in texts], "doc_id long, text string, source string, n_chars long").repartition(5)
 
 
+
+
+@pytest.fixture(scope="session", autouse=True)
+def few_partitions(spark):
+    """Small frames: two partitions still take every way through a shuffle."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -105,8 +105,8 @@ def test_near_duplicates_defined_results(spark):
     assert got == sorted([(None, 36, None, True), (1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=str)
     kept = sorted((r.doc_id or 0) for r in near_dup.drop_duplicates(frame.withColumn("n", F.lit(7)).withColumn("comp", F.lit("x"))).collect())
     assert kept == [0, 1, 3, 4]
-    empty = near_dup.near_duplicates(spark.createDataFrame([], EMPTY))
-    assert empty.count() == 0 and near_dup.drop_duplicates(spark.createDataFrame([], EMPTY)).columns == ["doc_id", "text", "source", "n_chars"]
+    empty = near_dup.drop_duplicates(spark.createDataFrame([], EMPTY))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "source", "n_chars"]
 
 
 def test_sketch_estimates_are_close():
