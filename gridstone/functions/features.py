@@ -149,3 +149,12 @@ def feature_frame(df: DataFrame, query_col: str = "query") -> DataFrame:
     counts = surface_counts(query_col, "_f_words", "_f_low")
     staged = base.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
     return staged.select(*keep, *features_from_counts())
+
+
+def with_embedding_features(df: DataFrame, vectors: DataFrame, key: str, dim: int = 16, vector_col: str = "embedding") -> DataFrame:
+    """the first ``dim`` components of each row's vector from a table of vectors (key, vector), zeros where the vector
+    is shorter or missing."""
+    v = vectors.select(key, F.slice(F.col(vector_col), 1, dim).alias("_v"))
+    j = df.join(v, key, "left")
+    at = lambda i: F.coalesce(F.get("_v", F.lit(i)).cast("double"), F.lit(0.0))
+    return j.select(*df.columns, *[at(i).alias(f"semantic_embedding_{i:02d}") for i in range(dim)])

@@ -38,3 +38,15 @@ def upsert_responses(old: DataFrame, new: DataFrame, key: str = "request_key", s
     u = old.unionByName(new, allowMissingColumns=True)
     cols = [c for c in u.columns if c != key]
     return u.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_r")).select(key, "_r.*")
+
+
+def assemble_traces(grid: DataFrame, responses: DataFrame, grades: DataFrame, key: str = "request_key") -> DataFrame:
+    """Grid rows with their response and grade.  A call that failed, or has no answer yet, is a trace of score 0 that
+    carries the error: the grade's error goes before the response's."""
+    r = responses.select(key, F.col("output_text"), F.col("error_type").alias("_call_error"))
+    g = grades.select(key, F.col("score").alias("_score"), F.col("is_correct").alias("_ok"), F.col("error_type").alias("_grade_error"))
+    j = grid.join(r, key, "left").join(g, key, "left")
+    return j.withColumns({
+        "score": F.coalesce("_score", F.lit(0.0)), "is_correct": F.coalesce("_ok", F.lit(False)),
+        "error_type": F.coalesce("_grade_error", "_call_error"),
+    }).drop("_score", "_ok", "_grade_error", "_call_error")

@@ -59,5 +59,6 @@ def load_all() -> dict[str, QuerySpec]:
     from gridstone.plans import queries_more  # noqa: F401
     from gridstone.plans import queries_reports  # noqa: F401
     from gridstone.plans import queries_extra  # noqa: F401
+    from gridstone.plans import queries_sources  # noqa: F401
 
     return REGISTRY

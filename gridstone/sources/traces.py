@@ -9,3 +9,40 @@ from pyspark.sql import functions as F
 def latest_traces(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` most recent traces by id (top-k: TakeOrderedAndProject, no full sort)."""
     return df.orderBy(F.desc("id")).limit(n)
+
+
+# FIXED VALUES: columns of the trace table that older files may lack, their types and defaults.
+DEFAULTS = {
+    "schema_version": ("int", 2), "query_id": ("string", None), "benchmark": ("string", None), "query_text": ("string", None),
+    "selected_model_provider": ("string", None), "selected_model_tier": ("string", None), "selected_model_alias": ("string", None),
+    "selected_budget_id": ("string", None), "budget_config": ("string", "{}"), "parsed_output": ("string", None),
+    "judge_metadata": ("string", "{}"), "error_type": ("string", None), "router_features": ("string", "{}"),
+    "route_reason": ("string", None), "candidate_set_signature": ("string", None), "prompt_template_version": ("string", None),
+    "provider_response_meta": ("string", "{}"), "route_confidence": ("double", None), "fallback_triggered": ("boolean", False),
+    "fallback_reason": ("string", None),
+}
+NOT_NULL = ("schema_version", "budget_config", "judge_metadata", "router_features", "provider_response_meta", "fallback_triggered")
+
+
+def conform_traces(df: DataFrame) -> DataFrame:
+    """Every column of the trace table, missing ones with their default, null ones too where null is not allowed."""
+    made = {}
+    for name, (kind, default) in DEFAULTS.items():
+        if name not in df.columns:
+            made[name] = F.lit(default).cast(kind)
+        elif name in NOT_NULL:
+            made[name] = F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind))
+    return df.withColumns(made) if made else df
+
+
+def append_traces(df: DataFrame, path: str) -> None:
+    """Append traces with defaults filled: query id from the sample, budget id from the budget."""
+    df = conform_traces(df)
+    df = df.withColumn("query_id", F.coalesce("query_id", F.col("sample_id"), F.lit("")))
+    df = df.withColumn("selected_budget_id", F.coalesce("selected_budget_id", F.concat(F.lit("budget-"), F.col("selected_budget").cast("string"))))
+    df.write.mode("append").parquet(path)
+
+
+def read_traces(spark, path: str) -> DataFrame:
+    """All traces of a table, whatever the age of its files, in id order."""
+    return conform_traces(spark.read.option("mergeSchema", "true").parquet(path)).orderBy("id")
