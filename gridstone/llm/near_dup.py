@@ -13,8 +13,8 @@ order, so a register of two documents is equal with probability J.
 3. Links give components.  Members of buckets that still hold several components are paired with the bucket's
    ``LEADERS`` next leaders, and the components are joined up again.
 4. What is still mixed is settled in full.  Small buckets pair their members across components.  In large ones a pair is
-   listed only if an exact bound allows it: a shingle whose bit is not in the other set's bitmap is not in the other set,
-   so |A and B| <= |A| - (bits of A that B lacks), and the same the other way round.  All of these pairs are estimated
+   listed only if an exact bound allows it: each bit that the other set's bitmap lacks stands for a shingle that the
+   other set lacks, so |A and B| <= |A| - (bits of A) + (bits of both), and the same the other way round.  All of these pairs are estimated
    and confirmed like the first, and all links give the final components.
 
 No step lists the pairs of a bucket's copies, nothing is capped, and nothing but counts reaches the driver.
@@ -42,7 +42,7 @@ MANTISSA, VALUE_BITS = 10, 40
 MARGIN = 5.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 LEADERS = 8
 #: A bucket with more cross-component pairs than this lists only those that the bitmaps' bound allows.
-DIRECT_PAIRS, BITMAP_LONGS = 200, 32
+DIRECT_PAIRS, BITMAP_LONGS = 200, 16
 #: Up to so many ids (8 MB) are broadcast to pick texts; beyond, texts and ids are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 SKETCH = "doc_id long, n_shingles int, d1 long, d2 long, regs binary"
@@ -176,7 +176,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """node, set: the sorted shingle hashes of each text as 64-bit integers in binary; n: their number; bits: a bitmap of
-    the set, one bit by each hash."""
+    the set, a bit by each hash; ones: the bits that are set."""
 
     def run(batches):
         for part in text_parts(batches, "text", 256):
@@ -189,9 +189,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BITMAP_LONGS)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                 pa.array((ends - starts).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(bits.view(np.int64)))], names=["node", "set", "n", "bits"])
+                 pa.array((ends - starts).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(bits.view(np.int64))),
+                 pa.array(np.bitwise_count(bits).reshape(part.num_rows, -1).sum(axis=1).astype(np.int32))], names=["node", "set", "n", "bits", "ones"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "node long, set binary, n int, bits array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "node long, set binary, n int, bits array<long>, ones int")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -257,7 +258,6 @@ def components(links: DataFrame) -> DataFrame:
     the shuffle, and the steps' frames are written tables.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -265,8 +265,10 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         new = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        before, state = state, new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # Done when every component is a star: no node points to two others, or points and is pointed to.
+        ends = new.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("inward")).union(new.select("v", F.lit(0), F.lit(1)))
+        degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("inward").alias("inward"))
+        if degrees.where("out > 1 or (out = 1 and inward = 1)").isEmpty():
             break
         edges = new
     return new.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(new.select("v", "v").distinct())
@@ -308,12 +310,13 @@ def _remaining(mixed: DataFrame, docs: DataFrame) -> DataFrame:
     large = materialize(mixed.where(F.col("cross") > DIRECT_PAIRS).select("key", "node", "comp"), "near-large")
     if large.isEmpty():
         return direct
-    sets = full_sets(_texts_of(docs, large.select(F.col("node").alias("doc_id")).distinct())).select("node", "n", "bits")
+    sets = full_sets(_texts_of(docs, large.select(F.col("node").alias("doc_id")).distinct())).select("node", "n", "bits", "ones")
     sized = materialize(large.join(sets, "node"), "near-bits")
-    lacks = lambda x, y: sum((F.bit_count(F.get(f"bits_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", F.lit(i))))) for i in range(BITMAP_LONGS)), F.lit(0))
-    shared = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
-    able = 100 * shared >= SIMILARITY * (F.col("n_a") + F.col("n_b") - shared)
-    return direct.union(_cross_pairs(sized, able)).distinct()
+    common = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseAND(F.get("bits_b", F.lit(i)))) for i in range(BITMAP_LONGS)), F.lit(0))
+    sizes = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    # 100 * shared >= 75 * (n_a + n_b - shared), with shared at its bound
+    able = (100 + SIMILARITY) * (common + F.least(F.col("n_a") - F.col("ones_a"), F.col("n_b") - F.col("ones_b"))) >= SIMILARITY * (F.col("n_a") + F.col("n_b"))
+    return direct.union(_cross_pairs(sized, sizes & able)).distinct()
 
 
 def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -325,17 +328,16 @@ def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     first = materialize(likely(stars, nodes), "near-likely")
     links = materialize(confirm(first, texts), "near-links")
     comp = materialize(components(links), "near-comp")
-    tried = first
-    for find in (_led, lambda m: _remaining(m, texts)):
-        mixed = _mixed(weighed, comp)
-        if mixed.isEmpty():
-            break
-        second = materialize(likely(materialize(find(mixed).join(tried, ["a", "b"], "left_anti"), "near-pairs"), nodes), "near-likely")
-        more = materialize(confirm(second, texts), "near-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = materialize(components(links), "near-comp")
-        tried, weighed = tried.union(second), mixed
+    mixed = _mixed(weighed, comp)
+    led = likely(_led(mixed).join(first, ["a", "b"], "left_anti"), nodes)
+    led = materialize(led, "near-likely")
+    more = materialize(confirm(led, texts), "near-links")
+    links = links.union(more)
+    if not more.isEmpty():
+        mixed = _mixed(mixed, components(links))
+    rest = materialize(_remaining(mixed, texts).join(first.union(led), ["a", "b"], "left_anti"), "near-pairs")
+    last = materialize(likely(rest, nodes), "near-likely")
+    links = links.union(materialize(confirm(last, texts), "near-links"))
     return links
 
 
