@@ -90,6 +90,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "bullet_ratio": F.col("_bullets") / per_line,
     }
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines"]
+    # A filter on a statistic must read it, not compute it again inside the filter: Spark moves no filter below a column
+    # that depends on the partition.
+    here = F.spark_partition_id() >= 0
+    df = df.select(*[c for c in own if c not in stats], "_ellipsis", "_bullets", *[F.when(here, F.col(c)).alias(c) for c in stats])
     return df.select(*[c for c in own if c not in stats and c not in made], *stats, *[v.alias(k) for k, v in made.items()])
 
 
