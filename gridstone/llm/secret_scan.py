@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking (DataFrame functions only).
 
-Strong spans (assigned values of 12+ characters, access identifiers, long hex strings) stand by themselves.  Weak parts
-(identifier fields, bare 40-character keys, short assigned values, endpoints) are common in clean text, so each is
-reported only if a complementary part lies within ``SCOPE`` characters in the same text: an identifier or an endpoint
-next to a secret, a secret next to an identifier or an endpoint.  The parts of all texts are joined as intervals: each
+Strong spans (assigned values of 12+ characters, access identifiers, long hex strings, urls that hold a login) stand by
+themselves.  Weak parts (identifier fields, bare 40-character keys, also behind ``=`` or a quote, short assigned values and
+key fields, endpoint fields and plain urls) are common in clean text, so each is reported only if a complementary part lies
+within ``SCOPE`` characters in the same text: an identifier or an endpoint next to a secret, a secret next to an identifier
+or an endpoint.  The parts of all texts are joined as intervals: each
 is put in the cells of ``SCOPE`` characters it can reach, cells are matched by equality, distances are then compared.  A
 cell holds no more parts than fit in its characters, whatever the length of the text.
 
@@ -31,9 +32,16 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18, "identifier", True),
     ("hex", r"[0-9a-f]{16,}", 0, 16, "secret", True),  # runs under 16 fail anyway
     ("login", r"(?i:user_?name|login|client_?id|account_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@+/_.=-]+)", 1, 3, "identifier", False),
-    ("bare_key", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40, "secret", False),
+    ("bare_key", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40, "secret", False),
     ("short_secret", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, "secret", False),
     ("endpoint", r"(?i:endpoint|hostname|server_?url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9:/_.-]+)", 1, 4, "endpoint", False),
+    # kinds of their own, so that no match of the kinds above is cut short or moved
+    ("account", r"(?i:user(?:_?id)?|uid|e_?mail|account(?:_?name)?|access_?key(?:_?id)?|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@+/_.=-]+)", 1, 3, "identifier", False),
+    ("key_field", r"(?i:secret_?(?:access_?)?key|private_?key|account_?key|auth_?key|pass_?phrase|pass|pwd)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6, "secret", False),
+    ("host", r"(?i:host|server|ur[il])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9:/_.-]+)", 1, 3, "endpoint", False),
+    # scheme and authority only: a secret in the query part stands apart from them
+    ("url", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://([A-Za-z0-9_.-]+)(?![A-Za-z0-9_.-]*(?::[^@\s/?#\"'<>]*)?@)(?::[0-9]+)?", 1, 3, "endpoint", False),
+    ("url_login", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^@\s/:?#\"'<>]*:([^@\s/?#\"'<>]+)@[A-Za-z0-9_.-]+", 1, 1, "secret", True),
 )
 BASE = ("assign", "access", "hex")
 #: A secret completes an identifier or an endpoint and is completed by either.
