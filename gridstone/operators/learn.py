@@ -1,7 +1,8 @@
 """Learned routers with Spark ML.
 
 Training rows come from the label jobs (W1–W4); features are the surface
-columns (F1).  Pipelines are ``StringIndexer → OneHotEncoder → VectorAssembler
+columns (F1), and for R5–R8 also the probe columns (F2) and the embedding
+columns (F3) that the caller has joined.  Pipelines are ``StringIndexer → OneHotEncoder → VectorAssembler
 → StandardScaler → classifier`` and are saved with ``PipelineModel.write()``.
 sklearn parity (C=1 → regParam=1/n, balanced weights n/(k·n_c)) is structural,
 not bit-exact.
@@ -9,6 +10,8 @@ not bit-exact.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -16,14 +19,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.functions.features import SURFACE_COLUMNS, surface_feature_columns
+from gridstone.functions.features import PROBE_COLUMNS, SURFACE_COLUMNS, feature_frame, surface_feature_columns
 from gridstone.session import cut_lineage
 
 NUMERIC = SURFACE_COLUMNS
+SEMANTIC_COLUMNS = [f"semantic_embedding_{i:02d}" for i in range(16)]
+#: The 27 numerics of R5–R8.
+ROUTER_NUMERIC = [*SURFACE_COLUMNS, *PROBE_COLUMNS, *SEMANTIC_COLUMNS]
 
 
-def with_features(df: DataFrame, query_col: str = "query") -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in NUMERIC], *surface_feature_columns(query_col))
+def with_features(df: DataFrame, query_col: str = "query", numeric: list[str] = NUMERIC) -> DataFrame:
+    """``df`` with its ``numeric`` columns made from the query; embedding columns must be there (F3), and what is not a
+    finite number in them counts as 0."""
+    if set(numeric) <= set(NUMERIC):
+        return df.select(*[c for c in df.columns if c not in NUMERIC], *surface_feature_columns(query_col))
+    missing = [c for c in numeric if c in SEMANTIC_COLUMNS and c not in df.columns]
+    if missing:
+        raise ValueError(f"join the embedding features first, missing: {missing}")
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")).otherwise(0.0)
+    return feature_frame(df, query_col).withColumns({c: finite(c) for c in numeric if c in SEMANTIC_COLUMNS})
 
 
 def balanced_weights(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
@@ -36,27 +50,28 @@ def balanced_weights(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
     return df.join(counts, label).withColumn("_w", F.lit(float(n)) / (F.lit(float(max(k, 1))) * F.col("_nc"))), n, k
 
 
-def _feature_stages(label: str, cats: list[str]) -> list:
+def _feature_stages(label: str, cats: list[str], numeric: list[str]) -> list:
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_ohe" for c in cats], handleInvalid="keep")
-    num = VectorAssembler(inputCols=NUMERIC, outputCol="_num")
+    num = VectorAssembler(inputCols=numeric, outputCol="_num")
     scale = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)
     feats = VectorAssembler(inputCols=["_scaled", *[f"{c}_ohe" for c in cats]], outputCol="features")
     return [*idx, ohe, num, scale, feats, StringIndexer(inputCol=label, outputCol="label", handleInvalid="error")]
 
 
-def train_classifier(df: DataFrame, label: str, cats: list[str], kind: str = "logreg", seed: int = 0) -> PipelineModel:
-    """R5 / R11 / R12 / R13 (logreg, balanced) and R7 (MLP 16-8).
+def train_classifier(df: DataFrame, label: str, cats: list[str], kind: str = "logreg", seed: int = 0,
+                     numeric: list[str] = NUMERIC) -> PipelineModel:
+    """R5 / R11 / R12 / R13 (logreg, balanced) and one head of R7 (MLP 16-8).
 
     The labelled rows are written once (reliable checkpoint) and read by every fit.  One class gives a constant model.
     """
-    data, n, k = balanced_weights(with_features(df), label)
+    data, n, k = balanced_weights(with_features(df, numeric=numeric), label)
     if not n:
         raise ValueError("no labelled rows to train on")
     # the same rows in the same partitions and order, so that a seed gives the same model
     place = [c for c in data.columns if c != "_nc"]
     data = cut_lineage(data.repartition(F.xxhash64(*place)).sortWithinPartitions(*place))
-    prepared = Pipeline(stages=_feature_stages(label, cats)).fit(data)
+    prepared = Pipeline(stages=_feature_stages(label, cats, numeric)).fit(data)
     if k == 1:
         last = SQLTransformer(statement="SELECT *, CAST(0 AS DOUBLE) AS prediction FROM __THIS__")
     elif kind == "mlp":
@@ -69,9 +84,12 @@ def train_classifier(df: DataFrame, label: str, cats: list[str], kind: str = "lo
     return PipelineModel(stages=[*prepared.stages, last])
 
 
-def score(model: PipelineModel, df: DataFrame, label_name: str = "predicted_label") -> DataFrame:
-    """Predicted label (original string) and max class probability as confidence (1 of a constant model)."""
-    scored = with_features(df)
+def _numeric(model: PipelineModel) -> list[str]:
+    return next(s for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "_num").getInputCols()
+
+
+def _predict(model: PipelineModel, featured: DataFrame, label_name: str) -> DataFrame:
+    scored = featured
     label_stage = next(s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol") and s.getOutputCol() == "label")
     for stage in model.stages:
         if stage is not label_stage:  # rows to score carry no label
@@ -81,6 +99,47 @@ def score(model: PipelineModel, df: DataFrame, label_name: str = "predicted_labe
     return scored.withColumn("route_confidence", sure)
 
 
+def score(model: PipelineModel, df: DataFrame, label_name: str = "predicted_label") -> DataFrame:
+    """Predicted label (original string) and max class probability as confidence (1 of a constant model)."""
+    return _predict(model, with_features(df, numeric=_numeric(model)), label_name)
+
+
+@dataclass(frozen=True)
+class Factorized:
+    """Two heads, and the first row's labels, which stand in for labels that cannot be read as a model or budget."""
+
+    model_head: PipelineModel
+    budget_head: PipelineModel
+    fallback_model: str
+    fallback_budget: int
+
+
+def train_factorized(df: DataFrame, cats: list[str], seed: int = 0, order: str = "sample_id") -> Factorized:
+    """An MLP for ``selected_model`` and one for ``selected_budget``; the first row is the one least in ``order``."""
+    heads = df.withColumn("selected_model", F.col("selected_model").cast("string")).withColumn("selected_budget", F.col("selected_budget").cast("string"))
+    first = heads.agg(F.min_by(F.struct("selected_model", "selected_budget"), order).alias("f")).first()["f"]
+    if first is None:
+        raise ValueError("no labelled rows to train on")
+    fit = lambda label, other: train_classifier(heads.drop(other), label, cats, kind="mlp", seed=seed, numeric=ROUTER_NUMERIC)
+    return Factorized(fit("selected_model", "selected_budget"), fit("selected_budget", "selected_model"), first[0], int(first[1]))
+
+
+def route_factorized(router: Factorized, df: DataFrame, pool: list[str] | None = None) -> DataFrame:
+    """Each head's label; the confidence is the lesser one of both heads.  A model that is not in ``pool`` becomes the
+    pool's first; the budget is clamped to a level (P5)."""
+    from gridstone.functions.budgets import clamp_budget
+
+    featured = with_features(df, numeric=_numeric(router.model_head))
+    one = _predict(router.model_head, featured, "_model").select(*featured.columns, "_model", F.col("route_confidence").alias("_sure"))
+    two = _predict(router.budget_head, one, "_budget")
+    model = F.coalesce("_model", F.lit(router.fallback_model))
+    if pool:
+        model = F.when(model.isin(*pool), model).otherwise(F.lit(pool[0]))
+    budget = F.coalesce(F.col("_budget").try_cast("int"), F.lit(router.fallback_budget))
+    return two.select(*df.columns, model.alias("route_model"), clamp_budget(budget).alias("route_budget"),
+                      F.least("_sure", "route_confidence").alias("route_confidence"))
+
+
 def split_joint_label(df: DataFrame, col: str = "predicted_label", pool: list[str] | None = None) -> DataFrame:
     """``model::budget`` → route_model, route_budget (budget clamped to a level, P5); a model that is not in ``pool``
     becomes the pool's first."""
