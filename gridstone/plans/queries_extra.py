@@ -123,7 +123,7 @@ def learned_mlp_router(spark, sf):
 
 
 @register("stream_traces", "SELECT DISTINCT sample_id, selected_model, selected_budget, task_type FROM trace_log",
-          note="one file, so one batch: every repeated request lies inside the watermark")
+          note="all files are one batch: no row is late, and every repeated request lies inside the watermark")
 def stream_traces(spark, sf):
     """X2 + X3: events stream → keyed traces, one per request key within the watermark, parquet sink."""
     from gridstone.streaming.streams import REQUEST_FIELDS, trace_stream

@@ -1,6 +1,6 @@
 """Structured Streaming jobs re-aimed from the reference's request path.
 
-File-source streams over the driver's ``events`` parquet (``pathGlobFilter``),
+File-source streams over the driver's ``events`` parquet (file or folder),
 ``availableNow`` triggers, sinks and checkpoints under the shared
 ``spark.checkpoint.dir`` (never a machine-local folder on a cluster).
 """
@@ -17,10 +17,18 @@ from gridstone.sources.views import trace_log_from_events
 REQUEST_FIELDS = ["sample_id", "selected_model", "selected_budget", "task_type"]
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of part files.
+
+    Without ``max_files`` all files there are one batch, so no row is late whatever file it lies in.  With it, the files'
+    rows must follow each other in time, as rows older than the watermark are dropped."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.read.parquet(path)
+    files = events.inputFiles()
+    if len(files) == 1 and files[0].endswith("/events.parquet"):
+        path = f"{path[:-1]}[t]"  # a pattern, since the stream takes a plain path for a folder
+    reader = spark.readStream.schema(events.schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def dedup_requests(sdf: DataFrame, delay: str = "1 hour", key: str = "request_key", time_col: str = "created_at") -> DataFrame:
