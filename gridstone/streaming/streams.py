@@ -1,4 +1,5 @@
-"""Structured Streaming jobs re-aimed from the reference's request path.
+"""Structured Streaming jobs re-aimed from the reference's request path: X3.
+X1 (routing a stream) and X2 (joining responses, grading) are not built.
 
 File-source streams over the driver's ``events`` parquet (file or folder),
 ``availableNow`` triggers, sinks and checkpoints under the shared
@@ -54,7 +55,7 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") ->
 
 
 def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events stream → trace rows with request keys, de-duplicated within the watermark,
+    """Events stream → trace rows with request keys, de-duplicated within the watermark,
     appended to a parquet trace table (exactly-once via the checkpoint)."""
     traces = trace_log_from_events(events_stream(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp"))
     keyed = with_request_key(traces, REQUEST_FIELDS)
