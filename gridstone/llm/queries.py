@@ -27,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.top_k(vector_search.quantize(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
+    return vector_search.top_k(vector_search.every_row(table(spark, sf_dir, "embeddings"), 5), F.col("vec_id") % 50 == 0, 5)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

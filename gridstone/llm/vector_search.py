@@ -10,8 +10,9 @@ The query set (a stated part of the rows) meets all rows in blocks: a block of q
 found by an equi-join on block numbers and handled in one task; each gives k rows per query at most.  Group sizes are set
 by ``QUERY_BLOCK`` and ``ROW_BLOCK``, not by the data, and nothing passes through the driver.
 
-Defined results: vectors that are null, hold a null or a non-finite component, or have a null id take no part; of rows that
-repeat an id the smallest vector counts; vectors of unlike lengths are never compared; a query with fewer than k candidates
+Defined results: vectors that are null, hold a null or a non-finite component, or have a null id take no part; rows that
+repeat an id are all queries and candidates, but not of each other (``every_row``), or the smallest of their vectors counts
+(``quantize``); vectors of unlike lengths are never compared; a query with fewer than k candidates
 returns all of them; an empty table gives an empty result; extra columns are not returned.
 """
 
@@ -27,14 +28,24 @@ LEVELS = (2, 8)
 SCHEMA = "query_id long, vec_id long, score long"
 
 
-def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
+def integer_rows(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, ints: each component as floor(scale * x), x as double; rows that take no part are left out."""
     x = F.transform("embedding", lambda v: F.col("scale") * v.cast("double"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) != float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where(good).withColumn("scale", F.lit(float(scale)))
-    ints = rows.select("vec_id", F.transform(x, lambda v: F.floor(v)).alias("ints"))
-    return ints.groupBy("vec_id").agg(F.min("ints").alias("ints"))
+    return rows.select("vec_id", F.transform(x, lambda v: F.floor(v)).alias("ints"))
+
+
+def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
+    """``integer_rows``, of rows that repeat an id the one with the smallest vector."""
+    return integer_rows(vectors, scale).groupBy("vec_id").agg(F.min("ints").alias("ints"))
+
+
+def every_row(vectors: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
+    """``integer_rows`` with all rows that repeat an id; of equal rows the first k, as no answer holds more of them."""
+    counted = integer_rows(vectors, scale).groupBy("vec_id", "ints").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    return counted.select("vec_id", "ints", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def _statistics(m: np.ndarray, segments: int) -> np.ndarray:
@@ -80,20 +91,20 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the k largest integer inner products of each query (rows where ``is_query``
-    over vec_id holds) with all other rows of ``vectors`` (vec_id, ints)."""
+    """``query_id, rank, vec_id, score`` of the k largest integer inner products of each query id (rows where ``is_query``
+    over vec_id holds) with all rows of other ids of ``vectors`` (vec_id, ints)."""
     sized = vectors.withColumn("dim", F.size("ints"))
     counts = sized.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(is_query, 1)).alias("queries")).first()
     query_blocks = max(1, -(-counts["queries"] // QUERY_BLOCK))
     row_blocks = max(1, -(-counts["rows"] // ROW_BLOCK))
     # Each block of queries is sent to every block of rows, and each block of rows to every block of queries.
     q = sized.where(is_query).select(
-        "dim", "vec_id", "ints", F.lit(True).alias("query"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(query_blocks)).alias("qb"),
+        "dim", "vec_id", "ints", F.lit(True).alias("query"), F.pmod(F.xxhash64(F.lit(1), "vec_id", "ints"), F.lit(query_blocks)).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"))
     r = sized.select(
         "dim", "vec_id", "ints", F.lit(False).alias("query"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"),
-        F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(row_blocks)).alias("rb"))
+        F.pmod(F.xxhash64(F.lit(2), "vec_id", "ints"), F.lit(row_blocks)).alias("rb"))
 
     def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
