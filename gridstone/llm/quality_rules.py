@@ -36,6 +36,8 @@ THRESHOLDS = (
     ("ellipsis_lines", "ellipsis_ratio", 0.0, 0.3, "n_lines", 8),
     ("bullet_lines", "bullet_ratio", 0.0, 0.9, "n_lines", 8),
 )
+#: The pipeline's rules: length alone does not drop a long text, the ratio rules judge it.
+STAGE_THRESHOLDS = tuple((n, stat, low, float("inf") if n == "length" else high, size, least) for n, stat, low, high, size, least in THRESHOLDS)
 MAX_REPEAT_PERCENT, MIN_WORDS = 20, 10
 GRAM = 5
 
@@ -115,4 +117,4 @@ def apply_rules(docs: DataFrame, rules=THRESHOLDS, text: str = "text") -> DataFr
 def keep_good(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that pass, with their own columns."""
     judged = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text"))
-    return apply_rules(judged).where("kept").select("_row.*")
+    return apply_rules(judged, STAGE_THRESHOLDS).where("kept").select("_row.*")
