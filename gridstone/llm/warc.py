@@ -113,7 +113,8 @@ def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_duplicate: int =
     """
     spark, shards = pages.sparkSession, partitions(pages.sparkSession)
     root = shared_path(spark, "warc")
-    bounds = range_bounds(pages.select("page_id"), ["page_id"], shards)
+    # distinct ids: the sample takes all rows of an id or none, and the rows of a frequent id must not reach the driver
+    bounds = range_bounds(pages.select("page_id").where("page_id is not null").distinct(), ["page_id"], shards)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     ids = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("digest"), F.length(payload).alias("size"))
     first = ids.where(F.col("size") >= least_duplicate).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
