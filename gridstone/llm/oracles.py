@@ -130,7 +130,24 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
 FROM h JOIN f USING (hex)
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS w FROM documents),
+q AS MATERIALIZED (SELECT row_number() OVER () AS item_no, item_id, {_TERMS} AS w FROM benchmark),
+corpus AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+asked AS MATERIALIZED (SELECT item_no, item_id, term, count(*) AS times FROM (SELECT item_no, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT row_no, doc_id, n, term, count(*) AS tf FROM (SELECT row_no, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM df, corpus),
+scores AS (SELECT item_no, item_id, row_no, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term), corpus GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op2_quality_rules": QUALITY, "op3_secret_scan": SECRETS, "op4_vector_search": VECTORS, "op5_url_filter": URLS,
     "op6_chat_format": CHATS, "op8_near_dup": NEAR, "op9_source_mix": MIX, "op10_warc": WARC,
+    "op11_lexical_search": LEXICAL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import chat_format, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, url_filter, vector_search, warc
+from gridstone.llm import chat_format, lexical_search, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, url_filter, vector_search, warc
 from gridstone.llm.common import table
 from gridstone.llm.oracles import ORACLES  # noqa: F401
 
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentence_pieces, op2_quality_rules, op3_secret_scan, op4_vector_search, op5_url_filter, op6_chat_format,
-    op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc)}
+    op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc, op11_lexical_search)}
