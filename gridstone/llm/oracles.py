@@ -146,8 +146,29 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+SPELLING = r"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS times FROM (SELECT doc_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+encoded AS (SELECT run, times, hex(encode(id || ':' || run)) AS h FROM runs),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS crc FROM encoded, crc_table),
+kept AS (SELECT times, CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, 2 + crc % length(run)) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+shorter AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM shorter WHERE rest IN (SELECT word FROM words) UNION SELECT rest, word FROM shorter WHERE rest IN (SELECT word FROM words)),
+ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN words o ON o.word = other),
+judged AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+walk(word, last, form) AS (SELECT word, word, form FROM judged UNION ALL SELECT walk.word, judged.word, judged.form FROM walk JOIN judged ON judged.word = walk.form)
+SELECT judged.word, judged.form, walk.last AS root, n, n_near, form_n FROM judged JOIN walk ON walk.word = judged.word AND walk.form IS NULL
+"""
+
 ORACLES = {
     "op2_quality_rules": QUALITY, "op3_secret_scan": SECRETS, "op4_vector_search": VECTORS, "op5_url_filter": URLS,
     "op6_chat_format": CHATS, "op8_near_dup": NEAR, "op9_source_mix": MIX, "op10_warc": WARC,
-    "op11_lexical_search": LEXICAL,
+    "op11_lexical_search": LEXICAL, "op13_spelling_variants": SPELLING,
 }
