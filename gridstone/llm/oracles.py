@@ -167,8 +167,61 @@ walk(word, last, form) AS (SELECT word, word, form FROM judged UNION ALL SELECT
 SELECT judged.word, judged.form, walk.last AS root, n, n_near, form_n FROM judged JOIN walk ON walk.word = judged.word AND walk.form IS NULL
 """
 
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_ADDRESS = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+_PLACED = "\n  UNION ALL ".join(
+    f"SELECT row_no, {kind} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS gaps FROM t"
+    for kind, p in ((0, _EMAIL), (1, _ADDRESS), (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]"), (-1, "[A-Za-z0-9_@.+/-]+")))
+
+
+def _round(i: int) -> str:
+    """One round: patterns trusted for a kind by the scores so far, then instances accepted by these patterns."""
+    before = f"LEFT JOIN accepted{i - 1} a ON a.instance = g.instance" if i > 1 else "LEFT JOIN (SELECT '' AS instance, 0 AS kind, 0 AS score WHERE false) a ON a.instance = g.instance"
+    return f"""
+trusted{i} AS MATERIALIZED (SELECT pattern, kind, sum(score)::BIGINT // (any_value(fillers) + 1) AS confidence
+  FROM (SELECT pattern, fillers, CASE WHEN seed >= 0 THEN seed ELSE a.kind END AS kind, CASE WHEN seed >= 0 THEN 1000000 ELSE a.score END AS score FROM graph g {before})
+  WHERE kind IS NOT NULL GROUP BY pattern, kind HAVING sum(score) >= 3000000 AND sum(score)::BIGINT // (any_value(fillers) + 1) >= 600000),
+votes{i} AS (SELECT instance, kind, sum(round(-ln(1 - confidence / 1000000) * 1000000)::BIGINT)::BIGINT AS doubt FROM graph JOIN trusted{i} USING (pattern) WHERE seed < 0 GROUP BY ALL),
+accepted{i} AS MATERIALIZED (SELECT instance, kind, round((1 - exp(-doubt / 1000000)) * 1000000)::BIGINT AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY doubt DESC, kind) AS place FROM votes{i} WHERE doubt >= 1386294) WHERE place = 1),"""
+
+
+PRIVATE = rf"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_PLACED}),
+each_match AS (SELECT row_no, kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap FROM found WHERE len(m) > 0),
+placed AS (SELECT row_no, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY row_no, kind ORDER BY i)::BIGINT AS e, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM each_match),
+base AS MATERIALIZED (SELECT row_no, kind, m, e - length(m) AS s, e FROM placed WHERE kind = 0
+  OR kind = 1 AND len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 4) AS INT) > 255)) = 0
+  OR kind = 2 AND length(digits) BETWEEN 13 AND 19
+    AND list_sum(list_transform(range(length(digits)), lambda i: CAST(substr(reverse(digits), i + 1, 1) AS INT) * (1 + i % 2) - 9 * CAST(i % 2 = 1 AND CAST(substr(reverse(digits), i + 1, 1) AS INT) > 4 AS INT))) % 10 = 0
+  OR kind = 3 AND length(digits) BETWEEN 9 AND 15),
+tokens AS (SELECT row_no, regexp_replace(rtrim(m, '.-/+'), '^[./-]+', '') AS m, e - length(m) + length(rtrim(m, '.-/+')) AS e FROM placed WHERE kind = -1),
+slots AS MATERIALIZED (SELECT row_no, kind, m, s, e FROM base
+  UNION ALL SELECT row_no, -1, m, e - length(m), e FROM tokens
+  WHERE (length(regexp_replace(m, '[^0-9]', '', 'g')) >= 5 OR regexp_matches(m, '[A-Za-z0-9]@[A-Za-z0-9]')) AND length(m) <= 64
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.row_no = tokens.row_no AND base.s < tokens.e AND tokens.e - length(tokens.m) < base.e)),
+around AS (SELECT slots.*, translate(m, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS instance,
+    list_transform(regexp_extract_all(substr(text, greatest(0, s - 80) + 1, least(s, 80)), '[^\x20\x09-\x0D]+')[-2:],
+      lambda w: regexp_replace(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')) AS b,
+    regexp_replace(translate(regexp_extract(substr(text, e + 1, 40), '[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS a
+  FROM slots JOIN t USING (row_no)),
+seen AS MATERIALIZED (SELECT row_no, kind, s, e, instance, b[1] || ' ' || b[2] || ' _' AS pattern FROM around WHERE len(b) = 2
+  UNION ALL SELECT row_no, kind, s, e, instance, b[-1] || ' _' FROM around WHERE len(b) > 0 AND right(b[-1], 1) IN (':', '=', '#')
+  UNION ALL SELECT row_no, kind, s, e, instance, b[-1] || ' _ ' || a FROM around WHERE len(b) > 0 AND a <> ''),
+edges AS MATERIALIZED (SELECT pattern, instance, max(kind) AS seed FROM seen GROUP BY ALL),
+graph AS MATERIALIZED (SELECT *, fillers FROM edges JOIN (SELECT pattern, count(*) AS fillers FROM edges GROUP BY pattern HAVING count(*) >= 3) USING (pattern)),{"".join(_round(i) for i in (1, 2, 3))}
+spans AS (SELECT row_no, kind, s, e FROM base
+  UNION SELECT row_no, accepted3.kind + 4, s, e FROM seen JOIN accepted3 USING (instance) JOIN trusted3 ON trusted3.pattern = seen.pattern AND trusted3.kind = accepted3.kind WHERE seen.kind = -1),
+named AS (SELECT *, ['email', 'ip', 'card', 'phone', 'context_email', 'context_ip', 'context_card', 'context_phone'][kind + 1] || ':' || s || ':' || e AS shown FROM spans),
+per_row AS (SELECT row_no, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, count(*) FILTER (kind > 3) AS nc,
+  string_agg(shown, ',' ORDER BY kind, s) FILTER (kind < 4) AS base, string_agg(shown, ',' ORDER BY kind, s) AS spans FROM named GROUP BY row_no)
+SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(nc, 0) AS n_context FROM t LEFT JOIN per_row USING (row_no)
+"""
+
 ORACLES = {
     "op2_quality_rules": QUALITY, "op3_secret_scan": SECRETS, "op4_vector_search": VECTORS, "op5_url_filter": URLS,
     "op6_chat_format": CHATS, "op8_near_dup": NEAR, "op9_source_mix": MIX, "op10_warc": WARC,
-    "op11_lexical_search": LEXICAL, "op13_spelling_variants": SPELLING,
+    "op11_lexical_search": LEXICAL, "op12_private_data": PRIVATE, "op13_spelling_variants": SPELLING,
 }

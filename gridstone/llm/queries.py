@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import chat_format, lexical_search, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, spelling_variants, suffix_dedup, url_filter, vector_search, warc
+from gridstone.llm import chat_format, context_identifiers, lexical_search, near_dup, quality_rules, secret_scan, sentence_pieces, source_mix, spelling_variants, suffix_dedup, url_filter, vector_search, warc
 from gridstone.llm.common import table
 from gridstone.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,10 +65,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_identifiers.digest(context_identifiers.find(table(spark, sf_dir, "documents")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_sentence_pieces, op2_quality_rules, op3_secret_scan, op4_vector_search, op5_url_filter, op6_chat_format,
-    op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc, op11_lexical_search, op13_spelling_variants)}
+    op7_suffix_dedup, op8_near_dup, op9_source_mix, op10_warc, op11_lexical_search, op12_private_data, op13_spelling_variants)}
