@@ -15,19 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SUM_TYPE = "decimal(38,12)"
+#: Values under 2**62 are added up exactly, in three whole parts of units 1, 2**-60 and 2**-120; what is smaller than the
+#: last unit counts as nothing.
+_LARGE, _PART = float(2**62), float(2**60)
 
 
 def total(col: str | Column) -> Column:
-    """Sum that does not depend on the order of rows: exact in decimals, then a double."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.try_cast(SUM_TYPE)).cast("double")
+    """Sum of doubles that does not depend on the order of rows, for values under ``2**62`` (some 4e18).
+
+    Each value is cut into whole multiples of the three units without rounding; these are summed as decimals and put
+    together once.  Larger values, infinities and NaN are added as doubles, so they are never lost: an infinity or NaN
+    among the values is one in the sum.
+    """
+    x = (F.col(col) if isinstance(col, str) else col).cast("double")
+    large = F.abs(x) >= _LARGE  # true of NaN, too
+    fine = F.when(large, F.lit(0.0)).otherwise(x)
+    ones = fine.cast("long")
+    rest = (fine - ones) * _PART
+    middle = rest.cast("long")
+    last = F.rint((rest - middle) * _PART).cast("long")
+    whole = lambda part: F.sum(part.cast("decimal(20,0)")).cast("double")
+    return whole(last) / (_PART * _PART) + whole(middle) / _PART + whole(ones) + F.sum(F.when(large, x).otherwise(F.when(x.isNotNull(), F.lit(0.0))))
 
 
 def mean(col: str | Column) -> Column:
     """Mean of an order-independent sum; null without values."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_divide(total(c), F.count(c.try_cast(SUM_TYPE)))
+    return F.try_divide(total(c), F.count(c))
 
 
 def p95(col: str = "latency_s", exact: bool = True) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from gridstone.plans.sql_views import with_views
-from gridstone.plans.sqlfrag import round_doubles
+from gridstone.plans.sqlfrag import expand_sums, round_doubles
 
 
 @dataclass
@@ -41,7 +41,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def register(name: str, sql: str | None, doubles: list[str] | None = None, headline: bool = False, ctes: tuple = (), note: str = ""):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        full = round_doubles(with_views(sql, *ctes), doubles or []) if sql is not None else None
+        full = round_doubles(expand_sums(with_views(sql, *ctes)), doubles or []) if sql is not None else None
 
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(spark, sf_dir))

@@ -21,8 +21,8 @@ UTIL = Q.summary_utility()
 
 AGG_BEST_SQL = f"""
 SELECT *, {UTIL} AS utility FROM (
-  SELECT selected_model, selected_budget, avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost,
-         (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency
+  SELECT selected_model, selected_budget, avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost,
+         exact_avg(latency_s) AS avg_latency
   FROM grid GROUP BY selected_model, selected_budget) s
 ORDER BY utility DESC, accuracy DESC, avg_cost ASC, selected_model, selected_budget LIMIT 1
 """
@@ -201,7 +201,7 @@ def choose_fallback(spark, sf):
 
 @register(
     "cost_summary",
-    """SELECT task_type, selected_model, selected_budget, count(*) AS n, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost,
+    """SELECT task_type, selected_model, selected_budget, count(*) AS n, exact_avg(cost_usd) AS avg_cost, exact_sum(cost_usd) AS total_cost,
   avg(total_tokens) AS avg_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
 FROM grid GROUP BY task_type, selected_model, selected_budget""",
     ["avg_cost", "total_cost", "avg_tokens"],
@@ -212,7 +212,7 @@ def cost_summary(spark, sf):
 
 @register(
     "latency_summary",
-    """SELECT task_type, selected_model, selected_budget, count(*) AS n, (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency,
+    """SELECT task_type, selected_model, selected_budget, count(*) AS n, exact_avg(latency_s) AS avg_latency,
   quantile_cont(latency_s, 0.5) AS p50_latency, quantile_cont(latency_s, 0.95) AS p95_latency, max(latency_s) AS max_latency
 FROM trace_log GROUP BY task_type, selected_model, selected_budget""",
     ["avg_latency", "p50_latency", "p95_latency", "max_latency"], headline=True,
@@ -223,7 +223,7 @@ def latency_summary(spark, sf):
 
 @register(
     "dashboard_kpis",
-    """SELECT count(*) AS traces, avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost,
+    """SELECT count(*) AS traces, avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost,
   quantile_cont(latency_s, 0.95) AS p95_latency FROM trace_log""",
     ["accuracy", "avg_cost", "p95_latency"],
 )

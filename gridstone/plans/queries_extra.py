@@ -10,6 +10,7 @@ from gridstone.functions import features as FT
 from gridstone.operators import grid as GR
 from gridstone.operators import labels as L
 from gridstone.plans import sqlfrag as Q
+from gridstone.operators.summaries import total
 from gridstone.plans.catalog import register
 from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view, table, trace_log_view
 
@@ -63,7 +64,7 @@ def budget_config(spark, sf):
     return good.groupBy("selected_budget", "budget_id", "effort_level", "max_output_tokens").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("model_costs", f"""SELECT selected_model, tier, sum(total_tokens / 1000.0 * price) AS total_cost, count(*) AS n FROM (
+@register("model_costs", f"""SELECT selected_model, tier, exact_sum(total_tokens / 1000.0 * price) AS total_cost, count(*) AS n FROM (
   SELECT t.selected_model, CASE WHEN instr(lower(t.selected_model), 'flash') > 0 OR instr(lower(t.selected_model), 'cheap') > 0
     OR instr(lower(t.selected_model), 'mini') > 0 THEN 'cheap' WHEN instr(lower(t.selected_model), 'plus') > 0
     OR instr(lower(t.selected_model), 'mid') > 0 THEN 'mid' WHEN instr(lower(t.selected_model), 'max') > 0
@@ -77,7 +78,7 @@ def model_costs(spark, sf):
     t = trace_log_view(spark, sf).join(F.broadcast(prices), F.col("selected_model") == F.col("model_id"), "left")
     t = BU.with_cost(t)
     return t.groupBy("selected_model", BU.infer_tier(F.col("selected_model")).alias("tier")).agg(
-        F.sum("cost_usd").alias("total_cost"), F.count(F.lit(1)).alias("n"))
+        total("cost_usd").alias("total_cost"), F.count(F.lit(1)).alias("n"))
 
 
 @register("distinct_queries", "SELECT task_type, count(*) AS n FROM (SELECT DISTINCT query, task_type FROM grid) GROUP BY task_type")

@@ -108,11 +108,11 @@ def _som(c: str) -> str:
 
 ROUTER_SUMMARY = f"""
 SELECT 'phase2_threshold' AS policy, 'phase2_threshold' AS policy_family, 'threshold' AS router_name,
-  avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost, (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency,
+  avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost, exact_sum(cost_usd) AS total_cost, exact_avg(latency_s) AS avg_latency,
   quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
   {_som('selected_model')} AS selected_model, CAST(NULL AS VARCHAR) AS selected_model_provider, {_som('selected_model_tier')} AS selected_model_tier,
   CAST(NULL AS VARCHAR) AS selected_model_alias, {_som('selected_budget')} AS selected_budget,
-  (CAST(sum(CAST(route_confidence AS DECIMAL(38,12))) AS DOUBLE) / count(route_confidence)) AS avg_route_confidence, 0.0 AS fallback_rate, avg(CAST(matched AS DOUBLE)) AS match_rate
+  exact_avg(route_confidence) AS avg_route_confidence, 0.0 AS fallback_rate, avg(CAST(matched AS DOUBLE)) AS match_rate
 FROM replayed"""
 
 
@@ -166,8 +166,8 @@ def uncertainty_router(spark, sf):
 
 
 SWEEP_SQL = """
-SELECT threshold, avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost,
-  (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
+SELECT threshold, avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost, exact_sum(cost_usd) AS total_cost,
+  exact_avg(latency_s) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n,
   avg(CAST(fallback_triggered AS DOUBLE)) AS fallback_rate
 FROM (SELECT * FROM (
   SELECT g.*, d.threshold, d.fallback_triggered, row_number() OVER (PARTITION BY g.sample_id, d.threshold ORDER BY

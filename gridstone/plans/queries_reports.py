@@ -80,8 +80,8 @@ def win_list(spark, sf):
 
 
 @register("final_failures", """SELECT r.task_type AS benchmark, c.failure_class, coalesce(r.error_type, 'none') AS error_type, count(*) AS count,
-  (CAST(sum(CAST(r.cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(r.cost_usd)) AS avg_cost,
-  (CAST(sum(CAST(r.latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(r.latency_s)) AS avg_latency
+  exact_avg(r.cost_usd) AS avg_cost,
+  exact_avg(r.latency_s) AS avg_latency
 FROM replayed r JOIN classified c ON r.id = c.id WHERE NOT r.is_correct GROUP BY ALL""",
           ["avg_cost", "avg_latency"], ctes=(*INTEG_CTES, *FAIL_CTES))
 def final_failures(spark, sf):

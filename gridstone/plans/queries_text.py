@@ -123,7 +123,7 @@ def failure_table(spark, sf):
 
 @register(
     "failure_taxonomy",
-    """SELECT failure_class AS error_type, count(*) AS count, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, (CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency
+    """SELECT failure_class AS error_type, count(*) AS count, exact_avg(cost_usd) AS avg_cost, exact_avg(latency_s) AS avg_latency
 FROM classified GROUP BY failure_class""",
     ["avg_cost", "avg_latency"], ctes=FAIL_CTES,
 )

@@ -6,6 +6,8 @@ of the output contract (weights, markers, symbols) come from the configuration.
 
 from __future__ import annotations
 
+import re
+
 from gridstone.config import (
     DIFFICULTY_TASK_BONUS,
     DIFFICULTY_TASK_BONUS_DEFAULT,
@@ -26,6 +28,22 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def exact_sum(x: str) -> str:
+    """Sum of the doubles ``x`` in whole numbers, put together once: the same bits in any order of rows."""
+    fine = f"(({x}) - trunc({x})) * 1152921504606846976::DOUBLE"
+    whole = lambda part: f"CAST(sum(CAST({part} AS HUGEINT)) AS DOUBLE)"
+    return (f"({whole(f'round(({fine} - trunc({fine})) * 1152921504606846976::DOUBLE)')} / 1329227995784915872903807060280344576::DOUBLE"
+            f" + {whole(f'trunc({fine})')} / 1152921504606846976::DOUBLE + {whole(f'trunc({x})')})")
+
+
+_SUMS = re.compile(r"\bexact_(sum|avg)\(([^()]+)\)")
+
+
+def expand_sums(sql: str) -> str:
+    """``exact_sum(x)`` and ``exact_avg(x)`` written out."""
+    return _SUMS.sub(lambda m: exact_sum(f"CAST({m[2]} AS DOUBLE)") if m[1] == "sum" else f"({exact_sum(f'CAST({m[2]} AS DOUBLE)')} / count({m[2]}))", sql)
+
+
 def round_doubles(sql: str, doubles: list[str]) -> str:
     if not doubles:
         return sql
@@ -115,8 +133,8 @@ def summary_utility(w: Weights | None = None, latency: str = "avg") -> str:
             f"- CAST({w.gamma} AS DOUBLE) * {lat})")
 
 
-METRICS = ("avg(CAST(is_correct AS DOUBLE)) AS accuracy, (CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) / count(cost_usd)) AS avg_cost, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost, "
-           "(CAST(sum(CAST(latency_s AS DECIMAL(38,12))) AS DOUBLE) / count(latency_s)) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n")
+METRICS = ("avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost, exact_sum(cost_usd) AS total_cost, "
+           "exact_avg(latency_s) AS avg_latency, quantile_cont(latency_s, 0.95) AS p95_latency, count(*) AS n")
 METRIC_DOUBLES = ["accuracy", "avg_cost", "total_cost", "avg_latency", "p95_latency"]
 
 
