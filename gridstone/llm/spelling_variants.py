@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import materialize, small_batches, text_parts
+from gridstone.llm.common import materialize, partitions, small_batches, text_parts
 
 #: FIXED VALUES: shortest word, least count, one run in so many loses a letter, a form is so many times as frequent.
 MIN_LETTERS, MIN_COUNT, DROP_ONE_IN, FORM_TIMES = 6, 5, 199, 5
@@ -145,7 +145,8 @@ def variants(docs: DataFrame) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of all words of ``docs`` (doc_id, text)."""
     words = materialize(count_words(docs), "spelling-words")
     # the largest n first, then the smaller word: the least of (-n, word)
-    near = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus_n"), "other")).alias("best"))
+    # each word becomes many keys, so the few files of the counted words are dealt out first
+    near = near_pairs(words.repartition(partitions(docs.sparkSession), "word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus_n"), "other")).alias("best"))
     joined = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("best.minus_n")).alias("best_n"), F.col("best.other").alias("best"))
     follows = F.col("best_n") >= FORM_TIMES * F.col("n")
     judged = materialize(joined.select("word", "n", "n_near", F.when(follows, F.col("best")).alias("form"), F.when(follows, F.col("best_n")).alias("form_n")), "spelling-forms")
