@@ -32,35 +32,49 @@ FROM v
 
 _FIELD = r"""["'']?\x20*[:=]\x20*["'']?"""
 _KEYWORDS = r"(?i:password|passwd|secret|token|api_?key)"
+_MIXED = "[0-9][^A-Za-z]*[A-Za-z]|[A-Za-z][^0-9]*[0-9]|[a-z][A-Z]"
+_SCHEME = "(?:^|[^A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://"
+#: Name, pattern, group of the value (0: the whole match).
+_SECRET_PATTERNS = (
+    ("assign", _KEYWORDS + _FIELD + "([A-Za-z0-9+/_.=-]+)", 1), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0),
+    ("login", "(?i:user_?name|login|client_?id|account_?id)" + _FIELD + "([A-Za-z0-9@+/_.=-]+)", 1),
+    ("bare_key", "[A-Za-z0-9+/]+", 0), ("endpoint", "(?i:endpoint|hostname|server_?url)" + _FIELD + "([A-Za-z0-9:/_.-]+)", 1),
+    ("account", "(?i:user(?:_?id)?|uid|e_?mail|account(?:_?name)?|access_?key(?:_?id)?|key_?id)" + _FIELD + "([A-Za-z0-9@+/_.=-]+)", 1),
+    ("key_field", "(?i:secret_?(?:access_?)?key|private_?key|account_?key|auth_?key|pass_?phrase|pass|pwd)" + _FIELD + "([A-Za-z0-9+/_.=-]+)", 1),
+    ("host", "(?i:host|server|ur[il])" + _FIELD + "([A-Za-z0-9:/_.-]+)", 1), ("url", _SCHEME + "([A-Za-z0-9_.-]+)", 1),
+    ("url_login", _SCHEME + r"""[^@\s/:?#"''<>]*:([^@\s/?#"''<>]+)@[A-Za-z0-9_.-]+""", 1))
+_FOUND_SECRETS = "\n  UNION ALL ".join(
+    f"SELECT row_no, '{n}' AS p, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {g}) AS v, string_split_regex(text, '{p}') AS gaps FROM t"
+    for n, p, g in _SECRET_PATTERNS)
 SECRETS = rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-found AS (
-  SELECT doc_id, 'assign' AS p, regexp_extract_all(text, '{_KEYWORDS}{_FIELD}[A-Za-z0-9+/_.=-]+') AS m,
-    regexp_extract_all(text, '{_KEYWORDS}{_FIELD}([A-Za-z0-9+/_.=-]+)', 1) AS v, string_split_regex(text, '{_KEYWORDS}{_FIELD}[A-Za-z0-9+/_.=-]+') AS gaps FROM t
-  UNION ALL SELECT doc_id, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM t
-  UNION ALL SELECT doc_id, 'hex', regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM t
-  UNION ALL SELECT doc_id, 'login', regexp_extract_all(text, '(?i:user_?name|login|client_?id|account_?id){_FIELD}[A-Za-z0-9@+/_.=-]+'),
-    regexp_extract_all(text, '(?i:user_?name|login|client_?id|account_?id){_FIELD}([A-Za-z0-9@+/_.=-]+)', 1), string_split_regex(text, '(?i:user_?name|login|client_?id|account_?id){_FIELD}[A-Za-z0-9@+/_.=-]+') FROM t
-  UNION ALL SELECT doc_id, 'bare_key', regexp_extract_all(text, '[A-Za-z0-9+/=]+'), regexp_extract_all(text, '[A-Za-z0-9+/=]+'), string_split_regex(text, '[A-Za-z0-9+/=]+') FROM t
-  UNION ALL SELECT doc_id, 'endpoint', regexp_extract_all(text, '(?i:endpoint|hostname|server_?url){_FIELD}[A-Za-z0-9:/_.-]+'),
-    regexp_extract_all(text, '(?i:endpoint|hostname|server_?url){_FIELD}([A-Za-z0-9:/_.-]+)', 1), string_split_regex(text, '(?i:endpoint|hostname|server_?url){_FIELD}[A-Za-z0-9:/_.-]+') FROM t),
-each_match AS (SELECT doc_id, p, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(gaps[:len(m)]) AS gap FROM found WHERE len(m) > 0),
-placed AS (SELECT doc_id, p, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, p ORDER BY i) AS e FROM each_match),
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_FOUND_SECRETS}),
+each_match AS (SELECT row_no, p, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(gaps[:len(m)]) AS gap FROM found WHERE len(m) > 0),
+placed AS (SELECT row_no, p, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY row_no, p ORDER BY i)::BIGINT AS e FROM each_match),
+-- a url's match begins with the character before it; its port belongs to it
+cut AS (SELECT row_no, p, v, e - length(m) + CASE WHEN p IN ('url', 'url_login') AND NOT regexp_matches(m, '^[A-Za-z]') THEN 1 ELSE 0 END AS s,
+    e + CASE WHEN p = 'url' THEN length(regexp_extract(substr(text, e + 1), '^:[0-9]+')) ELSE 0 END AS e, m,
+    CASE WHEN p IN ('url', 'bare_key') THEN substr(text, e + 1, CASE WHEN p = 'url' THEN length(text) ELSE 1 END) END AS rest FROM placed JOIN t USING (row_no)),
 parts AS (
-  SELECT doc_id, e - length(m) AS s, e,
+  SELECT row_no, s, e,
     CASE WHEN p = 'assign' AND length(v) >= 12 THEN 0 WHEN p = 'access' AND length(m) >= 18 THEN 1 WHEN p = 'hex' AND length(m) >= 16 THEN 2
-      WHEN p = 'login' AND length(v) >= 3 THEN 3 WHEN p = 'bare_key' AND regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') THEN 4
-      WHEN p = 'assign' AND length(v) >= 6 THEN 5 WHEN p = 'endpoint' AND length(v) >= 4 THEN 6 END AS kind FROM placed),
-roles AS (SELECT *, CASE WHEN kind IN (1, 3) THEN 'identifier' WHEN kind = 6 THEN 'endpoint' ELSE 'secret' END AS role FROM parts WHERE kind IS NOT NULL),
+      WHEN p = 'login' AND length(v) >= 3 THEN 3 WHEN p = 'bare_key' AND length(m) = 40 AND rest <> '=' AND regexp_matches(m, '{_MIXED}') THEN 4
+      WHEN p = 'assign' AND length(v) >= 6 AND regexp_matches(v, '{_MIXED}') THEN 5 WHEN p = 'endpoint' AND length(v) >= 4 THEN 6
+      WHEN p = 'account' AND length(v) >= 3 THEN 7 WHEN p = 'key_field' AND length(v) >= 6 AND regexp_matches(v, '{_MIXED}') THEN 8 WHEN p = 'host' AND length(v) >= 3 THEN 9
+      WHEN p = 'url' AND length(v) >= 3 AND NOT regexp_matches(rest, '^(:[^@\s/?#"''<>]*)?@')
+        AND regexp_matches(rest, '^[^\s"''<>]*[?&;#][A-Za-z0-9_.-]*(?i:password|passwd|secret|token|key|pass|pwd)=') THEN 10
+      WHEN p = 'url_login' THEN 11 END AS kind FROM cut),
+roles AS (SELECT *, CASE WHEN kind IN (1, 3, 7) THEN 'identifier' WHEN kind IN (6, 9, 10) THEN 'endpoint' ELSE 'secret' END AS role, kind IN (0, 1, 2, 11) AS strong FROM parts WHERE kind IS NOT NULL),
 reported AS (
-  SELECT doc_id, s, e, kind FROM roles WHERE kind <= 2
-  UNION SELECT a.doc_id, a.s, a.e, a.kind FROM roles a JOIN roles b ON a.doc_id = b.doc_id AND a.kind > 2 AND (a.role = 'secret') <> (b.role = 'secret')
+  SELECT row_no, s, e, kind FROM roles WHERE strong
+  UNION SELECT a.row_no, a.s, a.e, a.kind FROM roles a JOIN roles b ON a.row_no = b.row_no AND NOT a.strong AND (a.role = 'secret') <> (b.role = 'secret')
     AND b.s - a.e <= 256 AND a.s - b.e <= 256 AND (b.s >= a.e OR b.e <= a.s)),
-named AS (SELECT *, ['assign', 'access', 'hex', 'login', 'bare_key', 'short_secret', 'endpoint'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM reported),
-per_doc AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
-  coalesce(string_agg(shown, ',' ORDER BY s, kind) FILTER (kind <= 2), '') AS base, string_agg(shown, ',' ORDER BY s, kind) AS spans FROM named GROUP BY doc_id)
+named AS (SELECT *, ['assign', 'access', 'hex', 'login', 'bare_key', 'short_secret', 'endpoint', 'account', 'key_field', 'host', 'url', 'url_login'][kind + 1]
+    || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM reported),
+per_doc AS (SELECT row_no, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+  coalesce(string_agg(shown, ',' ORDER BY s, kind) FILTER (kind <= 2), '') AS base, string_agg(shown, ',' ORDER BY s, kind) AS spans FROM named GROUP BY row_no)
 SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM t LEFT JOIN per_doc ON per_doc.doc_id = t.doc_id
+FROM t LEFT JOIN per_doc ON per_doc.row_no = t.row_no
 """
 
 VECTORS = """

@@ -4,7 +4,9 @@ Strong spans (assigned values of 12+ characters, access identifiers, long hex st
 themselves.  Weak parts (identifier fields, bare 40-character keys, also behind ``=`` or a quote, short assigned values and
 key fields, endpoint fields and plain urls) are common in clean text, so each is reported only if a complementary part lies
 within ``SCOPE`` characters in the same text: an identifier or an endpoint next to a secret, a secret next to an identifier
-or an endpoint.  The parts of all texts are joined as intervals: each
+or an endpoint.  A weak secret's value must not be a plain word or number: it holds a letter and a digit, or a capital behind a
+small letter.  A url is a part only if a secret's field follows in the same word.  So ``Your password: required field.  Help is
+at https://example.org/help`` holds no part.  The parts of all texts are joined as intervals: each
 is put in the cells of ``SCOPE`` characters it can reach, cells are matched by equality, distances are then compared.  A
 cell holds no more parts than fit in its characters, whatever the length of the text.
 
@@ -26,6 +28,9 @@ from gridstone.llm.common import materialize
 SCOPE = 256
 #: Spans of up to so many texts (some 40 MB) are broadcast.
 BROADCAST_ROWS = 1 << 18
+_SECRET_FOLLOWS = r"(?=[^\s\"'<>]*[?&;#][A-Za-z0-9_.-]*(?i:password|passwd|secret|token|key|pass|pwd)=)"
+#: A value that is no plain word or number.
+MIXED = r"[0-9][^A-Za-z]*[A-Za-z]|[A-Za-z][^0-9]*[0-9]|[a-z][A-Z]"
 #: FIXED VALUES: kinds in order; pattern, group whose length counts, fewest characters of it, role, strong or weak.
 KINDS = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, "secret", True),
@@ -40,7 +45,7 @@ KINDS = (
     ("key_field", r"(?i:secret_?(?:access_?)?key|private_?key|account_?key|auth_?key|pass_?phrase|pass|pwd)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6, "secret", False),
     ("host", r"(?i:host|server|ur[il])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9:/_.-]+)", 1, 3, "endpoint", False),
     # scheme and authority only: a secret in the query part stands apart from them
-    ("url", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://([A-Za-z0-9_.-]+)(?![A-Za-z0-9_.-]*(?::[^@\s/?#\"'<>]*)?@)(?::[0-9]+)?", 1, 3, "endpoint", False),
+    ("url", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://([A-Za-z0-9_.-]+)(?![A-Za-z0-9_.-]*(?::[^@\s/?#\"'<>]*)?@)(?::[0-9]+)?" + _SECRET_FOLLOWS, 1, 3, "endpoint", False),
     ("url_login", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^@\s/:?#\"'<>]*:([^@\s/?#\"'<>]+)@[A-Za-z0-9_.-]+", 1, 1, "secret", True),
 )
 BASE = ("assign", "access", "hex")
@@ -48,19 +53,30 @@ BASE = ("assign", "access", "hex")
 PAIRS = (("secret", "identifier"), ("secret", "endpoint"), ("identifier", "secret"), ("endpoint", "secret"))
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """Per match of ``pattern`` the characters before it (from the last match's end), its length and its group's length."""
+def _possible(text: Column, name: str) -> Column:
+    """A cheap test that every text with a part of the kind meets."""
+    if name == "access":
+        return F.contains(text, F.lit("AKIA"))
+    if name.startswith("url"):
+        return F.contains(text, F.lit("://"))
+    return F.lit(True) if name in ("hex", "bare_key") else F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+
+
+def _matches(text: Column, pattern: str, group: int, name: str) -> Column:
+    """Per match of ``pattern`` the characters before it (from the last match's end), its length, its group's length and
+    whether the group is no plain word."""
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    lens = F.transform(found, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("n"), F.length(m["value"]).alias("v")))
-    return F.when(text.rlike(pattern), F.filter(lens, lambda m: m["n"].isNotNull()))
+    lens = F.transform(found, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("n"), F.length(m["value"]).alias("v"), m["value"].rlike(MIXED).alias("mixed")))
+    return F.when(_possible(text, name) & text.rlike(pattern), F.filter(lens, lambda m: m["n"].isNotNull()))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
     """One narrow row per document: its key and, per pattern, the lengths of matches and of the pieces between them."""
     text = F.coalesce("text", F.lit(""))
     patterns = {p: (f"_m{i}", g) for i, (p, g) in enumerate({k[1]: k[2] for k in KINDS}.items())}
-    made = {name: _matches(text, p, g) for p, (name, g) in patterns.items()}
+    first = {k[1]: k[0] for k in reversed(KINDS)}
+    made = {name: _matches(text, p, g, first[p]) for p, (name, g) in patterns.items()}
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))
     return docs.select("doc_id", key.alias("key"), *[c.alias(n) for n, c in made.items()]), patterns
 
@@ -75,8 +91,9 @@ def _spans(parts: DataFrame, patterns: dict) -> DataFrame:
     ends = flat.select("key", "p", "m", F.sum(F.col("m.gap") + F.col("m.n")).over(w).alias("end"))
     at = {p: i for i, p in enumerate(patterns)}
     kind = F.lit(None).cast("int")
-    for i, (name, pattern, _, least, _, _) in reversed(list(enumerate(KINDS))):
-        kind = F.when((F.col("p") == at[pattern]) & (F.col("m.v") >= least), F.lit(i)).otherwise(kind)
+    for i, (name, pattern, _, least, role, strong) in reversed(list(enumerate(KINDS))):
+        fits = (F.col("p") == at[pattern]) & (F.col("m.v") >= least)
+        kind = F.when(fits if strong or role != "secret" else fits & F.col("m.mixed"), F.lit(i)).otherwise(kind)
     return ends.select("key", kind.alias("kind"), (F.col("end") - F.col("m.n")).cast("long").alias("start"), F.col("end").cast("long")).where("kind is not null")
 
 

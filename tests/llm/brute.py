@@ -39,23 +39,43 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+_FIELD = r"[\"']?\x20*[:=]\x20*[\"']?"
+WEAK = (  # kind, role, pattern of the field or part, fewest characters of its value
+    (3, "identifier", "(?i:user_?name|login|client_?id|account_?id)" + _FIELD + "([A-Za-z0-9@+/_.=-]+)", 3),
+    (4, "secret", "(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])", 40),
+    (5, "secret", ASSIGN, 6),
+    (6, "endpoint", "(?i:endpoint|hostname|server_?url)" + _FIELD + "([A-Za-z0-9:/_.-]+)", 4),
+    (7, "identifier", "(?i:user(?:_?id)?|uid|e_?mail|account(?:_?name)?|access_?key(?:_?id)?|key_?id)" + _FIELD + "([A-Za-z0-9@+/_.=-]+)", 3),
+    (8, "secret", "(?i:secret_?(?:access_?)?key|private_?key|account_?key|auth_?key|pass_?phrase|pass|pwd)" + _FIELD + "([A-Za-z0-9+/_.=-]+)", 6),
+    (9, "endpoint", "(?i:host|server|ur[il])" + _FIELD + "([A-Za-z0-9:/_.-]+)", 3))
+SCHEME = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://"
+
+
 def secrets(text: str | None) -> tuple[int, int, int, str, str]:
     """n_assign, n_access, n_hex, base_sha256, spans."""
     text = text or ""
     base = base_spans(text)
-    parts = [(s, e, k, "identifier" if k == 1 else "secret") for s, k, e in base]
-    weak = [(m.start(), m.end(), 3, "identifier") for m in re.finditer(r"(?i:user_?name|login|client_?id|account_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@+/_.=-]+)", text) if len(m[1]) >= 3]
-    weak += [(m.start(), m.end(), 4, "secret") for m in re.finditer(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", text)]
-    weak += [(m.start(), m.end(), 5, "secret") for m in re.finditer(ASSIGN, text) if 6 <= len(m[1]) < 12]
-    weak += [(m.start(), m.end(), 6, "endpoint") for m in re.finditer(r"(?i:endpoint|hostname|server_?url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9:/_.-]+)", text) if len(m[1]) >= 4]
-    fits = {("secret", "identifier"), ("secret", "endpoint"), ("identifier", "secret"), ("endpoint", "secret")}
-    found = list(base)
+    strong = base + [(m.start(), 11, m.end()) for m in re.finditer(SCHEME + r"[^@\s/:?#\"'<>]*:([^@\s/?#\"'<>]+)@[A-Za-z0-9_.-]+", text)]
+    parts = [(s, e, k, "identifier" if k == 1 else "secret") for s, k, e in strong]
+    weak = []
+    for kind, role, pattern, least in WEAK:
+        for m in re.finditer(pattern, text):
+            value = m[1]
+            plain = not (re.search("[a-z][A-Z]", value) or (re.search("[0-9]", value) and re.search("[A-Za-z]", value)))
+            if len(value) >= least and not (kind == 5 and len(value) >= 12) and not (role == "secret" and plain):
+                weak.append((m.start(), m.end(), kind, role))
+    for m in re.finditer(SCHEME + "([A-Za-z0-9_.-]+)", text):
+        word = re.match(r"[^\s\"'<>]*", text[m.end():])[0]
+        login = re.match(r"(:[^@\s/?#\"'<>]*)?@", text[m.end():])
+        if not login and len(m[1]) >= 3 and re.search(r"[?&;#][A-Za-z0-9_.-]*(?i:password|passwd|secret|token|key|pass|pwd)=", word):
+            weak.append((m.start(), m.end() + len(re.match("(:[0-9]+)?", word)[0]), 10, "endpoint"))
+    found = list(strong)
     for s, e, k, role in weak:
         for s2, e2, _, role2 in parts + weak:
-            if (role, role2) in fits and s2 - e <= 256 and s - e2 <= 256 and (s2 >= e or e2 <= s):
+            if (role == "secret") != (role2 == "secret") and s2 - e <= 256 and s - e2 <= 256 and (s2 >= e or e2 <= s):
                 found.append((s, k, e))
                 break
-    names = ("assign", "access", "hex", "login", "bare_key", "short_secret", "endpoint")
+    names = ("assign", "access", "hex", "login", "bare_key", "short_secret", "endpoint", "account", "key_field", "host", "url", "url_login")
     show = lambda xs: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in xs)
     count = Counter(k for _, k, _ in base)
     return count[0], count[1], count[2], sha(show(base)), show(sorted(found))
