@@ -9,7 +9,10 @@ order, so a register of two documents is equal with probability J.
 2. ``BANDS`` keys of ``ROWS`` registers find candidates.  At J = 0.75 a pair shares no band with probability
    (1 - 0.75^5)^60 < 1e-7.  In each key's bucket all members are paired with one leader only: the member that meets most
    others.  Sketches then estimate J, corrected for collisions of registers by chance, with a margin of 5.5 standard
-   deviations; what passes is confirmed on the full sets.
+   deviations; what passes is confirmed on the full sets.  Sketches say little about small sets, so a set that can be
+   linked with one of fewer than ``SMALL`` shingles also has a bucket for each shingle of its prefix: similar sets of n shingles
+   must share one of their n - ceil(0.75 n) + 1 first shingles in any common order, and rare ones come first here.  Pairs with such
+   a set skip the estimate and go straight to confirmation, so none of their links can be lost.
 3. Links give components.  Members of buckets that still hold several components are paired with the bucket's
    ``LEADERS`` next leaders, and the components are joined up again.
 4. What is still mixed is settled in full.  Small buckets pair their members across components.  In large ones a pair is
@@ -23,7 +26,8 @@ Defined results: a null or wordless text has the empty set (0 shingles) and is l
 words has its whole sequence as one shingle; a null id is linked with nothing, its component is null and it is kept; rows
 that share an id are one document for linking, and each gets that document's component; of rows that share an id and are
 to be kept, all are kept by ``near_duplicates`` and one by ``drop_duplicates``; an empty table gives an empty result;
-extra columns are not returned by ``near_duplicates`` and are kept by ``drop_duplicates``.
+extra columns are not returned by ``near_duplicates`` and are kept by ``drop_duplicates``; very long texts are read whole, a
+few at a time.
 """
 
 from __future__ import annotations
@@ -41,11 +45,16 @@ REGISTERS = ROWS * BANDS
 MANTISSA, VALUE_BITS = 10, 40
 MARGIN = 5.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 LEADERS = 8
+#: Sets under this size are found by their shingles and never estimated; sets up to SMALL_PARTNER can be similar to one.
+SMALL = 40
+SMALL_PARTNER = (SMALL - 1) * 100 // SIMILARITY
+#: Shingles in so many small sets or more come last in a prefix; fewer count as rare.
+FREQUENT = 32
 #: A bucket with more cross-component pairs than this lists only those that the bitmaps' bound allows.
 DIRECT_PAIRS, BITMAP_LONGS = 200, 16
 #: Up to so many ids (8 MB) are broadcast to pick texts; beyond, texts and ids are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
-SKETCH = "doc_id long, n_shingles int, d1 long, d2 long, regs binary"
+SKETCH = "doc_id long, n_shingles int, d1 long, d2 long, regs binary, small array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,7 +164,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 # ---------------------------------------------------------------------------
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """SKETCH rows: id, set size, 128-bit digest of the set, registers."""
+    """SKETCH rows: id, set size, 128-bit digest of the set, registers, and the shingles themselves of a small set."""
 
     def run(batches):
         for part in text_parts(batches, "text", 256):
@@ -166,10 +175,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 cell = np.zeros(part.num_rows, np.uint64)
                 np.add.at(cell, doc, mix64(h + np.uint64(salt)))
                 sums.append(pa.array(cell.view(np.int64)))
-            n = np.bincount(doc, minlength=part.num_rows) if len(doc) else np.zeros(part.num_rows)
+            n = np.bincount(doc, minlength=part.num_rows) if len(doc) else np.zeros(part.num_rows, np.int64)
+            few = (n > 0) & (n <= SMALL_PARTNER)
+            offsets = np.concatenate(([0], np.cumsum(np.where(few, n, 0)))).astype(np.int32)
+            small = pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[few[doc]] if len(doc) else h).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), *sums, pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "regs"])
+                [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), *sums, pa.array([r.tobytes() for r in regs], pa.binary()), small],
+                names=["doc_id", "n_shingles", "d1", "d2", "regs", "small"])
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, SKETCH)
 
@@ -217,7 +229,7 @@ def _keep_pairs(pairs: DataFrame, test) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose estimate is not below it by more than the margin."""
+    """Pairs whose sizes allow the similarity and, unless a set is small, whose estimate is not below it by more than the margin."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
@@ -227,7 +239,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return np.zeros(0, bool)
         r = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b")]
         n = [part.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b")]
-        return estimate(*r, *n) >= SIMILARITY / 100 - MARGIN
+        return (np.minimum(*n) < SMALL) | (estimate(*r, *n) >= SIMILARITY / 100 - MARGIN)
 
     return _keep_pairs(sized, test).distinct()
 
@@ -279,6 +291,20 @@ def _band_key(i: Column) -> Column:
     return F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))
 
 
+def _prefix_keys(nodes: DataFrame) -> DataFrame:
+    """node, key: a bucket for each prefix shingle of the sets that can be linked with a small one."""
+    few = materialize(nodes.where(F.size("small") > 0).select("node", "small"), "near-small")
+    counts = few.select(F.explode("small").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    frequent = materialize(counts.where(F.col("sets") >= FREQUENT), "near-frequent")
+    if frequent.count() <= BROADCAST_IDS:
+        frequent = F.broadcast(frequent)
+    ranked = few.select("node", F.size("small").alias("n"), F.explode("small").alias("shingle")).join(frequent, "shingle", "left")
+    order = F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "shingle")
+    lists = ranked.groupBy("node", "n").agg(F.sort_array(F.collect_list(order)).alias("order"))
+    prefix = F.slice("order", 1, F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100).cast("int") + 1)
+    return lists.select("node", F.explode(prefix).alias("first")).select("node", F.xxhash64(F.lit(-1), "first.shingle").alias("key"))
+
+
 def _cross_pairs(members: DataFrame, condition: Column | None = None) -> DataFrame:
     """Pairs (a, b) of one bucket and different components; ``members``: key, node, comp and more."""
     left = members.select(*[F.col(c).alias(c if c == "key" else f"{c}_a") for c in members.columns])
@@ -351,8 +377,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_copies = filled.select("doc_id", *digest).join(classes.where("node <> last"), digest).where("doc_id <> node").select("doc_id", "node").distinct()
     chosen = classes.select("node", *digest)
     nodes = filled.withColumnRenamed("doc_id", "node").join(chosen, ["node", *digest], "left_semi")
-    nodes = materialize(nodes.select("node", F.col("n_shingles").alias("n"), "regs"), "near-nodes")
+    nodes = materialize(nodes.select("node", F.col("n_shingles").alias("n"), "regs", "small"), "near-nodes")
     keys = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band_key)).alias("key"))
+    keys = keys.unionByName(_prefix_keys(nodes))
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     buckets = materialize(keys.join(met.select("key", "met"), "key"), "near-buckets")
     copies = of_copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -379,5 +406,6 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "near-repeated")
     if repeated.isEmpty():
         return stays
-    once = stays.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    order = [F.to_json(c) if "map<" in t else F.col(c) for c, t in docs.dtypes]  # maps have no order of their own
+    once = stays.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
     return stays.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
