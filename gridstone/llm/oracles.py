@@ -25,7 +25,7 @@ s AS (SELECT lines.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_a
   FROM lines LEFT JOIN covered ON covered.doc_id = lines.doc_id),
 v AS (SELECT *, coalesce(chars, 0) AS word_chars, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars / nw BETWEEN 2 AND 15 AND n_symbols / nw <= 0.3
+  NOT base_failed AND n_words >= 10 AND word_chars / nw BETWEEN 2 AND 15 AND n_symbols / nw <= 0.3
   AND (n_words < 50 OR n_stop / nw >= 0.02) AND (n_lines < 8 OR (n_dup_lines / nl <= 0.3 AND n_ellipsis / nl <= 0.3 AND n_bullets / nl <= 0.9)) AS kept
 FROM v
 """
@@ -123,15 +123,16 @@ FROM t LEFT JOIN sizes ON sizes.doc_id = t.doc_id LEFT JOIN least ON least.doc_i
 """
 
 MIX = """
-WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+WITH RECURSIVE numbered AS MATERIALIZED (SELECT row_number() OVER () AS row_no, * FROM documents),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, CAST(1 AS DOUBLE) / (SELECT count(*) FROM n) * CAST((SELECT count(*) FROM documents) AS DOUBLE) / n AS rate FROM n),
-d AS (SELECT documents.*, rate, CAST('0x' || substr(md5('17:1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
-  FROM documents JOIN rates ON documents.source IS NOT DISTINCT FROM rates.source),
-draws(doc_id, u, rate, p, c, k) AS (SELECT doc_id, u, rate, exp(-rate), exp(-rate), 0 FROM d
-  UNION ALL SELECT doc_id, u, rate, p * rate / (k + 1), c + p * rate / (k + 1), k + 1 FROM draws WHERE u >= c),
-counts AS (SELECT doc_id, max(k) AS n FROM draws GROUP BY doc_id)
-SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy, md5('17:order:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
-FROM (SELECT d.*, unnest(range(1, counts.n + 1)) AS copy FROM d JOIN counts USING (doc_id))
+d AS MATERIALIZED (SELECT numbered.*, rate, CAST('0x' || substr(md5('17:1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM numbered JOIN rates ON numbered.source IS NOT DISTINCT FROM rates.source),
+draws(row_no, u, rate, p, c, k) AS (SELECT row_no, u, rate, exp(-rate), exp(-rate), 0 FROM d
+  UNION ALL SELECT row_no, u, rate, p * rate / (k + 1), c + p * rate / (k + 1), k + 1 FROM draws WHERE u >= c),
+counts AS (SELECT row_no, max(k) AS n FROM draws GROUP BY row_no)
+SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy, md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+FROM (SELECT d.*, unnest(range(1, counts.n + 1)) AS copy FROM d JOIN counts USING (row_no))
 """
 
 WARC = """

@@ -5,7 +5,8 @@ one boolean column.  Rules are ratios of those statistics, so the verdict of a d
 
 Defined results: a null text is judged as the empty text (no words, base rule fails, not kept); a null id stays null;
 repeated rows are judged each for itself; extra columns pass through unless they bear the name of a result column, in
-which case the result replaces them; an empty table gives an empty result.
+which case the result replaces them; an empty table gives an empty result; a very long text is measured whole and judged by
+the same ratios, none goes by its length; a statistic equal to a threshold passes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ STOP_WORDS = (
 #: (name, statistic, smallest, largest value that passes, size statistic, least size at which the rule applies).  A
 #: share of few lines or words says little, so those rules start at a size.
 THRESHOLDS = (
-    ("length", "n_words", 10, 1_000_000, "n_words", 0),
+    ("length", "n_words", 10, float("inf"), "n_words", 0),
     ("word_length", "mean_word_chars", 2.0, 15.0, "n_words", 10),
     ("symbols", "symbol_ratio", 0.0, 0.3, "n_words", 10),
     ("stop_words", "stop_ratio", 0.02, 1.0, "n_words", 50),
@@ -36,8 +37,6 @@ THRESHOLDS = (
     ("ellipsis_lines", "ellipsis_ratio", 0.0, 0.3, "n_lines", 8),
     ("bullet_lines", "bullet_ratio", 0.0, 0.9, "n_lines", 8),
 )
-#: The pipeline's rules: length alone does not drop a long text, the ratio rules judge it.
-STAGE_THRESHOLDS = tuple((n, stat, low, float("inf") if n == "length" else high, size, least) for n, stat, low, high, size, least in THRESHOLDS)
 MAX_REPEAT_PERCENT, MIN_WORDS = 20, 10
 GRAM = 5
 
@@ -117,4 +116,4 @@ def apply_rules(docs: DataFrame, rules=THRESHOLDS, text: str = "text") -> DataFr
 def keep_good(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that pass, with their own columns."""
     judged = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text"))
-    return apply_rules(judged, STAGE_THRESHOLDS).where("kept").select("_row.*")
+    return apply_rules(judged).where("kept").select("_row.*")

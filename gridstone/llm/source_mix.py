@@ -8,8 +8,9 @@ go to random partitions and are ordered there by a second hash, which shuffles t
 A mean above ``CHUNK`` is drawn as the sum of independent variates of equal smaller means, so the distribution has no
 cap at any rate.
 
-Defined results: a null text is carried along; a null source is a source of its own; rows that repeat an id get the
-same number of copies each; sources without a target weight share ``other`` (0 by default: they are left out); an
+Defined results: a null text is carried along; a null source is a source of its own; draws and places in the
+shuffle come from the id and a hash of the text, so rows with null or repeated ids are drawn apart unless their texts are equal,
+too; very long texts are hashed whole; sources without a target weight share ``other`` (0 by default: they are left out); an
 empty table gives an empty result; extra columns are carried along, and those named ``copy``, ``rate`` or
 ``shuffle_key`` are replaced.
 """
@@ -72,12 +73,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 17, total
     """``docs`` with each row as often as its Poisson count, plus ``copy`` (from 1), ``rate`` and ``shuffle_key``,
     globally shuffled.  ``total``: rows wanted on average (default: as many as ``docs`` has)."""
     docs = docs.drop("copy", "rate", "shuffle_key")
-    rates = source_rates(docs, weights, total, other).select(F.col("source").alias("_src"), "rate")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rates = source_rates(docs, weights, total, other)
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    counted = joined.withColumn("_n", poisson_copies(seed, key, F.col("rate"))).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy").cast("string"))))
-    return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    # rows are packed, so no column of theirs can clash
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("from"), key.alias("key"))
+    joined = packed.join(rates, F.col("from").eqNullSafe(F.col("source"))).select("row", "key", "rate")
+    counted = joined.withColumn("n", poisson_copies(seed, F.col("key"), F.col("rate"))).where("n > 0")
+    copies = counted.select("row", "rate", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    shuffle_key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "key", F.col("copy").cast("string")))
+    keyed = copies.select("row", "copy", "rate", shuffle_key.alias("shuffle_key"))
+    shuffled = keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return shuffled.select("row.*", "copy", "rate", "shuffle_key")

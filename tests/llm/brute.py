@@ -155,6 +155,10 @@ def near(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
+def mix_key(doc_id: int | None, text: str | None) -> str:
+    return f"{'null' if doc_id is None else doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}"
+
+
 def poisson(u: float, mean: float) -> int:
     p = c = math.exp(-mean)
     k = 0

@@ -36,7 +36,7 @@ def test_stages_follow_the_plain_version(spark, sf_dir, texts):
     groups = brute.near(good)
     clean = {i: _redacted(t) for i, t in good if groups[i][2]}
     size = collections.Counter(i % 3 for i in clean)
-    want = {i: brute.copies(17, str(i), 1.0 / len(size) * len(clean) / size[i % 3]) for i in clean}
+    want = {i: brute.copies(17, brute.mix_key(i, t), 1.0 / len(size) * len(clean) / size[i % 3]) for i, t in clean.items()}
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = []

@@ -154,7 +154,7 @@ def test_mix_draws_the_hash_seeded_poisson_counts(spark, docs, texts):
     for r in out.collect():
         got.setdefault(r.doc_id, []).append(r.copy)
     size = {s: sum(i % 3 == s for i, _ in texts) for s in range(3)}
-    want = {i: brute.copies(4, str(i), {0: 1, 1: 3, 2: 0}[i % 3] / 4 * 600 / size[i % 3]) for i, _ in texts}
+    want = {i: brute.copies(4, brute.mix_key(i, t), {0: 1, 1: 3, 2: 0}[i % 3] / 4 * 600 / size[i % 3]) for i, t in texts}
     assert {i: sorted(c) for i, c in got.items()} == {i: list(range(1, n + 1)) for i, n in want.items() if n}
     assert any(n > 12 for n in want.values())
 
