@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions.features import PROBE_COLUMNS, SURFACE_COLUMNS, feature_frame, surface_feature_columns
@@ -124,6 +124,28 @@ def train_factorized(df: DataFrame, cats: list[str], seed: int = 0, order: str =
     return Factorized(fit("selected_model", "selected_budget"), fit("selected_budget", "selected_model"), first[0], int(first[1]))
 
 
+def save(model: PipelineModel | Factorized, path: str) -> None:
+    """A trained router as a folder in the shared storage; of two heads, with their stand-in labels beside them."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+        return
+    model.model_head.write().overwrite().save(f"{path}/model_head")
+    model.budget_head.write().overwrite().save(f"{path}/budget_head")
+    spark = SparkSession.active()
+    labels = spark.range(1).select(F.lit(model.fallback_model).alias("model"), F.lit(model.fallback_budget).alias("budget"))
+    labels.write.mode("overwrite").json(f"{path}/fallback")
+
+
+def load(spark: SparkSession, path: str) -> PipelineModel | Factorized:
+    """What ``save`` wrote; a model that is no longer readable raises, it is not replaced by another."""
+    from gridstone.operators.routers import artifact_exists
+
+    if not artifact_exists(spark, f"{path}/model_head"):
+        return PipelineModel.load(path)
+    first = spark.read.schema("model string, budget int").json(f"{path}/fallback").first()
+    return Factorized(PipelineModel.load(f"{path}/model_head"), PipelineModel.load(f"{path}/budget_head"), first["model"], first["budget"])
+
+
 def route_factorized(router: Factorized, df: DataFrame, pool: list[str] | None = None) -> DataFrame:
     """Each head's label; the confidence is the lesser one of both heads.  A model that is not in ``pool`` becomes the
     pool's first; the budget is clamped to a level (P5)."""

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from gridstone.config import RECOVERABLE_ERRORS, Weights
 from gridstone.functions.utility import summary_utility, with_sample_id
-from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, selection_metrics, summarize_selection, zero_fill
+from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, selection_metrics, summarize_selection
+from gridstone.session import cut_lineage
 
 MODEL = "selected_model"
 BUDGET = "selected_budget"
@@ -180,49 +181,85 @@ def policy_table(df: DataFrame, w: Weights | None = None, errors: Sequence[str]
     return out
 
 
-def baseline_table(df: DataFrame, w: Weights | None = None, errors: Sequence[str] = RECOVERABLE_ERRORS, exact: bool = True) -> DataFrame:
-    """Fixed (model, budget), model-only, budget-only, aggregate and safe-fallback
-    with family and model attributes; sorted by family, accuracy desc, cost asc."""
-    df = with_sample_id(df)
-    attrs = ["selected_model_provider", "selected_model_tier", "selected_model_alias"]
-    for c in attrs:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
+#: Winners of up to so many groups are broadcast.
+BROADCAST_GROUPS = 10_000
+_ATTRS = ["selected_model_provider", "selected_model_tier", "selected_model_alias"]
+
+
+def _best_first(partition: list[str]) -> Column:
+    order = [*rank_order(), F.asc_nulls_last(MODEL), F.asc_nulls_last(BUDGET)]
+    return F.row_number().over(Window.partitionBy(*partition, "level").orderBy(*order))
+
+
+def baselines(df: DataFrame, by: Sequence[str] = (), w: Weights | None = None, errors: Sequence[str] = RECOVERABLE_ERRORS,
+              exact: bool = True) -> DataFrame:
+    """The fixed (model, budget), model-only, budget-only, aggregate and safe-fallback rows of every group of ``by``
+    (one group without it), with family, model attributes and metrics.
+
+    The table is aggregated once, by grouping sets; the small written result ranks the winners and names the rows.  Only
+    the safe-fallback row reads the table again, for the primary and the fallback rows of each sample."""
+    keys = list(by) or ["_all"]
+    df = with_sample_id(df) if by else with_sample_id(df).withColumn("_all", F.lit(0))
+    df = df.withColumns({c: F.lit(None).cast("string") for c in _ATTRS if c not in df.columns})
     order_col = "id" if "id" in df.columns else "sample_id"
-    # first non-null attributes per model: one row per model, broadcast by Spark only if its size allows
-    model_attrs = df.groupBy(MODEL).agg(*[first_non_null(c, order_col).alias(c) for c in attrs])
-    ranked = _ranked(policy_stats(df, w, exact))
-    metrics = [F.col(c) for c in METRIC_COLUMNS]
-    b = F.col(BUDGET).cast("string")
-    top = F.col("level_rank") == 1
-    fixed = ranked.filter(F.col("level") == "model_budget").join(model_attrs, [MODEL], "left").select(
-        F.concat(F.lit("fixed_model_budget_"), F.col(MODEL), F.lit("_"), b).alias("policy"),
-        F.lit("fixed_model_budget").alias("policy_family"), MODEL, *attrs, F.col(BUDGET).cast("bigint").alias(BUDGET), *metrics)
-    model_row = ranked.filter((F.col("level") == "model") & top).join(model_attrs, [MODEL], "left").select(
-        F.concat(F.lit("model_only_best_"), F.col(MODEL)).alias("policy"), F.lit("model_only").alias("policy_family"),
-        MODEL, *attrs, F.lit(None).cast("bigint").alias(BUDGET), *metrics)
-    bb = ranked.filter((F.col("level") == "budget") & top)
-    budget_row = bb.select(
-        F.concat(F.lit("budget_only_best_"), b).alias("policy"), F.lit("budget_only").alias("policy_family"),
-        F.lit(None).cast("string").alias(MODEL), *[F.lit(None).cast("string").alias(c) for c in attrs],
-        F.col(BUDGET).cast("bigint").alias(BUDGET), *metrics)
-    ab = ranked.filter((F.col("level") == "model_budget") & top)
-    agg_row = ab.join(model_attrs, [MODEL], "left").select(
-        F.concat(F.lit("aggregate_utility_"), F.col(MODEL), F.lit("_"), b).alias("policy"),
-        F.lit("joint_aggregate_utility").alias("policy_family"), MODEL, *attrs,
-        F.col(BUDGET).cast("bigint").alias(BUDGET), *metrics)
-    best_m, best_b, fb_b = ab.select(MODEL).scalar(), ab.select(BUDGET).scalar(), bb.select(BUDGET).scalar()
-    primary = df.filter((F.col(MODEL) == best_m) & (F.col(BUDGET) == best_b))
-    safe = safe_fallback(df, primary, fb_b, errors)
-    safe_stats = zero_fill(safe.agg(*selection_metrics(exact), *[first_non_null(c, order_col).alias(c) for c in attrs])
-                           .withColumn("policy", F.lit(None).cast("string")))
-    safe_row = safe_stats.select(
-        F.concat(F.lit("aggregate_utility_safe_fallback_"), best_m, F.lit("_"), best_b.cast("string"),
-                 F.lit("_to_"), fb_b.cast("string")).alias("policy"),
-        F.lit("joint_safe_fallback").alias("policy_family"), best_m.alias(MODEL), *attrs,
-        best_b.cast("bigint").alias(BUDGET), *metrics)
-    out = fixed.unionByName(model_row).unionByName(budget_row).unionByName(agg_row).unionByName(safe_row)
-    return out.orderBy(F.asc("policy_family"), F.desc("accuracy"), F.asc("avg_cost"), F.asc("policy"))
+    first = [first_non_null(c, order_col).alias(c) for c in _ATTRS]
+    stats = cut_lineage(df.groupingSets([[*keys, MODEL, BUDGET], [*keys, MODEL], [*keys, BUDGET]], *keys, MODEL, BUDGET).agg(
+        *selection_metrics(exact), *first, F.grouping(MODEL).alias("_no_model"), F.grouping(BUDGET).alias("_no_budget")))
+    level = F.when(F.col("_no_budget") == 1, "model").when(F.col("_no_model") == 1, "budget").otherwise("model_budget")
+    stats = stats.withColumn("level", level).withColumn("utility", summary_utility(w, "avg"))
+    model_attrs = {c: F.max(F.when(F.col("level") == "model", F.col(c))).over(Window.partitionBy(*keys, MODEL)) for c in _ATTRS}
+    ranked = stats.withColumns(model_attrs).withColumn("_place", _best_first(keys))
+    m, b, none = F.col(MODEL), F.col(BUDGET).cast("string"), lambda t: F.lit(None).cast(t)
+    metrics, attrs, no_attrs = [F.col(c) for c in METRIC_COLUMNS], [F.col(c) for c in _ATTRS], [none("string").alias(c) for c in _ATTRS]
+    budget = F.col(BUDGET).cast("bigint").alias(BUDGET)
+    of = lambda name, top=True: ranked.filter((F.col("level") == name) & ((F.col("_place") == 1) if top else F.lit(True)))
+    parts = [
+        of("model_budget", False).select(*keys, F.concat(F.lit("fixed_model_budget_"), m, F.lit("_"), b).alias("policy"),
+                                         F.lit("fixed_model_budget").alias("policy_family"), m, *attrs, budget, *metrics),
+        of("model").select(*keys, F.concat(F.lit("model_only_best_"), m).alias("policy"), F.lit("model_only").alias("policy_family"),
+                           m, *attrs, none("bigint").alias(BUDGET), *metrics),
+        of("budget").select(*keys, F.concat(F.lit("budget_only_best_"), b).alias("policy"), F.lit("budget_only").alias("policy_family"),
+                            none("string").alias(MODEL), *no_attrs, budget, *metrics),
+        of("model_budget").select(*keys, F.concat(F.lit("aggregate_utility_"), m, F.lit("_"), b).alias("policy"),
+                                  F.lit("joint_aggregate_utility").alias("policy_family"), m, *attrs, budget, *metrics)]
+    win = lambda name, c: F.max(F.when((F.col("level") == name) & (F.col("_place") == 1), F.col(c)))
+    winners = ranked.groupBy(*keys).agg(win("model_budget", MODEL).alias("_model"), win("model_budget", BUDGET).alias("_budget"), win("budget", BUDGET).alias("_fallback"))
+    safe = _safe_rows(df, winners, keys, errors, order_col)
+    safe_row = safe.groupBy(*keys, "_model", "_budget", "_fallback").agg(*selection_metrics(exact), *first).select(
+        *keys, F.concat(F.lit("aggregate_utility_safe_fallback_"), "_model", F.lit("_"), F.col("_budget").cast("string"), F.lit("_to_"), F.col("_fallback").cast("string")).alias("policy"),
+        F.lit("joint_safe_fallback").alias("policy_family"), F.col("_model").alias(MODEL), *attrs, F.col("_budget").cast("bigint").alias(BUDGET), *metrics)
+    out = parts[0]
+    for p in [*parts[1:], safe_row]:
+        out = out.unionByName(p)
+    return out if by else out.drop("_all")
+
+
+def _safe_rows(df: DataFrame, winners: DataFrame, keys: list[str], errors: Sequence[str], order_col: str) -> DataFrame:
+    """The winning pair's rows of every group, those with a recoverable error replaced by the sample's cheapest row at the
+    winning budget (B6), with the group's winners."""
+    row = [c for c in dict.fromkeys(("is_correct", "cost_usd", "latency_s", *_ATTRS, order_col)) if c != "sample_id"]
+    small = F.broadcast(winners) if winners.count() <= BROADCAST_GROUPS else winners
+    renamed = small.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_model", "_budget", "_fallback")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    failed = F.col("error_type").cast("string") if "error_type" in df.columns else F.lit(None).cast("string")
+    narrow = df.select(*keys, "sample_id", MODEL, BUDGET, failed.alias("_error"), *[c for c in row if c not in keys]).join(renamed, same)
+    cheapest = F.struct("cost_usd", "latency_s", MODEL, order_col)
+    at_fallback = narrow.filter(F.col(BUDGET) == F.col("_fallback")).groupBy(*[f"_w_{k}" for k in keys], F.col("sample_id").alias("_sample")).agg(
+        F.min_by(F.struct(*row), cheapest).alias("_fb"))
+    at_fallback = at_fallback.select(*[F.col(f"_w_{k}").alias(f"_f_{k}") for k in keys], "_sample", "_fb")
+    matched = F.col("sample_id") == F.col("_sample")
+    for k in keys:
+        matched = matched & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    primary = narrow.filter((F.col(MODEL) == F.col("_model")) & (F.col(BUDGET) == F.col("_budget"))).join(at_fallback, matched, "left")
+    hit = F.coalesce(F.col("_error"), F.lit("")).isin(*errors) & F.col("_fb").isNotNull()
+    return primary.select(*keys, "sample_id", "_model", "_budget", "_fallback", *[F.when(hit, F.col(f"_fb.{c}")).otherwise(F.col(c)).alias(c) for c in row if c not in keys])
+
+
+def baseline_table(df: DataFrame, w: Weights | None = None, errors: Sequence[str] = RECOVERABLE_ERRORS, exact: bool = True) -> DataFrame:
+    """B7 of the whole table; sorted by family, accuracy desc, cost asc."""
+    return baselines(df, (), w, errors, exact).orderBy(F.asc("policy_family"), F.desc("accuracy"), F.asc("avg_cost"), F.asc("policy"))
 
 
 def choose_fallback(df: DataFrame, w: Weights | None = None, exact: bool = True) -> DataFrame:

@@ -14,36 +14,17 @@ from pyspark.sql import functions as F
 
 from gridstone.config import ABLATION_GROUPS, Weights
 from gridstone.functions.utility import summary_utility
-from gridstone.operators.summaries import METRIC_COLUMNS, selection_metrics
-
-SUMMARY_COLS = ["benchmark", "policy", "policy_family", *METRIC_COLUMNS]
-
+from gridstone.operators import grading as G
+from gridstone.operators.summaries import mean
 
 def round6(c: str) -> Column:
     """Round to 6 places as round(x*1e6)/1e6 (bit-identical across engines)."""
     return F.round(F.col(c) * F.lit(1e6)) / F.lit(1e6)
 
 
-def integrated_summary(grid: DataFrame, selected: DataFrame, router_name: str, w: Weights | None = None,
-                       bench_col: str = "task_type") -> DataFrame:
-    """Per-benchmark summary: fixed (model, budget) rows, the aggregate-utility row and the
-    replayed router row; ``utility`` is the official p95 flavour (T1)."""
-    m = [F.col(c) for c in METRIC_COLUMNS]
-    stats = grid.groupBy(F.col(bench_col).alias("benchmark"), "selected_model", "selected_budget").agg(*selection_metrics())
-    b = F.col("selected_budget").cast("string")
-    fixed = stats.select("benchmark", F.concat(F.lit("fixed_model_budget_"), "selected_model", F.lit("_"), b).alias("policy"),
-                         F.lit("fixed_model_budget").alias("policy_family"), *m)
-    win = Window.partitionBy("benchmark").orderBy(F.desc("_u"), F.desc("accuracy"), F.asc("avg_cost"), "selected_model", "selected_budget")
-    agg = (stats.withColumn("_u", summary_utility(w, "avg")).withColumn("_rn", F.row_number().over(win)).filter(F.col("_rn") == 1)
-           .select("benchmark", F.concat(F.lit("aggregate_utility_"), "selected_model", F.lit("_"), b).alias("policy"),
-                   F.lit("joint_aggregate_utility").alias("policy_family"), *m))
-    router = selected.groupBy(F.col(bench_col).alias("benchmark")).agg(*selection_metrics()).select(
-        "benchmark", F.lit(f"phase2_{router_name}").alias("policy"), F.lit(f"phase2_{router_name}").alias("policy_family"), *m)
-    return fixed.unionByName(agg).unionByName(router).withColumn("utility", summary_utility(w, "p95"))
-
-
-def final_comparison(summary: DataFrame, learned_policy: str) -> DataFrame:
-    """Q1: learned vs strongest fixed vs aggregate per benchmark."""
+def final_comparison(summary: DataFrame, selection: DataFrame, kind: str = "learned") -> DataFrame:
+    """Q1: per benchmark the router that dev picked (``kind``: what the routers to pick from were) vs the strongest fixed
+    pair vs the aggregate policy."""
     order = [F.desc("utility"), F.desc("accuracy"), F.asc("avg_cost"), F.asc("policy")]
     fixed = (summary.filter(F.col("policy_family") == "fixed_model_budget")
              .withColumn("_rn", F.row_number().over(Window.partitionBy("benchmark").orderBy(*order))).filter(F.col("_rn") == 1)
@@ -52,11 +33,12 @@ def final_comparison(summary: DataFrame, learned_policy: str) -> DataFrame:
     agg = (summary.filter(F.col("policy_family") == "joint_aggregate_utility")
            .withColumn("_rn", F.row_number().over(Window.partitionBy("benchmark").orderBy(F.desc("utility"), F.asc("policy"))))
            .filter(F.col("_rn") == 1).select("benchmark", F.col("policy").alias("aggregate_policy"), F.col("utility").alias("aggregate_utility")))
-    learned = summary.filter(F.col("policy") == learned_policy).select(
-        "benchmark", F.col("policy").alias("official_learned_policy"), "accuracy", "avg_cost", "p95_latency", "utility")
-    j = learned.join(fixed, "benchmark").join(agg, "benchmark")
+    picked = selection.select("benchmark", F.col("official_router_policy").alias("policy"), "official_router_name")
+    chosen = summary.join(picked, ["benchmark", "policy"]).select(
+        "benchmark", F.col("policy").alias(f"official_{kind}_policy"), "official_router_name", "accuracy", "avg_cost", "p95_latency", "utility")
+    j = chosen.join(fixed, "benchmark").join(agg, "benchmark")
     return j.select(
-        "benchmark", "official_learned_policy", "accuracy", "avg_cost", "p95_latency", "utility", "strongest_fixed_policy",
+        "benchmark", f"official_{kind}_policy", "official_router_name", "accuracy", "avg_cost", "p95_latency", "utility", "strongest_fixed_policy",
         "strongest_fixed_utility", "aggregate_policy", "aggregate_utility",
         ((F.col("_f_cost") - F.col("avg_cost")) / F.greatest(F.col("_f_cost"), F.lit(1e-9))).alias("cost_reduction_vs_strongest_fixed"),
         (F.col("_f_acc") - F.col("accuracy")).alias("accuracy_drop_vs_strongest_fixed"),
@@ -65,8 +47,17 @@ def final_comparison(summary: DataFrame, learned_policy: str) -> DataFrame:
     )
 
 
+def failure_summary(selected: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Q3: classes (G9) and recorded error types (T5) of the wrong rows that the official routers chose; ``outputs``: id, output_text."""
+    failed = selected.filter(F.col("is_official") & ~F.col("is_correct")).join(outputs.select("id", "output_text"), "id")
+    graded = G.add_grades(failed).withColumn("extracted_answer", F.col("_g_extracted"))
+    return G.add_failure_class(graded).groupBy(
+        F.col("task_type").alias("benchmark"), "failure_class", F.coalesce("error_type", F.lit("none")).alias("error_type")).agg(
+        F.count(F.lit(1)).alias("count"), mean("cost_usd").alias("avg_cost"), mean("latency_s").alias("avg_latency"))
+
+
 def win_list(final: DataFrame) -> DataFrame:
-    """Q2: benchmarks where the learned router beats both baselines (comma list, sorted)."""
+    """Q2: benchmarks where the official router beats both baselines (comma list, sorted)."""
     wins = final.filter(F.col("beats_strongest_fixed") & F.col("beats_aggregate_baseline"))
     return wins.agg(F.array_join(F.array_sort(F.collect_list("benchmark")), ",").alias("winning_benchmarks"),
                     F.count(F.lit(1)).alias("n_wins"))
@@ -140,6 +131,6 @@ def bootstrap_ci(df: DataFrame, value: str, by: list[str], key: str, b: int = 10
     means = rep.groupBy(*by, "_rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
     means = means.filter(F.col("_m").isNotNull())  # a replicate with total weight 0 (probability e^-n) is dropped
     ci = means.groupBy(*by).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
-    mean = x.groupBy(*by).agg(F.avg("_x").alias("mean"))
-    return mean.join(ci, by, "left").select(
+    means_of = x.groupBy(*by).agg(F.avg("_x").alias("mean"))
+    return means_of.join(ci, by, "left").select(
         *by, "mean", F.try_element_at("_ms", F.lit(lo + 1)).alias("lower"), F.try_element_at("_ms", F.lit(hi + 1)).alias("upper"))

@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from gridstone.config import BUDGET_LEVELS
 from gridstone.functions import budgets as BU
-from gridstone.functions import features as FT
 from gridstone.operators import grid as GR
-from gridstone.operators import labels as L
 from gridstone.plans import sqlfrag as Q
 from gridstone.operators.summaries import total
 from gridstone.plans.catalog import register
-from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view, table, trace_log_view
+from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view, trace_log_view
 
 MODELS = [m for _, m, _, _ in FIXTURE_MODELS]
 SIG = GR.signature(MODELS, BUDGET_LEVELS)
@@ -87,42 +85,6 @@ def distinct_queries(spark, sf):
     return grid_view(spark, sf).select("query", "task_type").dropDuplicates().groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _learning_rows(spark, sf):
-    """(train-split labels W1, test-split samples), both with the embedding features F3."""
-    samples = samples_view(spark, sf)
-    vectors = table(spark, sf, "embeddings").groupBy(F.col("vec_id").alias("doc_id")).agg(F.min("embedding").alias("embedding"))
-    ids = samples.select("doc_id", "sample_id", "split")
-    features = FT.with_embedding_features(ids, vectors, "doc_id").drop("doc_id")
-    labels = L.best_joint(grid_view(spark, sf).filter(F.col("split") == "train"), queries=samples)
-    test = samples.filter(F.col("split") == "test").select("sample_id", "query", "task_type")
-    of = lambda split: features.filter(F.col("split") == split).drop("split")
-    return labels.join(of("train"), "sample_id"), test.join(of("test"), "sample_id")
-
-
-@register("learned_joint_router", None, note="Spark ML training: rows-only check")
-def learned_joint_router(spark, sf):
-    """R5 + R6: joint (model::budget) logistic regression over 27 numerics and the task, trained on train-split labels
-    (W1), scored on the test split's distinct samples."""
-    from gridstone.operators import learn
-
-    labels, test = _learning_rows(spark, sf)
-    joint = F.concat_ws("::", "selected_model", F.col("selected_budget").cast("string"))
-    model = learn.train_classifier(labels.withColumn("joint_label", joint), "joint_label", ["task_type"], numeric=learn.ROUTER_NUMERIC)
-    scored = learn.split_joint_label(learn.score(model, test), pool=MODELS)
-    return scored.select("sample_id", "route_model", "route_budget", "route_confidence")
-
-
-@register("learned_mlp_router", None, note="Spark ML training: rows-only check")
-def learned_mlp_router(spark, sf):
-    """R7 + R8: a 16-8 perceptron for the model and one for the budget over 27 numerics and the task, trained on the train
-    split, scored on the test split."""
-    from gridstone.operators import learn
-
-    labels, test = _learning_rows(spark, sf)
-    routed = learn.route_factorized(learn.train_factorized(labels, ["task_type"]), test, pool=MODELS)
-    return routed.select("sample_id", "route_model", "route_budget", "route_confidence")
-
-
 @register("stream_traces", "SELECT DISTINCT sample_id, selected_model, selected_budget, task_type FROM trace_log",
           note="all files are one batch: no row is late, and every repeated request lies inside the watermark")
 def stream_traces(spark, sf):

@@ -59,7 +59,7 @@ FROM events
 
 BASE_VIEWS = {"samples": SAMPLES_SQL, "grid": GRID_SQL, "trace_log": TRACE_LOG_SQL}
 # Text layers that several parts of an oracle read: computed once.
-COSTLY = ("graded", "fin", "fbase", "classified")
+COSTLY = ("graded", "fin", "fbase", "classified", "thr", "prim", "scores", "devsel", "devdec", "devbest", "picked", "testsel", "testdec", "saferows", "mb", "integ")
 _DEPENDS = {"grid": ["samples"], "samples": [], "trace_log": []}
 
 
