@@ -60,6 +60,7 @@ def load_all() -> dict[str, QuerySpec]:
     from gridstone.plans import queries_reports  # noqa: F401
     from gridstone.plans import queries_learned  # noqa: F401
     from gridstone.plans import queries_extra  # noqa: F401
+    from gridstone.plans import queries_streams  # noqa: F401
     from gridstone.plans import queries_sources  # noqa: F401
 
     return REGISTRY

@@ -85,10 +85,3 @@ def distinct_queries(spark, sf):
     return grid_view(spark, sf).select("query", "task_type").dropDuplicates().groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_traces", "SELECT DISTINCT sample_id, selected_model, selected_budget, task_type FROM trace_log",
-          note="all files are one batch: no row is late, and every repeated request lies inside the watermark")
-def stream_traces(spark, sf):
-    """Events stream → keyed traces, one per request key within the watermark, parquet sink."""
-    from gridstone.streaming.streams import REQUEST_FIELDS, trace_stream
-
-    return trace_stream(spark, sf).select(*REQUEST_FIELDS)

@@ -24,6 +24,7 @@ from gridstone.sources.views import grid_view, samples_view, table
 #: Routers that dev picks from, in the order that breaks ties; the uncertainty-aware one keeps the perceptrons' sure decisions.
 LEARNED = ("logreg_joint", "mlp_factorized", SE.UNCERTAIN)
 PRIMARY = "mlp_factorized"
+_models: dict[tuple[str, str], str] = {}
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -50,14 +51,23 @@ def route_joint(model, rows):
     return learn.split_joint_label(learn.score(model, rows), pool=MODEL_IDS)
 
 
+def models_folder(spark, sf) -> str:
+    """The folder of the saved routers, trained on the train split once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        labels, _ = learning_rows(spark, sf)
+        folder = shared_path(spark, "models")
+        learn.save(train_joint(labels), f"{folder}/logreg_joint")
+        learn.save(learn.train_factorized(labels, ["task_type"]), f"{folder}/mlp_factorized")
+        _models[key] = folder
+    return _models[key]
+
+
 def score_table(spark, sf) -> str:
     """The path of the written decisions of all routers on the dev and test samples."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _written:
-        labels, rest = learning_rows(spark, sf)
-        models = shared_path(spark, "models")
-        learn.save(train_joint(labels), f"{models}/logreg_joint")
-        learn.save(learn.train_factorized(labels, ["task_type"]), f"{models}/mlp_factorized")
+        models, rest = models_folder(spark, sf), learning_rows(spark, sf)[1]
         decisions = SE.recorded(R.route_threshold(rest.select("sample_id", "query", "task_type"), POOL), "threshold")
         joint = R.route_or_threshold(spark, rest, POOL, f"{models}/logreg_joint", "logreg_joint", lambda rows, path: route_joint(learn.load(spark, path), rows))
         heads = R.route_or_threshold(spark, rest, POOL, f"{models}/mlp_factorized", "mlp_factorized",

@@ -41,7 +41,11 @@ def _s(c: Column) -> Column:
 
 
 def samples_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    return samples_from_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id"))
+
+
+def samples_from_documents(docs: DataFrame) -> DataFrame:
+    """One sample per row of ``docs`` (doc_id, text, n_chars), a table or a stream."""
     d = F.col("doc_id")
     m4 = d % 4
     task = F.when(m4 == 0, "gsm8k").when(m4 == 1, "math").when(m4 == 2, "humaneval").otherwise("custom")
@@ -77,7 +81,11 @@ def _fixture_dimension() -> Column:
 
 
 def grid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples_view(spark, sf_dir)
+    return grid_from_samples(samples_view(spark, sf_dir))
+
+
+def grid_from_samples(s: DataFrame) -> DataFrame:
+    """Nine traces per sample, of a table or a stream."""
     x = s.select("*", F.explode(_fixture_dimension()).alias("c")).select(
         "doc_id", "sample_id", "query", "task_type", "split", "expected_answer", "n_chars", "c.*"
     )

@@ -1,13 +1,9 @@
 """Learned routers, artifacts and streams on small frames."""
 
-import datetime as dt
-
 import pytest
-from pyspark.sql import functions as F
 
 from gridstone.operators import learn
 from gridstone.operators import routers as R
-from gridstone.streaming import streams as ST
 
 POOL = [R.PoolModel("a", "cheap"), R.PoolModel("b", "strong")]
 
@@ -42,14 +38,3 @@ def test_missing_artifact_keeps_the_threshold_decision(spark, tmp_path):
     assert (out.router_name, out.fallback_triggered, out.fallback_reason) == ("learned", False, None)
     (tmp_path / "model").mkdir()
     assert R.route_or_threshold(spark, samples, POOL, f"file://{tmp_path}/model", "learned", lambda s, p: p) == f"file://{tmp_path}/model"
-
-
-def test_requests_inside_the_watermark_are_answered_once(spark, tmp_path):
-    at = dt.datetime(2024, 1, 1, 12)
-    rows = [(i, f"u{i % 3}", at + dt.timedelta(minutes=i)) for i in range(12)]
-    schema = "id long, sample_id string, created_at timestamp"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = ST.run_available_now(ST.dedup_requests(ST.with_request_key(stream, ["sample_id"])), "dedup-test")
-    assert sorted(r.sample_id for r in out.collect()) == ["u0", "u1", "u2"]
-    assert out.select(F.countDistinct("request_key")).first()[0] == 3
