@@ -58,18 +58,39 @@ def best_per_model(df: DataFrame, w: Weights | None = None, queries: DataFrame |
         "sample_id", MODEL, "query", "task_type", BUDGET, "target_utility")
 
 
+def text_key(col: str | Column) -> Column:
+    """128 bits that stand for a text in groups, joins and sorts; null has a key of its own."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(F.md5(c), F.lit("null"))
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    """One text per key and task: the text crosses one combining aggregate, no sort, join or checkpoint key."""
+    return df.groupBy(text_key("query").alias("_key"), "task_type").agg(F.any_value("query").alias("query"))
+
+
+def _with_text(narrow: DataFrame, texts: DataFrame) -> DataFrame:
+    renamed = texts.select(F.col("_key").alias("_k"), F.col("task_type").alias("_t"), "query")
+    return narrow.join(renamed, (F.col("_key") == F.col("_k")) & F.col("task_type").eqNullSafe(F.col("_t")), "left").drop("_key", "_k", "_t")
+
+
 def best_budget(df: DataFrame, with_difficulty: bool = True) -> DataFrame:
     """Best budget per (query, task, model): correct desc, score desc, cost, latency, budget asc;
-    repaired to a level (P6) and labelled with difficulty (W4)."""
+    repaired to a level (P6) and labelled with difficulty (W4).  Grouped, joined and ranked by text keys; the texts are
+    joined to the narrow result once."""
     score = F.col("score").cast("double") if "score" in df.columns else F.col("is_correct").cast("double")
-    df = df.withColumn("_score", score)
-    order = [~F.col("is_correct").cast("boolean"), -F.col("_score"), F.col("cost_usd"), F.col("latency_s"),
-             F.col(BUDGET), *_tail(df, ("id",))]
-    out = top1(df, ["query", "task_type", MODEL], order, [BUDGET]).withColumn(BUDGET, repair_budget(F.col(BUDGET)))
+    rows = df.select(text_key("query").alias("_key"), "task_type", MODEL, BUDGET, F.col("is_correct").cast("boolean").alias("_ok"), score.alias("_score"), "cost_usd", "latency_s",
+                     *[c for c in ("id",) if c in df.columns])
+    order = [~F.col("_ok"), -F.col("_score"), F.col("cost_usd"), F.col("latency_s"), F.col(BUDGET), *_tail(rows, ("id",))]
+    out = top1(rows, ["_key", "task_type", MODEL], order, [BUDGET]).withColumn(BUDGET, repair_budget(F.col(BUDGET)))
+    texts = _texts(df)
     if with_difficulty:
-        labels = difficulty_labels(out.select("query", "task_type"))
-        out = out.join(labels, ["query", "task_type"], "left")
-    return out
+        scored = texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score"))
+        labels = _difficulty(scored).withColumnsRenamed({"_key": "_dk", "task_type": "_dt"})
+        same = (F.col("_key") == F.col("_dk")) & F.col("task_type").eqNullSafe(F.col("_dt"))
+        out = out.join(labels, same, "left").drop("_dk", "_dt")
+    named = _with_text(out, texts)
+    return named.select("query", "task_type", MODEL, BUDGET, *(["difficulty_score", "difficulty"] if with_difficulty else []))
 
 
 # ---------------------------------------------------------------------------
@@ -117,15 +138,21 @@ def difficulty_labels(queries: DataFrame) -> DataFrame:
     Score = words + 2·digits + 3·math symbols + 30·code markers + task bonus.
     Fewer than 3 distinct scores: min → easy, max → hard (hard wins), else
     medium.  Otherwise three rank buckets of ``qcut(rank(first), 3)``:
-    easy if 3(rn−1) < n−1, medium if 3(rn−1) < 2(n−1), else hard.
+    easy if 3(rn−1) < n−1, medium if 3(rn−1) < 2(n−1), else hard.  Equal scores
+    are ranked by the text's key, then the task.
     """
-    d = queries.select("query", "task_type").dropDuplicates().withColumn("difficulty_score", difficulty_score(queries))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("difficulty_score").alias("k"),
-                  F.min("difficulty_score").alias("lo"), F.max("difficulty_score").alias("hi"))
+    texts = _texts(queries)
+    labels = _difficulty(texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score")))
+    return _with_text(labels, texts).select("query", "task_type", "difficulty_score", "difficulty")
+
+
+def _difficulty(scored: DataFrame) -> DataFrame:
+    """``_key, task_type, difficulty_score, difficulty`` of narrow rows (_key, task_type, difficulty_score)."""
+    ranked = global_row_number(scored, ["difficulty_score", "_key", "task_type"])
+    s = F.col("difficulty_score")
+    stats = ranked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("difficulty_score").alias("k"), F.min("difficulty_score").alias("lo"), F.max("difficulty_score").alias("hi"))
     n, k, lo, hi = (stats.select(c).scalar() for c in ("n", "k", "lo", "hi"))
-    ranked = global_row_number(d, ["difficulty_score", "query", "task_type"])
     rn = F.col("rn")
     by_rank = F.when(3 * (rn - 1) < n - 1, "easy").when(3 * (rn - 1) < 2 * (n - 1), "medium").otherwise("hard")
-    s = F.col("difficulty_score")
     few = F.when(s == hi, "hard").when(s == lo, "easy").otherwise("medium")
-    return ranked.select("query", "task_type", "difficulty_score", F.when(k < 3, few).otherwise(by_rank).alias("difficulty"))
+    return ranked.select("_key", "task_type", "difficulty_score", F.when(k < 3, few).otherwise(by_rank).alias("difficulty"))

@@ -170,3 +170,64 @@ def split_joint_label(df: DataFrame, col: str = "predicted_label", pool: list[st
     parts = F.split(F.col(col), "::")
     model = parts[0] if not pool else F.when(parts[0].isin(*pool), parts[0]).otherwise(F.lit(pool[0]))
     return df.withColumn("route_model", model).withColumn("route_budget", clamp_budget(parts[1].try_cast("int")))
+
+
+# ---------------------------------------------------------------------------
+# Difficulty, budgets and the per-(sample, model) budget policy
+# ---------------------------------------------------------------------------
+
+FOLDS = 3
+
+
+def train_difficulty(labelled: DataFrame) -> PipelineModel:
+    """Difficulty of (query, task_type) from 8 numerics and the task; ``labelled`` holds W4's labels."""
+    return train_classifier(labelled, "difficulty", ["task_type"])
+
+
+def predict_difficulty(model: PipelineModel, df: DataFrame, name: str = "difficulty") -> DataFrame:
+    """``df`` with the predicted difficulty; a label that is none of the three counts as medium."""
+    scored = score(model, df, "_label")
+    label = F.col("_label")
+    return scored.select(*df.columns, F.when(label.isin("easy", "medium", "hard"), label).otherwise("medium").alias(name))
+
+
+def difficulty_out_of_fold(labelled: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Rows of ``labelled`` (query, task_type, difficulty) with ``predicted_difficulty`` from a model that has not seen their
+    query: folds are cut by a hash of the query, one model for each."""
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "query"), F.lit(folds))
+    parts = []
+    for i in range(folds):
+        rest, own = labelled.where(fold != i), labelled.where(fold == i)
+        parts.append(predict_difficulty(train_difficulty(rest if not rest.isEmpty() else labelled), own, "predicted_difficulty"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def train_budget(labels: DataFrame, folds: int = FOLDS) -> tuple[PipelineModel, PipelineModel]:
+    """R12, stacked on R11: (difficulty model, budget model).  ``labels``: W3 rows (query, task_type, selected_model,
+    selected_budget, difficulty).  The budget model reads difficulties predicted out of fold, as it will meet predicted ones."""
+    texts = labels.select("query", "task_type", "difficulty").dropDuplicates(["query", "task_type"])
+    predicted = difficulty_out_of_fold(texts, folds).select(F.col("query").alias("_q"), F.col("task_type").alias("_t"), "predicted_difficulty")
+    same = (F.md5("query") == F.md5("_q")) & F.col("task_type").eqNullSafe(F.col("_t"))
+    rows = labels.drop("difficulty").join(predicted, same).drop("_q", "_t").withColumnRenamed("predicted_difficulty", "difficulty")
+    budget = rows.withColumn("selected_budget", F.col("selected_budget").cast("string"))
+    return train_difficulty(texts), train_classifier(budget, "selected_budget", ["task_type", "selected_model", "difficulty"])
+
+
+def budget_hints(difficulty: PipelineModel, budget: PipelineModel, samples: DataFrame, models: list[str]) -> DataFrame:
+    """``sample_id, model_id, difficulty, budget_hint``: R4's hints for every sample and model of the pool."""
+    known = predict_difficulty(difficulty, samples.select("sample_id", "query", "task_type"))
+    every = known.withColumn("selected_model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return score(budget, every, "_hint").select("sample_id", F.col("selected_model").alias("model_id"), "difficulty", F.col("_hint").try_cast("int").alias("budget_hint"))
+
+
+def train_policy(labels: DataFrame) -> PipelineModel:
+    """Budget per (sample, model) from 8 numerics, task and model; ``labels``: W2 rows."""
+    return train_classifier(labels.withColumn("selected_budget", F.col("selected_budget").cast("string")), "selected_budget", ["task_type", "selected_model"])
+
+
+def predict_policy(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    """``sample_id, selected_model, predicted_budget`` of distinct (sample_id, selected_model, query, task_type)."""
+    return score(model, pairs, "_budget").select("sample_id", "selected_model", F.col("_budget").try_cast("int").alias("predicted_budget"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridstone.config import RECOVERABLE_ERRORS, Weights
 from gridstone.functions.utility import summary_utility, with_sample_id
-from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, selection_metrics, summarize_selection
+from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, metrics_by, selection_metrics, summarize_selection
 from gridstone.session import cut_lineage
 
 MODEL = "selected_model"
@@ -31,7 +31,7 @@ def rank_order() -> list:
 
 def model_budget_stats(df: DataFrame, w: Weights | None = None, exact: bool = True) -> DataFrame:
     """Accuracy, avg cost, avg/p95 latency, n and utility per (model, budget)."""
-    return df.groupBy(MODEL, BUDGET).agg(*selection_metrics(exact)).withColumn("utility", summary_utility(w, "avg"))
+    return metrics_by(df, (MODEL, BUDGET), exact).withColumn("utility", summary_utility(w, "avg"))
 
 
 def policy_stats(df: DataFrame, w: Weights | None = None, exact: bool = True) -> DataFrame:

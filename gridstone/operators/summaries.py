@@ -1,10 +1,10 @@
 """Aggregations over trace tables.
 
 All are hash aggregates with a partial (map-side) step; exact percentiles are
-used by default for parity with pandas' linear interpolation.  Exact
-percentiles keep a value→count map per group, which is fine for the
-few-valued latency columns of traces; pass ``exact=False`` for
-``percentile_approx`` on groups with very many distinct values.
+used by default for parity with pandas' linear interpolation.  ``metrics_by``,
+``summarize_latency`` and ``dashboard_kpis`` find them over all tasks
+(``quantiles``); the aggregate expressions of ``selection_metrics`` keep a
+value→count map per group, for small groups inside other aggregations.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.operators.quantiles import with_quantiles
 
 #: Values under 2**62 are added up exactly, in three whole parts of units 1, 2**-60 and 2**-120; what is smaller than the
 #: last unit counts as nothing.
@@ -79,17 +80,20 @@ def summarize_costs(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame
 def summarize_latency(df: DataFrame, by: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """A2: n, avg, p50, p95, max latency per group; ordered by avg then p95."""
     keys = _keys(df, by)
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            mean("latency_s").alias("avg_latency"),
-            p50("latency_s", exact).alias("p50_latency"),
-            p95("latency_s", exact).alias("p95_latency"),
-            F.max("latency_s").alias("max_latency"),
-        )
-        .orderBy("avg_latency", "p95_latency", *keys)
-    )
+    plain = [F.count(F.lit(1)).alias("n"), mean("latency_s").alias("avg_latency"), F.max("latency_s").alias("max_latency")]
+    if exact:
+        out = with_quantiles(df, keys, plain, "latency_s", {"p50_latency": 0.5, "p95_latency": 0.95})
+    else:
+        out = df.groupBy(*keys).agg(*plain, p50("latency_s", False).alias("p50_latency"), p95("latency_s", False).alias("p95_latency"))
+    return out.select(*keys, "n", "avg_latency", "p50_latency", "p95_latency", "max_latency").orderBy("avg_latency", "p95_latency", *keys)
+
+
+def metrics_by(df: DataFrame, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """The A3 metrics per group, with the exact p95 found over all tasks."""
+    if not exact:
+        return df.groupBy(*keys).agg(*selection_metrics(False))
+    plain = [c for c, name in zip(selection_metrics(), METRIC_COLUMNS) if name != "p95_latency"]
+    return with_quantiles(df, keys, plain, "latency_s", {"p95_latency": 0.95}).select(*keys, *METRIC_COLUMNS)
 
 
 def selection_metrics(exact: bool = True) -> list[Column]:
@@ -119,7 +123,7 @@ def zero_fill(df: DataFrame) -> DataFrame:
 def summarize_selection(df: DataFrame, name: str | Column, exact: bool = True) -> DataFrame:
     """A3: one summary row for a selection (global aggregate, zeros if empty)."""
     policy = F.lit(name) if isinstance(name, str) else name
-    return zero_fill(df.agg(*selection_metrics(exact)).select(policy.alias("policy"), *METRIC_COLUMNS))
+    return zero_fill(metrics_by(df, (), exact).select(policy.alias("policy"), *METRIC_COLUMNS))
 
 
 def single_or_mixed(col: str) -> Column:
@@ -171,12 +175,10 @@ def summarize_router(df: DataFrame, router_name: str, exact: bool = True) -> Dat
 
 def dashboard_kpis(df: DataFrame, exact: bool = True) -> DataFrame:
     """Traces, accuracy, average cost, p95 latency."""
-    return df.agg(
-        F.count(F.lit(1)).alias("traces"),
-        F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-        mean("cost_usd").alias("avg_cost"),
-        p95("latency_s", exact).alias("p95_latency"),
-    )
+    plain = [F.count(F.lit(1)).alias("traces"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"), mean("cost_usd").alias("avg_cost")]
+    if not exact:
+        return df.agg(*plain, p95("latency_s", False).alias("p95_latency"))
+    return with_quantiles(df, (), plain, "latency_s", {"p95_latency": 0.95})
 
 
 def label_counts(df: DataFrame, label: str = "selected_budget") -> DataFrame:

@@ -293,7 +293,7 @@ DIFF_SQL = f"""
 SELECT query, task_type, difficulty_score,
   CASE WHEN k < 3 THEN (CASE WHEN difficulty_score = hi THEN 'hard' WHEN difficulty_score = lo THEN 'easy' ELSE 'medium' END)
        WHEN 3 * (rn - 1) < n - 1 THEN 'easy' WHEN 3 * (rn - 1) < 2 * (n - 1) THEN 'medium' ELSE 'hard' END AS difficulty
-FROM (SELECT *, row_number() OVER (ORDER BY difficulty_score, query, task_type) AS rn, count(*) OVER () AS n,
+FROM (SELECT *, row_number() OVER (ORDER BY difficulty_score, md5(query), task_type) AS rn, count(*) OVER () AS n,
         min(difficulty_score) OVER () AS lo, max(difficulty_score) OVER () AS hi FROM dscore) r,
      (SELECT count(DISTINCT difficulty_score) AS k FROM dscore) kk
 """

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from gridstone.functions import features as FT
 from gridstone.operators import labels as L
 from gridstone.operators import learn
+from gridstone.operators import replay as RP
 from gridstone.operators import reports as RE
 from gridstone.operators import routers as R
 from gridstone.operators import selection as SE
+from gridstone.operators.summaries import summarize_selection
 from gridstone.plans.catalog import register
-from gridstone.plans.queries_more import MODEL_IDS, POOL, split_grid
+from gridstone.plans.queries_more import MODEL_IDS, POOL, sample_queries, split_grid
 from gridstone.plans.queries_reports import _official, _summary
-from gridstone.session import shared_path
+from gridstone.session import cut_lineage, shared_path
 from gridstone.sources.views import grid_view, samples_view, table
 
 #: Routers that dev picks from, in the order that breaks ties; the uncertainty-aware one keeps the perceptrons' sure decisions.
@@ -136,3 +138,80 @@ def learned_win_list(spark, sf):
 def learned_failures(spark, sf):
     """Q3 of the official learned routers."""
     return RE.failure_summary(_learned(spark, sf)[1], split_grid(spark, sf, "test"))
+
+
+# ---------------------------------------------------------------------------
+# Hints for the joint rule, and the learned budget policy
+# ---------------------------------------------------------------------------
+
+_tables: dict[tuple[str, str, str], str] = {}
+
+
+def _write_once(spark, sf, name, make) -> str:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _tables:
+        path = shared_path(spark, name)
+        make().write.parquet(path)
+        _tables[key] = path
+    return _tables[key]
+
+
+def hint_table(spark, sf) -> str:
+    """The path of the written hints of all samples, by models trained on the train split."""
+    def make():
+        labels = cut_lineage(L.best_budget(split_grid(spark, sf, "train")))
+        difficulty, budget = learn.train_budget(labels)
+        return learn.budget_hints(difficulty, budget, samples_view(spark, sf), MODEL_IDS)
+
+    return _write_once(spark, sf, "hints", make)
+
+
+def policy_table(spark, sf) -> str:
+    """The path of the written budget predictions of all (sample, model) pairs."""
+    def make():
+        samples = samples_view(spark, sf)
+        labels = L.best_per_model(split_grid(spark, sf, "train"), queries=samples)
+        pairs = samples.select("sample_id", "query", "task_type", F.explode(F.array(*[F.lit(m) for m in MODEL_IDS])).alias("selected_model"))
+        return learn.predict_policy(learn.train_policy(labels), pairs)
+
+    return _write_once(spark, sf, "policy", make)
+
+
+@register("learned_hints", None, note="Spark ML training")
+def learned_hints(spark, sf):
+    """R11 + R12: predicted difficulty and budget hint of every (sample, model)."""
+    return spark.read.parquet(hint_table(spark, sf))
+
+
+@register("hinted_joint_router", None, note="Spark ML training; equal to DuckDB over the written hints in the tests")
+def hinted_joint_router(spark, sf):
+    """R4 with the learned hints: a penalty for each level between a candidate's budget and its model's hint."""
+    hints = spark.read.parquet(hint_table(spark, sf)).select("sample_id", "model_id", "budget_hint")
+    out = R.route_joint(sample_queries(spark, sf), MODEL_IDS, hints)
+    return out.select("sample_id", "task_type", "route_model", "route_budget", "route_difficulty", "route_utility")
+
+
+@register("learned_policy_predictions", None, note="Spark ML training")
+def learned_policy_predictions(spark, sf):
+    """Predicted budgets of every (sample, model)."""
+    return spark.read.parquet(policy_table(spark, sf))
+
+
+@register("learned_policy_replay", None, note="Spark ML training; equal to DuckDB over the written predictions in the tests")
+def learned_policy_replay(spark, sf):
+    """B10 + B12: the learned policy calibrated on dev, then replayed on test raw and in the mode that dev chose."""
+    predictions = spark.read.parquet(policy_table(spark, sf))
+    mode = cut_lineage(RP.calibrate(split_grid(spark, sf, "dev"), predictions))
+    test = split_grid(spark, sf, "test")
+    raw = RP.replay_policy(test, predictions, None, safe=False)
+    budget = F.coalesce(mode.select("fallback_budget").scalar(), F.col("predicted_budget"))
+    safe = RP.replay_policy(test, predictions, budget)
+    rows = summarize_selection(raw, "learned_policy_raw").unionByName(summarize_selection(safe, "learned_policy_calibrated"))
+    chosen = {c: mode.select(c).scalar() for c in ("calibration_policy", "safe_mode", "fallback_budget")}
+    return rows.withColumns(chosen)
+
+
+@register("learned_calibration", None, note="Spark ML training; equal to DuckDB over the written predictions in the tests")
+def learned_calibration(spark, sf):
+    """B12 of the learned policy on dev."""
+    return RP.calibrate(split_grid(spark, sf, "dev"), spark.read.parquet(policy_table(spark, sf)))

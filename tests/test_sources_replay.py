@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from gridstone.functions import features as FT
 from gridstone.operators import grid as GR
 from gridstone.operators import replay as RP
-from gridstone.operators import reports as RE
 from gridstone.operators import summaries as S
 from gridstone.sources import samples as SP
 from gridstone.sources import traces as TR
@@ -74,11 +73,6 @@ def test_sums_do_not_depend_on_order(spark):
     assert tuple(empty) == (None, None)
 
 
-def test_poisson_weights_have_no_cap():
-    steps = RE.poisson1_thresholds()
-    assert len(steps) > 15 and steps[-1] > 1 - 1e-15 and steps == sorted(steps)
-
-
 def test_features_count_whole_texts(spark):
     text = "def f(x): return 12 + 3\n\t" + "word " * 50_000 + " é, 9!"
     row = FT.feature_frame(spark.createDataFrame([(text,), (None,), (" \n",)], "query string")).collect()
