@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridstone.functions.text import NUMBER, add_last_boxed, blank_to_null, last_match, normalize_number, pystrip
+
 # FIXED VALUES: tasks and splits that a sample may name.
 TASKS = ("gsm8k", "math", "humaneval")
 SPLITS = ("train", "dev", "test")
@@ -12,14 +14,24 @@ FIELDS = ("sample_id", "task_type", "query", "expected_answer", "split")
 BAD_LINE = "_corrupt_record"
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """S3: one JSON object per line; null fields and empty metadata are left out."""
-    rows = samples
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """One JSON object per line; null fields and empty metadata are left out."""
     if "metadata" in rows.columns:
         rows = rows.withColumn("metadata", F.when(F.size("metadata") > 0, F.col("metadata")))
     rows.write.json(path)
 
 
+def write_samples(samples: DataFrame, path: str, rejects_path: str | None = None) -> None:
+    """S3: the valid samples as JSON lines.  Samples that break a rule go to ``rejects_path`` with the rule; without it
+    they are an error, and nothing is written."""
+    good, bad = validate_samples(samples)
+    if rejects_path:
+        write_json_lines(bad, rejects_path)
+    elif broken := bad.groupBy("reject_reason").count().orderBy("reject_reason").collect():
+        raise ValueError("samples break rules: " + ", ".join(f"{r.reject_reason} ({r['count']})" for r in broken))
+    write_json_lines(good, path)
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """The samples of a JSON-lines folder; blank lines are skipped, lines that are not JSON keep their text in
     ``_corrupt_record`` for ``validate_samples``."""
@@ -29,7 +41,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def reject_reason(df: DataFrame) -> Column:
     """Null for a valid sample, else the first rule that it breaks."""
-    blank = lambda c: F.length(F.trim(F.col(c))) == 0
+    blank = lambda c: F.length(pystrip(F.col(c))) == 0
     reason = F.when(F.col(BAD_LINE).isNotNull(), "invalid_json") if BAD_LINE in df.columns else F.when(F.lit(False), "")
     for f in sorted(FIELDS):
         reason = reason.when(F.col(f).isNull(), f"missing:{f}")
@@ -72,3 +84,32 @@ def assign_splits(df: DataFrame, order_col: str, train: int, dev: int, test: int
     within = F.col("_rn") - F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", train).otherwise(train + dev)
     return (top.withColumn("_rn", rn).withColumn("split", split)
             .withColumn("sample_id", F.format_string(f"{bench}_%s_%03d", F.col("split"), within)).drop("_rn"))
+
+
+def assign_splits_of_pools(train_pool: DataFrame, test_pool: DataFrame, order_col: str, train: int, dev: int, test: int, bench: str) -> DataFrame:
+    """S5, two pools: the first ``train`` rows of one, then ``dev`` and ``test`` rows of the other by offset."""
+    return assign_splits(train_pool, order_col, train, 0, 0, bench).unionByName(assign_splits(test_pool, order_col, 0, dev, test, bench))
+
+
+#: FIXED VALUES: the marker of a final number, and that of a worded answer.
+HASH_MARK, WORDED = "####", "(?i)(?:final\\s+answer|answer)\\s*[:：]\\s*([^\n]+)"
+
+
+def build_expected(questions: DataFrame, solution: str = "solution") -> tuple[DataFrame, DataFrame]:
+    """(questions with ``expected_answer``, rejects with ``reject_reason``).
+
+    Number tasks: the last number behind the last ``####`` (or of the whole solution).  Mathematical tasks: the last box
+    that closes, else what follows ``answer:``.  Other tasks: the solution itself."""
+    c, task = F.col, F.col("task_type")
+    df = questions.withColumn("_s", F.coalesce(c(solution).cast("string"), F.lit("")))
+    df = df.withColumn("_m", F.when(task == "math", c("_s")))
+    df = add_last_boxed(df, "_m", "_box")
+    number = normalize_number(last_match(F.substring_index(c("_s"), HASH_MARK, -1), "(" + NUMBER + ")"))
+    worded = pystrip(F.regexp_extract(c("_m"), WORDED, 1))
+    answer = F.when(task == "gsm8k", number).when(task == "math", F.coalesce("_box", blank_to_null(worded))).otherwise(blank_to_null(pystrip(c("_s"))))
+    df = df.withColumn("expected_answer", answer)
+    blank = F.length(pystrip(c("_s"))) == 0
+    reason = F.when(c("expected_answer").isNotNull(), None).when(blank, "empty_solution").when(task == "gsm8k", "no_number").when(task == "math", "no_box_or_answer").otherwise("empty_solution")
+    judged = df.withColumn("reject_reason", reason)
+    return (judged.where("reject_reason is null").select(*questions.columns, "expected_answer"),
+            judged.where("reject_reason is not null").select(*questions.columns, "reject_reason"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.functions.text import blank_to_null
+from gridstone.sources.literals import parse_literal, write_literal
+
 
 def latest_traces(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` most recent traces by id (top-k: TakeOrderedAndProject, no full sort)."""
@@ -46,3 +49,41 @@ def append_traces(df: DataFrame, path: str) -> None:
 def read_traces(spark, path: str) -> DataFrame:
     """All traces of a table, whatever the age of its files, in id order."""
     return conform_traces(spark.read.option("mergeSchema", "true").parquet(path)).orderBy("id")
+
+
+# ---------------------------------------------------------------------------
+# CSV files with dict literals (S7), stored JSON columns
+# ---------------------------------------------------------------------------
+
+LITERAL_COLUMNS = ("budget_config", "judge_metadata", "router_features", "provider_response_meta", "metadata")
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "lineSep": "\n", "nullValue": "", "emptyValue": '""'}
+
+
+def write_trace_csv(df: DataFrame, path: str) -> None:
+    """Traces as CSV; map columns are written as dict literals, texts may hold quotes, commas and line ends."""
+    maps = {c: write_literal(F.col(c)) for c, t in df.dtypes if t.startswith("map<")}
+    (df.withColumns(maps) if maps else df).write.options(**_CSV).csv(path)
+
+
+def read_trace_csv(spark, path: str, schema: str) -> DataFrame:
+    """Traces of CSV files by a schema; columns that it calls ``map<string,string>`` are parsed from dict literals.
+    Numbers that look like answers stay text if the schema says so.  A file with line ends in its fields is read by one task."""
+    fields = spark.createDataFrame([], schema).schema
+    maps = [f.name for f in fields if f.dataType.simpleString().startswith("map<")]
+    raw = ", ".join(f"`{f.name}` {'string' if f.name in maps else f.dataType.simpleString()}" for f in fields)
+    df = spark.read.schema(raw).options(**_CSV).csv(path)
+    return df.withColumns({c: parse_literal(F.col(c)) for c in maps}) if maps else df
+
+
+def decode_traces(df: DataFrame) -> DataFrame:
+    """Stored traces with their JSON columns as maps, the query's text and id and the budget's id filled in: the id from
+    ``metadata`` (sample, then query), the budget's from its stored configuration, else from the level."""
+    empty = F.create_map().cast("map<string,string>")
+    df = conform_traces(df if "metadata" in df.columns else df.withColumn("metadata", F.lit("{}")))
+    df = df.withColumns({c: F.coalesce(F.from_json(F.coalesce(blank_to_null(F.col(c)), F.lit("{}")), "map<string,string>"), empty) for c in LITERAL_COLUMNS})
+    made = {"query_id": F.coalesce(blank_to_null(F.col("query_id")), F.try_element_at("metadata", F.lit("sample_id")), F.try_element_at("metadata", F.lit("query_id")), F.lit("")),
+            "selected_budget_id": F.coalesce(blank_to_null(F.col("selected_budget_id")), F.try_element_at("budget_config", F.lit("budget_id")),
+                                             F.concat(F.lit("budget-"), F.col("selected_budget").cast("string")))}
+    if "query" in df.columns:
+        made["query_text"] = F.coalesce(blank_to_null(F.col("query_text")), F.col("query"))
+    return df.withColumns(made)
