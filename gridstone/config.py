@@ -45,6 +45,14 @@ REPAIR_BUDGET = 1024
 
 DEFAULT_COST_PER_1K = 0.0006
 
+# Model aliases: alias, model id, tier, price per 1000 tokens; and what all of them share.
+MODEL_ALIASES = (
+    ("qwen-flash", "qwen3.5-flash-2026-02-23", "cheap", 0.0003),
+    ("qwen-plus", "qwen3.5-plus-2026-02-15", "mid", 0.0012),
+    ("qwen-max", "qwen3-max-2026-01-23", "strong", 0.0040),
+)
+ALIAS_PROVIDER, DEFAULT_BACKEND, MOCK = "qwen", "openai-compatible", "mock"
+
 # Tier inference from a model name, tried in this order.
 TIER_NAME_TOKENS = (
     ("cheap", ("flash", "cheap", "mini")),

@@ -153,16 +153,19 @@ FAILURE_COLUMNS = [
 ]
 
 
-def analyze_failures(df: DataFrame) -> DataFrame:
+def analyze_failures(df: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Incorrect rows + failure class (G9) + recorded error (T5) + J7 + 240-char preview.
 
-    ``route_confidence`` is carried through when present (T6).
+    ``route_confidence`` is carried through when present (T6).  With ``queries`` (sample_id, query) the query's text is
+    joined to the result, once per sample; without it the rows' own ``query`` is kept.
     """
     df = with_sample_id(df)
     for c, t in (("split", "string"), ("extracted_answer", "string"), ("error_type", "string"), ("total_tokens", "bigint"),
                  ("query", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
+    if queries is not None:
+        df = df.drop("query")
     j = with_correct_budgets(df).filter(~F.coalesce(F.col("is_correct").cast("boolean"), F.lit(False)))
     text = F.coalesce(F.col("output_text").cast("string"), F.lit(""))
     out = add_failure_class(j).select(
@@ -170,6 +173,8 @@ def analyze_failures(df: DataFrame) -> DataFrame:
         F.col("error_type").alias("recorded_error_type"),
         F.translate(F.substring(text, 1, 240), "\n", " ").alias("output_preview"),
     )
+    if queries is not None:
+        out = out.join(queries.select("sample_id", "query"), "sample_id", "left")
     extra = ["route_confidence"] if "route_confidence" in df.columns else []
     return out.select(*FAILURE_COLUMNS, *extra)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstone.functions.text import pystrip
+
 
 def signature(models: Sequence[str], budgets: Sequence[int]) -> str:
     return "models=" + ",".join(models) + "|budgets=" + ",".join(str(b) for b in budgets)
@@ -22,7 +24,7 @@ def candidate_grid(samples: DataFrame, models: Sequence[str], budgets: Sequence[
 
 def pending_grid(grid: DataFrame, traces: DataFrame) -> DataFrame:
     """Drop (sample, model, budget) keys already traced; blank sample ids never match."""
-    done = traces.filter(F.length(F.trim(F.col("sample_id"))) > 0).select("sample_id", "selected_model", "selected_budget")
+    done = traces.filter(F.length(pystrip(F.col("sample_id"))) > 0).select("sample_id", "selected_model", "selected_budget")
     return grid.join(done, ["sample_id", "selected_model", "selected_budget"], "left_anti")
 
 

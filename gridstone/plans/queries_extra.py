@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from gridstone.config import BUDGET_LEVELS
 from gridstone.functions import budgets as BU
 from gridstone.operators import grid as GR
+from gridstone.operators import routers as R
 from gridstone.plans import sqlfrag as Q
 from gridstone.operators.summaries import total
 from gridstone.plans.catalog import register
-from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view, trace_log_view
+from gridstone.plans.queries_more import FIRSTQ, THRESH_SQL, sample_queries
+from gridstone.sources.views import FIXTURE_MODELS, grid_view, samples_view, table, trace_log_view
 
 MODELS = [m for _, m, _, _ in FIXTURE_MODELS]
 SIG = GR.signature(MODELS, BUDGET_LEVELS)
@@ -85,3 +87,37 @@ def distinct_queries(spark, sf):
     return grid_view(spark, sf).select("query", "task_type").dropDuplicates().groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+NAMES_SQL = """SELECT CASE id % 7 WHEN 0 THEN 'qwen-flash' WHEN 1 THEN 'qwen3.5-plus-2026-02-15' WHEN 2 THEN ' qwen3-max-2026-01-23 ' WHEN 3 THEN 'mock-cheap' WHEN 4 THEN 'plain'
+  WHEN 5 THEN 'own-max' ELSE selected_model END AS name FROM trace_log"""
+
+
+@register("resolved_models", f"""SELECT name, CASE name WHEN 'qwen-flash' THEN 'qwen3.5-flash-2026-02-23' ELSE CASE WHEN trim(name) LIKE 'qwen3%' THEN trim(name) ELSE name END END AS model_id,
+  CASE WHEN starts_with(name, 'mock') THEN 'mock' ELSE 'openai-compatible' END AS backend,
+  CASE WHEN name LIKE '%qwen%' THEN 'qwen' WHEN starts_with(name, 'mock') THEN 'mock' ELSE 'openai-compatible' END AS provider,
+  CASE WHEN name LIKE '%flash%' OR name LIKE '%cheap%' THEN 'cheap' WHEN name LIKE '%plus%' OR name LIKE '%mid%' THEN 'mid' WHEN name LIKE '%max%' OR name LIKE '%strong%' THEN 'strong' END AS tier,
+  CASE trim(name) WHEN 'qwen3.5-plus-2026-02-15' THEN 'qwen-plus' WHEN 'qwen3-max-2026-01-23' THEN 'qwen-max' ELSE name END AS alias,
+  CASE WHEN name LIKE '%flash%' THEN 0.0003 WHEN name LIKE '%plus%' THEN 0.0012 WHEN name LIKE '%qwen3-max%' THEN 0.0040 WHEN starts_with(name, 'mock') THEN 0.0 ELSE 0.0006 END::DOUBLE AS cost_per_1k_tokens,
+  count(*) AS n FROM ({NAMES_SQL}) GROUP BY ALL""", ["cost_per_1k_tokens"])
+def resolved_models(spark, sf):
+    """Models named by alias, by an alias's model id, or otherwise."""
+    i = F.col("id") % 7
+    name = (F.when(i == 0, "qwen-flash").when(i == 1, "qwen3.5-plus-2026-02-15").when(i == 2, " qwen3-max-2026-01-23 ").when(i == 3, "mock-cheap").when(i == 4, "plain")
+            .when(i == 5, "own-max").otherwise(F.col("selected_model")))
+    resolved = BU.resolve_models(trace_log_view(spark, sf).select(name.alias("name")), "name")
+    return resolved.groupBy(*resolved.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("budget_rejects", """SELECT id, selected_budget, 'unsupported_budget' AS reject_reason FROM (SELECT id, CASE WHEN id % 10 = 0 THEN 300 ELSE selected_budget END AS selected_budget FROM trace_log)
+WHERE selected_budget NOT IN (0, 256, 1024, 4096)""")
+def budget_rejects(spark, sf):
+    """Traces whose budget is no level."""
+    odd = trace_log_view(spark, sf).select("id", F.when(F.col("id") % 10 == 0, 300).otherwise(F.col("selected_budget")).alias("selected_budget"))
+    return BU.with_budget_config(odd)[1]
+
+
+@register("pool_without_tiers", """SELECT sample_id, route_budget, CASE WHEN tier = 'cheap' THEN 'first' ELSE 'only-strong' END AS route_model FROM (
+  SELECT sample_id, route_budget, CASE route_model WHEN 'm-cheap' THEN 'cheap' WHEN 'm-mid' THEN 'mid' ELSE 'strong' END AS tier FROM thr)""", ctes=(FIRSTQ, ("thr", THRESH_SQL)))
+def pool_without_tiers(spark, sf):
+    """A pool without cheap and mid models: cheap falls to the pool's first, mid to the strong one."""
+    pool = [R.PoolModel("first", None), R.PoolModel("only-strong", "strong"), R.PoolModel("last", None)]
+    return R.route_threshold(sample_queries(spark, sf), pool).select("sample_id", "route_budget", "route_model")

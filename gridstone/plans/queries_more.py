@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridstone.config import (
+from gridstone.plans.sql_values import (
     BUDGET_ACCURACY_BONUS, JOINT_BUDGET_BONUS, JOINT_DIFFICULTY_PENALTY, JOINT_MODEL_ACCURACY, JOINT_MODEL_COST_FACTOR,
     TASK_ACCURACY_PENALTY, TASK_LATENCY_MULTIPLIER, TIER_ACCURACY_BASE, TIER_COST_BASE, TIER_LATENCY_BASE, BUDGET_LEVELS,
 )

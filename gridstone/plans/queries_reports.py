@@ -15,6 +15,7 @@ from gridstone.operators import selection as SE
 from gridstone.plans.queries_more import (
     FIRSTQ, JOINT_SQL, POOL, PRIM_CTE, ROUTER_SUMMARY, THRESH_SQL, _replay_sql, _som, primary_decisions, sample_queries, split_grid, threshold_decisions)
 from gridstone.plans.queries_text import FAIL_CTES
+from gridstone.plans.sql_values import ABLATION_GROUPS
 from gridstone.plans.queries_core import REGISTRY_BASELINE_SQL
 from gridstone.session import cut_lineage
 from gridstone.sources.views import grid_view, trace_log_view
@@ -108,7 +109,8 @@ UNION ALL SELECT 'joint_rule', sample_id, route_model, route_budget, pconf, fals
 
 
 def rule_decisions(spark, sf):
-    return SE.recorded(threshold_decisions(spark, sf), "threshold").unionByName(SE.recorded(primary_decisions(spark, sf), "joint_rule"))
+    """Narrow decisions of both rules, written once: texts are not routed again for every split, sweep and fallback."""
+    return cut_lineage(SE.recorded(threshold_decisions(spark, sf), "threshold").unionByName(SE.recorded(primary_decisions(spark, sf), "joint_rule")))
 
 
 def _official(spark, sf, decisions, primary, candidates):
@@ -183,7 +185,7 @@ def final_failures(spark, sf):
 
 
 ABL_CASE = "CASE policy_family " + " ".join(f"WHEN {Q.lit(k)} THEN {Q.lit(v)}" for k, v in
-                                            __import__("gridstone.config", fromlist=["ABLATION_GROUPS"]).ABLATION_GROUPS.items()) \
+                                            ABLATION_GROUPS.items()) \
     + " ELSE policy_family END"
 
 

@@ -10,7 +10,7 @@ from gridstone.operators import summaries as S
 from gridstone.plans import sql_grading as SG
 from gridstone.plans.catalog import register
 from gridstone.plans.sql_views import with_views
-from gridstone.sources.views import grid_view, table
+from gridstone.sources.views import grid_view, samples_view, table
 
 OUTCOME_SQL = """CASE WHEN task_type <> 'humaneval' THEN NULL WHEN is_correct THEN 'pass' WHEN error_type = 'parse_error' THEN 'SyntaxError'
   WHEN error_type = 'APIConnectionError' THEN NULL ELSE 'AssertionError' END"""
@@ -118,7 +118,7 @@ FAILURE_SELECT = """sample_id, split, task_type, selected_model, selected_budget
 @register("failure_table", f"SELECT {FAILURE_SELECT} FROM classified", ["cost_usd", "latency_s"], ctes=FAIL_CTES, headline=True)
 def failure_table(spark, sf):
     """G10 with G9 classes, J7 and the recorded error type (T5)."""
-    return G.analyze_failures(_failure_input(spark, sf))
+    return G.analyze_failures(_failure_input(spark, sf), samples_view(spark, sf))
 
 
 @register(

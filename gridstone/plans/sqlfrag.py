@@ -1,22 +1,15 @@
 """DuckDB SQL fragments mirroring the column expressions, for the oracle only.
 
-Expressions, patterns and character sets are written here on their own; tables
-of the output contract (weights, markers, symbols) come from the configuration.
+Expressions, patterns, character sets and values are written here and in
+``sql_values`` on their own; nothing comes from the engine's configuration.
 """
 
 from __future__ import annotations
 
 import re
 
-from gridstone.config import (
-    DIFFICULTY_TASK_BONUS,
-    DIFFICULTY_TASK_BONUS_DEFAULT,
-    MATH_SYMBOLS,
-    PROBE_CODE_MARKERS,
-    PUNCTUATION,
-    SURFACE_CODE_MARKERS,
-    Weights,
-)
+from gridstone.plans.sql_values import (
+    ALPHA, BETA, DIFFICULTY_TASK_BONUS, DIFFICULTY_TASK_BONUS_DEFAULT, GAMMA, MATH_SYMBOLS, PROBE_CODE_MARKERS, PUNCTUATION, SURFACE_CODE_MARKERS)
 
 # White space of Python's str.split(), by code point (written here on its own, not taken from the engine).
 WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198,
@@ -120,17 +113,15 @@ def difficulty_score(col: str = "query", task: str = "task_type") -> str:
     return f"CAST(({wc} * 1.0 + {dc} * 2.0 + {mm} * 3.0 + {cm} * 30.0) + ({bonus}) AS DOUBLE)"
 
 
-def row_utility(w: Weights | None = None, correct: str = "is_correct", cost: str = "cost_usd", lat: str = "latency_s") -> str:
-    w = w or Weights()
-    return (f"(CAST({w.alpha} AS DOUBLE) * coalesce(CAST({correct} AS DOUBLE), 0.0) - CAST({w.beta} AS DOUBLE) * "
-            f"coalesce(CAST({cost} AS DOUBLE), 0.0) - CAST({w.gamma} AS DOUBLE) * coalesce(CAST({lat} AS DOUBLE), 0.0))")
+def row_utility(correct: str = "is_correct", cost: str = "cost_usd", lat: str = "latency_s") -> str:
+    return (f"(CAST({ALPHA} AS DOUBLE) * coalesce(CAST({correct} AS DOUBLE), 0.0) - CAST({BETA} AS DOUBLE) * "
+            f"coalesce(CAST({cost} AS DOUBLE), 0.0) - CAST({GAMMA} AS DOUBLE) * coalesce(CAST({lat} AS DOUBLE), 0.0))")
 
 
-def summary_utility(w: Weights | None = None, latency: str = "avg") -> str:
-    w = w or Weights()
+def summary_utility(latency: str = "avg") -> str:
     lat = "coalesce(p95_latency, avg_latency, 0.0)" if latency == "p95" else "coalesce(avg_latency, 0.0)"
-    return (f"(CAST({w.alpha} AS DOUBLE) * coalesce(accuracy, 0.0) - CAST({w.beta} AS DOUBLE) * coalesce(avg_cost, 0.0) "
-            f"- CAST({w.gamma} AS DOUBLE) * {lat})")
+    return (f"(CAST({ALPHA} AS DOUBLE) * coalesce(accuracy, 0.0) - CAST({BETA} AS DOUBLE) * coalesce(avg_cost, 0.0) "
+            f"- CAST({GAMMA} AS DOUBLE) * {lat})")
 
 
 METRICS = ("avg(CAST(is_correct AS DOUBLE)) AS accuracy, exact_avg(cost_usd) AS avg_cost, exact_sum(cost_usd) AS total_cost, "

@@ -83,3 +83,12 @@ def test_features_count_whole_texts(spark):
     out = FT.with_embedding_features(spark.createDataFrame([(1,), (2,)], "k long"), vectors, "k", 3).orderBy("k")
     assert [tuple(r) for r in out.collect()] == [(1, 0.5, 2.0, 0.0), (2, 0.0, 0.0, 0.0)]
     assert out.select(F.sum("semantic_embedding_01")).first()[0] == 2.0
+
+
+def test_blank_sample_ids_are_never_done(spark):
+    from gridstone.operators import grid as GR
+
+    grid = GR.candidate_grid(spark.createDataFrame([("a",), ("\t\n",), ("b",)], "sample_id string"), ["m"], [0, 256])
+    traces = spark.createDataFrame([("a", "m", 0), ("\t\n", "m", 0), ("\t\n", "m", 256)], "sample_id string, selected_model string, selected_budget int")
+    assert sorted(tuple(r)[:3] for r in GR.pending_grid(grid, traces).select("sample_id", "selected_model", "selected_budget").collect()) == [
+        ("\t\n", "m", 0), ("\t\n", "m", 256), ("a", "m", 256), ("b", "m", 0), ("b", "m", 256)]
