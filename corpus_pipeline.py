@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages that each read what the one before them kept, written as Parquet in between."""
+"""The corpus pipeline: stages that each read what the one before them kept, written as Parquet in between.
+
+Defined results: a null or empty text fails the first stage; very long texts pass or fail by the same ratios as others and are
+carried whole; of equal and near texts the one with the smallest id stays, of rows that share that id one; rows without an id
+are linked with nothing and are mixed by their text; further columns, whatever their names, are carried through all stages
+but the last; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

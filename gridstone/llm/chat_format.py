@@ -10,7 +10,8 @@ a backslash is put after the first character of each control string, so no text
 
 Defined results: a null text or role is the empty text or role; a null conversation id is a conversation of its own; rows
 that repeat a turn number follow each other by role, then text; a parent that does not exist makes its child a root; a
-message in a cycle has no root and is in no path; an empty table gives an empty result; extra columns are not returned.
+message in a cycle has no root and is in no path; branches of equal score go by depth, then by their leaf; very long texts are
+formatted whole; an empty table gives an empty result; extra columns are not returned.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ interval touches.  Within a range both are sorted and swept once; a stack holds
 still open, its top being the longest one.
 
 Defined results: a null url, or one without ``://``, has empty host and path and gets ``default_no_host``; rows whose
-page id is null are judged as others; repeated rows come back repeated; of two rules with the same host and path the
+page id is null are judged as others; very long urls are judged whole; repeated rows come back repeated; of two rules with the same host and path the
 block wins; an empty rule table leaves every verdict to the defaults; extra columns of the input are not returned.
 """
 

@@ -13,7 +13,8 @@ digest), sent to the same shards as marks that sort before the page they belong
 The folder is one that all executors share (``spark.checkpoint.dir``), reached through ``pyarrow.fs``.
 
 Defined results: null html is the empty payload; a null url gives an empty target; a null page id sorts first and is written
-without an id; rows that repeat the smallest id of a payload are all responses; an empty table gives no files and
+without an id; rows that repeat the smallest id of a payload are all responses; a very long page is one member of its shard,
+whole; an empty table gives no files and
 an empty manifest; extra columns are not written.
 """
 
