@@ -101,10 +101,10 @@ def with_probe_features(df: DataFrame, query_col: str = "query") -> DataFrame:
     return df.select(*[c for c in df.columns if c not in PROBE_COLUMNS], *probe_feature_columns(query_col))
 
 
-def heuristic_difficulty(query_col: str = "query", task_col: str = "task_type") -> Column:
+def heuristic_difficulty(query_col: str = "query", task_col: str = "task_type", counts: dict[str, Column] | None = None) -> Column:
     """hard if code task, >=2 code markers or >120 words; medium if math, >=8 digits,
     >=4 math symbols or >55 words; else easy."""
-    c = surface_counts(query_col)
+    c = counts or surface_counts(query_col)
     t = F.col(task_col)
     return (
         F.when((t == "humaneval") | (c["code_marker_count"] >= 2) | (c["word_count"] > 120), "hard")
@@ -144,11 +144,15 @@ def feature_frame(df: DataFrame, query_col: str = "query") -> DataFrame:
     Counts are staged once per row, then every feature is arithmetic on them."""
     names = set(SURFACE_COLUMNS) | set(PROBE_COLUMNS)
     keep = [c for c in df.columns if c not in names]
+    return with_counts(df, keep, query_col).select(*keep, *features_from_counts())
+
+
+def with_counts(df: DataFrame, keep: list[str], query_col: str = "query") -> DataFrame:
+    """The ``keep`` columns of ``df`` and the counts of its query as ``_n_*`` columns, each made once."""
     q = F.coalesce(F.col(query_col).cast("string"), F.lit(""))
     base = df.select(*df.columns, words(q).alias("_f_words"), F.lower(q).alias("_f_low"))
     counts = surface_counts(query_col, "_f_words", "_f_low")
-    staged = base.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
-    return staged.select(*keep, *features_from_counts())
+    return base.select(*keep, *[counts[k].alias("_n_" + k) for k in COUNT_COLUMNS])
 
 
 def with_embedding_features(df: DataFrame, vectors: DataFrame, key: str, dim: int = 16, vector_col: str = "embedding") -> DataFrame:

@@ -56,3 +56,10 @@ def with_sample_id(df: DataFrame) -> DataFrame:
     if not candidates:
         raise ValueError("no column to derive sample_id from")
     return df.withColumn("sample_id", F.coalesce(*candidates))
+
+
+def without_failed(df: DataFrame) -> DataFrame:
+    """T4: rows of calls that failed (an error and no tokens) left out; such rows cost nothing and would win every
+    choice of the cheapest row."""
+    failed = (F.col("total_tokens") == 0) & F.col("error_type").isNotNull()
+    return df.filter(~F.coalesce(failed, F.lit(False)))

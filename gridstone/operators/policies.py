@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.config import RECOVERABLE_ERRORS, Weights
-from gridstone.functions.utility import summary_utility, with_sample_id
+from gridstone.functions.utility import summary_utility, with_sample_id, without_failed
 from gridstone.operators.summaries import METRIC_COLUMNS, first_non_null, metrics_by, selection_metrics, summarize_selection
 from gridstone.session import cut_lineage
 
@@ -56,7 +56,8 @@ def best_choices(df: DataFrame, w: Weights | None = None, exact: bool = True) ->
 
 
 def _winner(df: DataFrame, level: str, w: Weights | None, exact: bool) -> DataFrame:
-    return best_choices(df, w, exact).filter(F.col("level") == level)
+    """The level's winner, written: the cube is aggregated once however many values are taken from it."""
+    return cut_lineage(best_choices(df, w, exact).filter(F.col("level") == level))
 
 
 def aggregate_policy(df: DataFrame, w: Weights | None = None, exact: bool = True) -> DataFrame:
@@ -100,14 +101,14 @@ def _tiebreak(df: DataFrame) -> list[Column]:
     return extra
 
 
-def oracle_policy(df: DataFrame) -> DataFrame:
+def oracle_policy(df: DataFrame, exclude_failed: bool = False) -> DataFrame:
     """Cheapest correct row per sample, else cheapest row.
 
     An aggregate ``min_by(row, key)`` keyed by sample: combines map-side, so a hot
     sample never sends all its rows to one task.  Texts are not ranked: join them
-    to the result by ``id`` where they are wanted.
+    to the result by ``id`` where they are wanted.  ``exclude_failed`` leaves failed calls out (T4).
     """
-    df = with_sample_id(df).drop("query", "output_text")
+    df = with_sample_id(without_failed(df) if exclude_failed else df).drop("query", "output_text")
     key = F.struct(
         (~F.col("is_correct").cast("boolean")).alias("k0"), F.col("cost_usd").alias("k1"), F.col("latency_s").alias("k2"),
         F.col(BUDGET).alias("k3"), *[c.alias(f"t{i}") for i, c in enumerate(_tiebreak(df))],
@@ -154,7 +155,7 @@ def policy_table(df: DataFrame, w: Weights | None = None, errors: Sequence[str]
     """Fixed (model, budget), fixed budget, oracle, model-only, budget-only,
     aggregate and safe-fallback policies in one table."""
     df = with_sample_id(df)
-    ranked = _ranked(policy_stats(df, w, exact))
+    ranked = cut_lineage(_ranked(policy_stats(df, w, exact)))
     metrics = [F.col(c) for c in METRIC_COLUMNS]
     b = F.col(BUDGET).cast("string")
     top = F.col("level_rank") == 1

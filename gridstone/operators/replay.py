@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.config import THRESHOLD_SWEEP, Weights
-from gridstone.functions.utility import summary_utility, with_sample_id
+from gridstone.functions.utility import summary_utility, with_sample_id, without_failed
 from gridstone.operators.summaries import METRIC_COLUMNS, selection_metrics, summarize_router, zero_fill
 
 MODEL = "selected_model"
@@ -31,12 +31,12 @@ def first_queries(grid: DataFrame) -> DataFrame:
 
 
 def replay(grid: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("sample_id",),
-           decision_cols: Sequence[str] = (), group_extra: Sequence[str] = ()) -> DataFrame:
+           decision_cols: Sequence[str] = (), group_extra: Sequence[str] = (), exclude_failed: bool = False) -> DataFrame:
     """The trace row matching the decided (model, budget) of each key, else the key's
     cheapest row by (cost, latency, budget).  ``decisions`` has ``keys``, ``route_model``
     (optional when keys include the model) and ``route_budget``.  Texts are not ranked: join
-    them to the result by ``id`` where they are wanted."""
-    grid = with_sample_id(grid).drop("query", "output_text")
+    them to the result by ``id`` where they are wanted.  ``exclude_failed`` leaves failed calls out (T4)."""
+    grid = with_sample_id(without_failed(grid) if exclude_failed else grid).drop("query", "output_text")
     keys = list(keys)
     d = decisions.select(*keys, *group_extra,
                          *[c for c in ("route_model", "route_budget") if c in decisions.columns and c not in keys],
@@ -56,10 +56,10 @@ def replay(grid: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("sample
     return j.groupBy(*gkeys).agg(F.min_by(F.struct(*value_cols), key).alias("_r")).select(*gkeys, "_r.*")
 
 
-def replay_router(grid: DataFrame, decisions: DataFrame, router_name: str) -> tuple[DataFrame, DataFrame]:
+def replay_router(grid: DataFrame, decisions: DataFrame, router_name: str, exclude_failed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Replay a router's per-sample decisions; returns (selected rows, A4 summary)."""
     extra = [c for c in ("route_confidence", "fallback_triggered", "fallback_reason", "router_name") if c in decisions.columns]
-    sel = replay(grid, decisions, ("sample_id",), extra)
+    sel = replay(grid, decisions, ("sample_id",), extra, exclude_failed=exclude_failed)
     sel = sel.withColumn("policy", F.lit(f"phase2_{router_name}"))
     return sel, summarize_router(sel, router_name)
 

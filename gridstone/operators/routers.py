@@ -82,9 +82,11 @@ def tier_to_model(pool: list[PoolModel], tier: Column) -> tuple[Column, Column]:
     return model, mtier
 
 
-def route_threshold(samples: DataFrame, pool: list[PoolModel], query_col: str = "query", task_col: str = "task_type") -> DataFrame:
-    """R2: tier by difficulty .75/.45 (or task), budget by .8/.4, confidence max(.15, 1-|d-.5|)."""
-    d_col = probe_feature_columns(query_col)[0]
+def route_threshold(samples: DataFrame, pool: list[PoolModel], query_col: str = "query", task_col: str = "task_type",
+                    difficulty: Column | None = None) -> DataFrame:
+    """R2: tier by difficulty .75/.45 (or task), budget by .8/.4, confidence max(.15, 1-|d-.5|).  ``difficulty``: the
+    probe's, if it is there already."""
+    d_col = probe_feature_columns(query_col)[0] if difficulty is None else difficulty
     df = samples.withColumn("_d", d_col)
     d, task = F.col("_d"), F.col(task_col)
     tier = F.when((d >= 0.75) | (task == "humaneval"), "strong").when((d >= 0.45) | (task == "math"), "mid").otherwise("cheap")
@@ -105,7 +107,7 @@ def route_threshold(samples: DataFrame, pool: list[PoolModel], query_col: str =
 
 
 def route_joint(samples: DataFrame, model_ids: list[str], hints: DataFrame | None = None, w: Weights | None = None,
-                query_col: str = "query", task_col: str = "task_type") -> DataFrame:
+                query_col: str = "query", task_col: str = "task_type", difficulty: Column | None = None) -> DataFrame:
     """Argmax of utility over models × four budgets (first wins ties), heuristic difficulty,
     optional budget hints (``sample_id, model_id, budget_hint``) with a 0.03 penalty per level step.
 
@@ -113,7 +115,7 @@ def route_joint(samples: DataFrame, model_ids: list[str], hints: DataFrame | Non
     ``array_max`` over per-candidate structs — no join, no shuffle.
     """
     w = w or Weights()
-    df = samples.withColumn("_diff", heuristic_difficulty(query_col, task_col))
+    df = samples.withColumn("_diff", heuristic_difficulty(query_col, task_col) if difficulty is None else difficulty)
     cands = []
     for mi, mid in enumerate(model_ids):
         for bi, b in enumerate(BUDGET_LEVELS):

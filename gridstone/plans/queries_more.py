@@ -10,6 +10,7 @@ from gridstone.plans.sql_values import (
 )
 from gridstone.functions import features as FT
 from gridstone.operators import grading as G
+from gridstone.operators import policies as P
 from gridstone.operators import replay as RP
 from gridstone.operators import routers as R
 from gridstone.plans import sqlfrag as Q
@@ -135,6 +136,22 @@ def replayed_rows(spark, sf):
     return sel.select("sample_id", "id", "selected_model", "selected_budget", "matched", "cost_usd", "latency_s")
 
 
+@register("replay_without_failed", "SELECT sample_id, id, selected_model, selected_budget, matched, cost_usd, latency_s FROM replayed",
+          ["cost_usd", "latency_s"], ctes=(FIRSTQ, ("thr", THRESH_SQL), ("called", "SELECT * FROM grid WHERE NOT (total_tokens = 0 AND error_type IS NOT NULL)"),
+                                           ("replayed", _replay_sql("thr", "called"))))
+def replay_without_failed(spark, sf):
+    """J6 with T4's option: failed calls are no candidates."""
+    sel, _ = RP.replay_router(grid_view(spark, sf), R.route_threshold(sample_queries(spark, sf), POOL), "threshold", exclude_failed=True)
+    return sel.select("sample_id", "id", "selected_model", "selected_budget", "matched", "cost_usd", "latency_s")
+
+
+@register("oracle_without_failed", """SELECT sample_id, id, selected_model, selected_budget, cost_usd FROM (SELECT *, row_number() OVER (PARTITION BY sample_id
+  ORDER BY is_correct DESC, cost_usd, latency_s, selected_budget, selected_model, id) AS rn FROM grid WHERE NOT (total_tokens = 0 AND error_type IS NOT NULL)) WHERE rn = 1""", ["cost_usd"])
+def oracle_without_failed(spark, sf):
+    """W5 with T4's option."""
+    return P.oracle_policy(grid_view(spark, sf), exclude_failed=True).select("sample_id", "id", "selected_model", "selected_budget", "cost_usd")
+
+
 # primary = joint router decision, scored with the cheap-probe confidence (a recorded score table)
 
 
