@@ -41,6 +41,8 @@ from gridstone.llm.common import RangeHash, materialize, mix64, small_batches, t
 #: A signature tells whether a term occurs at least so often.
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128], np.int64)
 HASHES, BITS_PER_KEY = 5, 16
+#: Widest signature (512 KB): longer documents fill theirs up, are overestimated and so scored exactly more often.
+MAX_WIDTH = 1 << 22
 BLOCK_DOCS, BLOCK_BYTES = 512, 2 << 20
 #: Terms whose slices are combined at a time.
 TERM_CHUNK = 2048
@@ -154,7 +156,7 @@ def read_documents(docs: DataFrame, vocabulary: list[bytes], with_index: bool) -
                 times = reached[lo:hi]
                 keys = int(times.sum())
                 level = np.arange(keys) - np.repeat(np.cumsum(times) - times, times)
-                width = 1 << max(8, (BITS_PER_KEY * keys - 1).bit_length())
+                width = min(MAX_WIDTH, 1 << max(8, (BITS_PER_KEY * keys - 1).bit_length()))
                 block = waiting.setdefault(width, _Block(width))
                 block.add(ids[i], int(length[i]), positions(np.repeat(h[lo:hi], times), level, width))
                 if block.full():

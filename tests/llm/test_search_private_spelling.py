@@ -53,6 +53,7 @@ def test_search_in_several_blocks_of_items(spark, texts, monkeypatch):
     monkeypatch.setattr(lexical_search, "BLOCK_DOCS", 16)
     monkeypatch.setattr(lexical_search, "TERM_CHUNK", 4)
     monkeypatch.setattr(lexical_search, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(lexical_search, "MAX_WIDTH", 256)  # long documents fill their signatures up
     got = lexical_search.search(spark.createDataFrame(texts, DOCS).repartition(3), spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert rows(got) == sql("op11_lexical_search", documents=(["doc_id", "text"], texts), benchmark=(["item_id", "text"], ITEMS))
 
