@@ -28,8 +28,7 @@ def add_grades(df: DataFrame, text_col: str = "output_text", expected_col: str =
     df = df.withColumn("_exp_m", F.when(F.col(task_col) == "math", F.col("_exp_s")))
     df = df.withColumn("_exp_num", T.normalize_number(F.col("_exp_s")))
     df = df.withColumn("_exp_text", F.when(F.col("_exp_s").isNotNull(), T.normalize_text(F.col("_exp_s"))))
-    df = T.add_normalized_math(df, "_math_raw", "_m_ext")
-    df = T.add_normalized_math(df, "_exp_m", "_m_exp")
+    df = T.add_normalized_math(df, "_math_raw", "_m_ext", ("_exp_m", "_m_exp"))
     df = T.add_rational(T.add_rational(df, "_m_ext"), "_m_exp")
     outcome = F.col(outcome_col) if outcome_col else F.lit(None).cast("string")
     c = F.col
@@ -89,8 +88,7 @@ def add_failure_class(df: DataFrame, text_col: str = "output_text", expected_col
     df = df.withColumn("_fexp", F.col(expected_col).cast("string")).withColumn("_fext", F.col(extracted_col).cast("string"))
     is_math = F.col(task_col) == "math"
     df = df.withColumn("_fexp_m", F.when(is_math, F.col("_fexp"))).withColumn("_fext_m", F.when(is_math, F.col("_fext")))
-    df = T.add_normalized_math(df, "_fexp_m", "_fm_exp")
-    df = T.add_normalized_math(df, "_fext_m", "_fm_ext")
+    df = T.add_normalized_math(df, "_fexp_m", "_fm_exp", ("_fext_m", "_fm_ext"))
     # the whole output is normalized only where the earlier classes do not decide
     df = df.withColumn("_ft_m", F.when(is_math & (F.col("_fm_ext") != F.col("_fm_exp")), F.col("_ft")))
     df = T.add_normalized_math(df, "_ft_m", "_fm_out")
@@ -134,10 +132,11 @@ def correct_budgets(df: DataFrame) -> DataFrame:
     )
 
 
-def with_correct_budgets(df: DataFrame) -> DataFrame:
-    """Attach ``correct_budgets_for_sample`` and ``any_other_budget_correct`` to each row."""
+def with_correct_budgets(df: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """Attach ``correct_budgets_for_sample`` and ``any_other_budget_correct`` to each row; the budgets are those of
+    ``traces`` (``df`` itself unless given)."""
     df = with_sample_id(df)
-    j = df.join(correct_budgets(df), "sample_id", "left")
+    j = df.join(correct_budgets(df if traces is None else traces), "sample_id", "left")
     b = F.col("selected_budget").cast("bigint")
     return j.withColumn(
         "correct_budgets_for_sample", F.array_join(F.transform("_correct_budgets", lambda x: x.cast("string")), ",")
@@ -166,13 +165,15 @@ def analyze_failures(df: DataFrame, queries: DataFrame | None = None) -> DataFra
             df = df.withColumn(c, F.lit(None).cast(t))
     if queries is not None:
         df = df.drop("query")
-    j = with_correct_budgets(df).filter(~F.coalesce(F.col("is_correct").cast("boolean"), F.lit(False)))
+    failed = df.filter(~F.coalesce(F.col("is_correct").cast("boolean"), F.lit(False)))
     text = F.coalesce(F.col("output_text").cast("string"), F.lit(""))
-    out = add_failure_class(j).select(
+    # texts are judged where they were read, in as many tasks; the small sets of budgets are joined afterwards
+    classified = add_failure_class(failed).select(
         "*",
         F.col("error_type").alias("recorded_error_type"),
         F.translate(F.substring(text, 1, 240), "\n", " ").alias("output_preview"),
     )
+    out = with_correct_budgets(classified, df)
     if queries is not None:
         out = out.join(queries.select("sample_id", "query"), "sample_id", "left")
     extra = ["route_confidence"] if "route_confidence" in df.columns else []
