@@ -9,12 +9,14 @@ resolves by input order are broken by ``(model, budget, id)`` (T10).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.config import DIFFICULTY_TASK_BONUS, DIFFICULTY_TASK_BONUS_DEFAULT, Weights
 from gridstone.functions.budgets import repair_budget
-from gridstone.functions.features import surface_counts
+from gridstone.functions.features import SURFACE_COLUMNS, surface_counts
 from gridstone.functions.utility import row_utility, with_sample_id
 from gridstone.session import cut_lineage
 
@@ -33,29 +35,29 @@ def _tail(df: DataFrame, cols: tuple[str, ...]) -> list[Column]:
     return [F.col(c) for c in cols if c in df.columns]
 
 
-def best_joint(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None) -> DataFrame:
+def best_joint(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None, columns: Sequence[str] = ("query", "task_type")) -> DataFrame:
     """Best (model, budget) per sample by utility desc, correct desc, cost asc, latency asc.
 
-    With ``queries`` (sample_id, query, task_type) the ranked rows hold no text; it is joined to the winners."""
+    With ``queries`` (sample_id, query, task_type) the ranked rows hold no text; it is joined to the winners.  ``columns``
+    names what of ``queries`` is joined, for instance features in place of the text."""
     df = with_sample_id(df).withColumn("utility", row_utility(w))
     order = [-F.col("utility"), ~F.col("is_correct").cast("boolean"), F.col("cost_usd"), F.col("latency_s"),
              *_tail(df, (MODEL, BUDGET, "id"))]
     if queries is None:
         return top1(df, ["sample_id"], order, ["query", "task_type", MODEL, BUDGET])
     best = top1(df, ["sample_id"], order, [MODEL, BUDGET])
-    return best.join(queries.select("sample_id", "query", "task_type"), "sample_id").select("sample_id", "query", "task_type", MODEL, BUDGET)
+    return best.join(queries.select("sample_id", *columns), "sample_id").select("sample_id", *columns, MODEL, BUDGET)
 
 
-def best_per_model(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """Best budget per (sample, model); keeps ``target_utility``.  ``queries`` as in ``best_joint``."""
+def best_per_model(df: DataFrame, w: Weights | None = None, queries: DataFrame | None = None, columns: Sequence[str] = ("query", "task_type")) -> DataFrame:
+    """Best budget per (sample, model); keeps ``target_utility``.  ``queries`` and ``columns`` as in ``best_joint``."""
     df = with_sample_id(df).withColumn("target_utility", row_utility(w))
     order = [-F.col("target_utility"), ~F.col("is_correct").cast("boolean"), F.col("cost_usd"), F.col("latency_s"),
              F.col(BUDGET), *_tail(df, ("id",))]
     if queries is None:
         return top1(df, ["sample_id", MODEL], order, ["query", "task_type", BUDGET, "target_utility"])
     best = top1(df, ["sample_id", MODEL], order, [BUDGET, "target_utility"])
-    return best.join(queries.select("sample_id", "query", "task_type"), "sample_id").select(
-        "sample_id", MODEL, "query", "task_type", BUDGET, "target_utility")
+    return best.join(queries.select("sample_id", *columns), "sample_id").select("sample_id", MODEL, *columns, BUDGET, "target_utility")
 
 
 def text_key(col: str | Column) -> Column:
@@ -64,33 +66,40 @@ def text_key(col: str | Column) -> Column:
     return F.coalesce(F.md5(c), F.lit("null"))
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    """One text per key and task: the text crosses one combining aggregate, no sort, join or checkpoint key."""
-    return df.groupBy(text_key("query").alias("_key"), "task_type").agg(F.any_value("query").alias("query"))
+def _texts(df: DataFrame, columns: Sequence[str] = ("query",)) -> DataFrame:
+    """One text per key and task: the text crosses one combining aggregate, no sort, join or checkpoint key.  A frame
+    without texts holds their ``_key`` and ``columns`` that were made from them."""
+    key = text_key("query") if "query" in df.columns else F.col("_key")
+    return df.groupBy(key.alias("_key"), "task_type").agg(*[F.any_value(c).alias(c) for c in columns])
 
 
 def _with_text(narrow: DataFrame, texts: DataFrame) -> DataFrame:
-    renamed = texts.select(F.col("_key").alias("_k"), F.col("task_type").alias("_t"), "query")
-    return narrow.join(renamed, (F.col("_key") == F.col("_k")) & F.col("task_type").eqNullSafe(F.col("_t")), "left").drop("_key", "_k", "_t")
+    renamed = texts.withColumnsRenamed({"_key": "_k", "task_type": "_t"})
+    return narrow.join(renamed, (F.col("_key") == F.col("_k")) & F.col("task_type").eqNullSafe(F.col("_t")), "left").drop("_k", "_t")
 
 
-def best_budget(df: DataFrame, with_difficulty: bool = True) -> DataFrame:
+def best_budget(df: DataFrame, with_difficulty: bool = True, queries: DataFrame | None = None, columns: Sequence[str] = ("query",)) -> DataFrame:
     """Best budget per (query, task, model): correct desc, score desc, cost, latency, budget asc;
     repaired to a level (P6) and labelled with difficulty (W4).  Grouped, joined and ranked by text keys; the texts are
-    joined to the narrow result once."""
+    joined to the narrow result once.
+
+    A grid repeats each text in all its traces.  With ``queries`` (query, task_type) of the samples the grid's ``query``
+    holds text keys only, and a text is met once a sample.  ``queries`` may also hold ``_key``, task_type and ``columns`` made
+    from the texts, which then stand in the result, with ``_key``, in place of the text."""
     score = F.col("score").cast("double") if "score" in df.columns else F.col("is_correct").cast("double")
-    rows = df.select(text_key("query").alias("_key"), "task_type", MODEL, BUDGET, F.col("is_correct").cast("boolean").alias("_ok"), score.alias("_score"), "cost_usd", "latency_s",
+    key = text_key("query") if queries is None else F.col("query")
+    rows = df.select(key.alias("_key"), "task_type", MODEL, BUDGET, F.col("is_correct").cast("boolean").alias("_ok"), score.alias("_score"), "cost_usd", "latency_s",
                      *[c for c in ("id",) if c in df.columns])
     order = [~F.col("_ok"), -F.col("_score"), F.col("cost_usd"), F.col("latency_s"), F.col(BUDGET), *_tail(rows, ("id",))]
     out = top1(rows, ["_key", "task_type", MODEL], order, [BUDGET]).withColumn(BUDGET, repair_budget(F.col(BUDGET)))
-    texts = _texts(df)
+    texts = _texts(df if queries is None else queries, columns)
     if with_difficulty:
         scored = texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score"))
         labels = _difficulty(scored).withColumnsRenamed({"_key": "_dk", "task_type": "_dt"})
         same = (F.col("_key") == F.col("_dk")) & F.col("task_type").eqNullSafe(F.col("_dt"))
         out = out.join(labels, same, "left").drop("_dk", "_dt")
     named = _with_text(out, texts)
-    return named.select("query", "task_type", MODEL, BUDGET, *(["difficulty_score", "difficulty"] if with_difficulty else []))
+    return named.select(*([] if "query" in columns else ["_key"]), *columns, "task_type", MODEL, BUDGET, *(["difficulty_score", "difficulty"] if with_difficulty else []))
 
 
 # ---------------------------------------------------------------------------
@@ -98,7 +107,7 @@ def best_budget(df: DataFrame, with_difficulty: bool = True) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def difficulty_score(df: DataFrame) -> Column:
-    c = surface_counts("query")
+    c = surface_counts("query") if "query" in df.columns else {k: F.col(k) for k in SURFACE_COLUMNS}
     bonus = F.coalesce(
         F.create_map(*[x for k, v in DIFFICULTY_TASK_BONUS.items() for x in (F.lit(k), F.lit(v))])[F.col("task_type")],
         F.lit(DIFFICULTY_TASK_BONUS_DEFAULT),

@@ -46,14 +46,14 @@ FROM samples s JOIN thr t ON t.sample_id = s.sample_id JOIN joint j ON j.sample_
 def routed_requests(spark, sf):
     """A request stream routed row by row, with the routers that need no artifact; unknown routers and budgets are rejected with a reason."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    routed = ST.routed_stream(docs, "doc_id", lambda d: requests_of(samples_from_documents(d)), ST.Runtime(POOL))
-    return routed.select("sample_id", "route_model", "route_budget", "route_confidence", "routed_by", "fallback_triggered", "fallback_reason", "reject_reason")
+    keep = ["sample_id", "route_model", "route_budget", "route_confidence", "routed_by", "fallback_triggered", "fallback_reason", "reject_reason"]
+    return ST.routed_stream(docs, "doc_id", lambda d: requests_of(samples_from_documents(d)), ST.Runtime(POOL), keep=keep)
 
 
 def learned_requests(samples):
     """Every sample once by each learned router's name and once by the default."""
     names = F.array(F.lit("logreg_joint"), F.lit("mlp_factorized"), F.lit(None))
-    return samples.select("doc_id", "sample_id", "query", "task_type", F.lit(True).alias("use_router"), F.explode(names).alias("router_name"),
+    return samples.select("*", F.lit(True).alias("use_router"), F.explode(names).alias("router_name"),
                           F.lit(None).cast("string").alias("model_id"), F.lit(None).cast("int").alias("budget"))
 
 
@@ -62,10 +62,14 @@ def learned_routed_requests(spark, sf):
     """X1 with saved and reloaded routers applied inside the stream; embedding features come by a stream-static join."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     vectors = table(spark, sf, "embeddings").groupBy(F.col("vec_id").alias("doc_id")).agg(F.min("embedding").alias("embedding"))
-    features = lambda d: FT.with_embedding_features(learned_requests(samples_from_documents(d)), vectors, "doc_id")
+
+    def features(d):
+        # features are made before the join and the repeats, so texts are in neither
+        made = FT.feature_frame(samples_from_documents(d).select("doc_id", "sample_id", "query", "task_type")).drop("query")
+        return learned_requests(FT.with_embedding_features(made, vectors, "doc_id"))
+
     runtime = ST.Runtime(POOL, ST.load_artifacts(spark, models_folder(spark, sf)))
-    routed = ST.routed_stream(docs, "doc_id", features, runtime)
-    return routed.select("sample_id", "routed_by", "route_model", "route_budget", "route_confidence", "fallback_triggered", "fallback_reason")
+    return ST.routed_stream(docs, "doc_id", features, runtime, keep=["sample_id", "routed_by", "route_model", "route_budget", "route_confidence", "fallback_triggered", "fallback_reason"])
 
 
 @register("graded_responses", """SELECT id, sample_id, selected_model, selected_budget, cost_usd, _g_score AS score, _g_ok AS is_correct, _g_extracted AS extracted_answer,
