@@ -132,12 +132,47 @@ def poisson_draw(u: Column, mean: Column) -> Column:
     return F.when(mean <= EXACT_MEAN, exact).otherwise(near)
 
 
-def bootstrap_weights(df: DataFrame, value: str, by: list[str], b: int, seed: int) -> DataFrame:
+def poisson1_thresholds() -> list[float]:
+    """CDF of Poisson(1) at 0, 1, ... until it no longer grows in double precision: no weight is cut off."""
+    out, p, c, k = [], math.exp(-1.0), 0.0, 0
+    while c + p > c:
+        c += p
+        out.append(c)
+        k += 1
+        p = p / k
+    return out
+
+
+def poisson1_weight(digest: Column) -> Column:
+    """The Poisson(1) variate of the uniform number that the first 13 hex digits of ``digest`` stand for: that number is at
+    least a threshold if the digits are, as text, at least the threshold's own."""
+    steps = [f"{math.ceil(t * 16**13):013x}" for t in poisson1_thresholds() if t < 1.0]
+    weight = F.when(digest < steps[0], 0)
+    for k, step in enumerate(steps[1:], 1):
+        weight = weight.when(digest < step, k)
+    return weight.otherwise(len(steps))
+
+
+def _row_weights(df: DataFrame, value: str, by: list[str], b: int, seed: int, key: str) -> DataFrame:
+    """As ``bootstrap_weights``, from a Poisson(1) draw of each row and replicate, by the hash of (seed, replicate, key).  Draws
+    are added up in every task before the shuffle."""
+    rows = df.select(*by, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_x")).where("_x is not null")
+    each = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_k")))
+    drawn = each.select(*by, "_x", "_rep", digest.alias("_d")).select(*by, "_x", "_rep", poisson1_weight(F.col("_d")).alias("_w"))
+    return drawn.groupBy(*by, "_x", "_rep").agg(F.sum("_w").alias("_w"))
+
+
+def bootstrap_weights(df: DataFrame, value: str, by: list[str], b: int, seed: int, key: str | None = None) -> DataFrame:
     """``by, _x, _rep, _w``: how often each distinct value of a group is drawn in each of ``b`` replicates.
 
+    With ``key`` every row is drawn on its own, by that column.  Otherwise:
+
     The rows that share a value are drawn together: a value that ``n`` rows hold gets one Poisson(n) number, from the hash of
     (seed, replicate, group, value), in place of a Poisson(1) number for each row.  The work is ``b`` times the distinct
     values, whatever the number of rows."""
+    if key is not None:
+        return _row_weights(df, value, by, b, seed, key)
     counts = df.select(*by, F.col(value).cast("double").alias("_x")).where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     each = counts.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     parts = [F.lit(str(seed)), F.col("_rep").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.col("_x").cast("string")]
@@ -146,12 +181,12 @@ def bootstrap_weights(df: DataFrame, value: str, by: list[str], b: int, seed: in
     return each.select(*by, "_x", "_rep", poisson_draw(u, F.col("_n")).alias("_w"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, by: list[str], b: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Per-group bootstrap CI of a mean, by Poisson weights of the group's distinct values.  Only ``b`` means per
-    group are collected; a replicate of total weight 0 (probability e^-n) is left out."""
+def bootstrap_ci(df: DataFrame, value: str, by: list[str], b: int = 1000, confidence: float = 0.95, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Per-group bootstrap CI of a mean, by Poisson weights of the group's rows (``key``: their id), or of its distinct
+    values without a key.  Only ``b`` means per group are collected; a replicate of total weight 0 (probability e^-n) is left out."""
     alpha = max(0.0, min(1.0, 1.0 - confidence))
     lo, hi = int(math.floor((alpha / 2.0) * (b - 1))), int(math.ceil((1.0 - alpha / 2.0) * (b - 1)))
-    weights = bootstrap_weights(df, value, by, b, seed)
+    weights = bootstrap_weights(df, value, by, b, seed, key)
     means = weights.groupBy(*by, "_rep").agg(F.try_divide(total(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_m")).where("_m is not null")
     ci = means.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
     whole = df.select(*by, F.col(value).cast("double").alias("_x")).where("_x is not null").groupBy(*by).agg(mean("_x").alias("mean"))

@@ -258,32 +258,24 @@ def evaluation_bundle(spark, sf):
 BOOT_B = 1000
 
 
-def _ratio(top: str, bottom: str, x: str) -> str:
-    horner = lambda cs: "(" * (len(cs) - 1) + cs[0] + "".join(f" * {x} + {c})" for c in cs[1:])
-    return f"({horner(top.split())} / {horner(bottom.split())})"
+def _poisson_sql(u: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {u} >= {t!r} THEN 1 ELSE 0 END" for t in RE.poisson1_thresholds()) + ")"
 
 
-#: Quantile coefficients written out here on their own.
-_MIDDLE = _ratio("-3.969683028665376e+01 2.209460984245205e+02 -2.759285104469687e+02 1.383577518672690e+02 -3.066479806614716e+01 2.506628277459239e+00",
-                 "-5.447609879822406e+01 1.615858368580409e+02 -1.556989798598866e+02 6.680131188771972e+01 -1.328068155288572e+01 1.0", "((u - 0.5) * (u - 0.5))")
-_TAIL = _ratio("-7.784894002430293e-03 -3.223964580411365e-01 -2.400758277161838e+00 -2.549732539343734e+00 4.374664141464968e+00 2.938163982698783e+00",
-               "7.784695709041462e-03 3.224671290700398e-01 2.445134137142996e+00 3.754408661907416e+00 1.0", "sqrt(-2.0 * ln(least(u, 1.0 - u)))")
+BOOT_U = "CAST(('0x' || substr(md5(concat_ws(':', '0', CAST(rep AS VARCHAR), k)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
 BOOT_CTES = (
-    ("bx", "SELECT selected_model, CAST(is_correct AS DOUBLE) AS v, count(*)::DOUBLE AS n FROM trace_log WHERE is_correct IS NOT NULL GROUP BY ALL"),
-    ("br", f"""SELECT bx.*, rep, (CAST('0x' || substr(md5(concat_ws(':', '0', CAST(rep AS VARCHAR), selected_model, CAST(v AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE)
-  / 4503599627370496::DOUBLE AS u FROM bx, range(0, {BOOT_B}) t(rep)"""),
-    ("bz", f"SELECT *, CASE WHEN u < 0.02425 THEN {_TAIL} WHEN u > 1.0 - 0.02425 THEN -{_TAIL} ELSE (u - 0.5) * {_MIDDLE} END AS z FROM br"),
-    ("bw", """SELECT *, CASE WHEN n <= 16 THEN len(list_filter(range(0, 96), lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-n) * pow(n, j) / gamma(j + 1.0)))))
-  ELSE greatest(floor(n + sqrt(n) * z + (z * z - 1.0) / 6.0 + 0.5), 0) END AS wt FROM bz"""),
+    ("bx", "SELECT selected_model, CAST(id AS VARCHAR) AS k, CAST(is_correct AS DOUBLE) AS v FROM trace_log WHERE is_correct IS NOT NULL"),
+    ("br", f"SELECT bx.*, rep FROM bx, range(0, {BOOT_B}) t(rep)"),
+    ("bw", f"SELECT *, {_poisson_sql('u')} AS wt FROM (SELECT *, {BOOT_U} AS u FROM br)"),
     ("bm", "SELECT selected_model, rep, sum(wt * v) / sum(wt) AS mm FROM bw GROUP BY selected_model, rep HAVING sum(wt) > 0"),
     ("bc", "SELECT selected_model, list_sort(list(mm)) AS ms FROM bm GROUP BY selected_model"),
 )
 BOOT_SQL = f"""SELECT a.selected_model, a.mean, list_extract(bc.ms, {int(__import__('math').floor(0.025 * (BOOT_B - 1))) + 1}) AS lower,
   list_extract(bc.ms, {int(__import__('math').ceil(0.975 * (BOOT_B - 1))) + 1}) AS upper
-FROM (SELECT selected_model, sum(v * n) / sum(n) AS mean FROM bx GROUP BY selected_model) a LEFT JOIN bc ON a.selected_model = bc.selected_model"""
+FROM (SELECT selected_model, avg(v) AS mean FROM bx GROUP BY selected_model) a LEFT JOIN bc ON a.selected_model = bc.selected_model"""
 
 
 @register("bootstrap_accuracy", BOOT_SQL, ["mean", "lower", "upper"], ctes=BOOT_CTES)
 def bootstrap_accuracy(spark, sf):
-    """Bootstrap CI of accuracy per model over the whole trace log (B = 1000)."""
-    return RE.bootstrap_ci(trace_log_view(spark, sf), "is_correct", ["selected_model"], b=BOOT_B)
+    """Bootstrap CI of accuracy per model over the whole trace log (B = 1000), each trace drawn in each replicate."""
+    return RE.bootstrap_ci(trace_log_view(spark, sf), "is_correct", ["selected_model"], b=BOOT_B, key="id")
