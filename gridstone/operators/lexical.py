@@ -45,16 +45,25 @@ def terms_of(text: Column, stop_words: Sequence[str]) -> Column:
     """The text's tokens without stop words, and the pairs of neighbours among them."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     kept = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
-    ends = F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))
-    pairs = F.transform(F.filter(F.arrays_zip(kept.alias("a"), ends.alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
-    return F.concat(kept, pairs)
+
+    def listed(k: Column) -> Column:
+        n = F.greatest(F.size(k) - 1, F.lit(0))
+        return F.concat(k, F.zip_with(F.slice(k, 1, n), F.slice(k, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return F.transform(F.array(kept), listed)[0]  # inside, the text is taken apart once
+
+
+def _known(terms: Column, names: Sequence[str]) -> Column:
+    """``terms`` without those that a model does not hold, so that tasks in Python get no others."""
+    return F.filter(terms, lambda t: t.isin(*names)) if names else F.slice(terms, 1, 0)
 
 
 def vocabulary(listed: DataFrame, terms: int = TERMS) -> DataFrame:
     """``term, n, df`` of the ``terms`` most frequent terms (ties: the smaller term); ``listed``: rows with ``terms``."""
-    every = listed.select(F.explode("terms").alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))
-    once = listed.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))
-    counts = every.unionByName(once).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # in a row's sorted terms the first of each run stands for the row, so one pass gives both counts
+    first = lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(s, i - 1) != t)).cast("int").alias("first")))
+    every = listed.select(F.explode(F.transform(F.array(F.sort_array("terms")), first)[0]).alias("t"))
+    counts = every.groupBy("t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("df"))
     return counts.orderBy(F.desc("n"), "term").limit(terms)
 
 
@@ -94,7 +103,7 @@ def fit(texts: DataFrame, text: str = "text", dim: int = DIM, terms: int = TERMS
             [pa.array(np.concatenate((i, np.full(len(sums), -1))), pa.int32()), pa.array(np.concatenate((j, np.arange(len(sums)))), pa.int32()), pa.array(np.concatenate((cells[i, j], sums)))],
             names=["i", "j", "v"])
 
-    added = listed.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(total("v").alias("v")).collect()
+    added = listed.select(_known(F.col("terms"), names).alias("terms")).mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(total("v").alias("v")).collect()
     sums, cells = np.zeros(len(names)), np.zeros((len(names), len(names)))
     for r in added:
         if r.i < 0:
@@ -115,7 +124,7 @@ def transform(model: Lexical, df: DataFrame, text: str = "text", prefix: str = "
     """``df`` with ``dim`` columns of the reduced vectors, zeros beyond the model's rank."""
     place, columns = {t: i for i, t in enumerate(model.terms)}, [f"{prefix}{i:02d}" for i in range(model.dim)]
     kept = [c for c in df.columns if c not in columns]
-    packed = df.select(F.struct(*kept).alias("_row"), terms_of(F.col(text), model.stop_words).alias("_terms"))
+    packed = df.select(F.struct(*kept).alias("_row"), _known(terms_of(F.col(text), model.stop_words), model.terms).alias("_terms"))
 
     def reduce(batches):
         for batch in batches:
