@@ -14,7 +14,7 @@ from gridstone.plans.catalog import register
 from gridstone.plans.queries_core import POLICY_CTES
 from gridstone.operators import selection as SE
 from gridstone.plans.queries_more import (
-    FIRSTQ, JOINT_SQL, MODEL_IDS, POOL, PRIM_CTE, ROUTER_SUMMARY, THRESH_SQL, _replay_sql, _som, sample_queries, split_grid)
+    FIRSTQ, JOINT_SQL, MODEL_IDS, POOL, PRIM_CTE, ROUTER_SUMMARY, THRESH_SQL, _replay_sql, _som, rule_decisions, sample_queries, split_grid)
 from gridstone.plans.queries_text import FAIL_CTES
 from gridstone.plans.sql_values import ABLATION_GROUPS
 from gridstone.plans.queries_core import REGISTRY_BASELINE_SQL
@@ -109,20 +109,6 @@ RULE_CTES = (FIRSTQ, ("thr", THRESH_SQL), ("joint", JOINT_SQL), PRIM_CTE, (
 UNION ALL SELECT 'joint_rule', sample_id, route_model, route_budget, pconf, false FROM prim"""), *selection_ctes("joint_rule", RULE_CANDIDATES))
 
 
-def rule_decisions(spark, sf):
-    """Narrow decisions of both rules, written once: the counts of a text are made in one pass and serve both rules, and
-    texts are not routed again for every split, sweep and fallback."""
-    counted = FT.with_counts(sample_queries(spark, sf), ["sample_id", "task_type"])
-    counts = {k: F.col("_n_" + k) for k in FT.COUNT_COLUMNS}
-    probe = {c: e for c, e in zip([*FT.SURFACE_COLUMNS, *FT.PROBE_COLUMNS], FT.features_from_counts())}
-    one = R.route_threshold(counted, POOL, difficulty=probe["cheap_probe_difficulty"]).withColumnsRenamed(
-        {"route_model": "_tm", "route_budget": "_tb", "route_confidence": "_tc", "route_difficulty": "_td", "estimated_accuracy": "_ta", "estimated_cost": "_te", "estimated_latency": "_tl"})
-    two = R.route_joint(one, MODEL_IDS, difficulty=FT.heuristic_difficulty(counts=counts)).withColumn("_jc", probe["cheap_probe_confidence"])
-    rule = lambda name, m, b, c: F.struct(F.lit(name).alias("router_name"), F.col(m).alias("route_model"), F.col(b).cast("int").alias("route_budget"), F.col(c).cast("double").alias("route_confidence"))
-    both = two.select("sample_id", F.explode(F.array(rule("threshold", "_tm", "_tb", "_tc"), rule("joint_rule", "route_model", "route_budget", "_jc"))).alias("d"))
-    return cut_lineage(both.select("d.router_name", "sample_id", "d.route_model", "d.route_budget", "d.route_confidence", F.lit(False).alias("fallback_triggered")))
-
-
 def _official(spark, sf, decisions, primary, candidates):
     """The selection table (written: it is read several times) and all routers' replayed test rows."""
     selection = cut_lineage(SE.select_on_dev(split_grid(spark, sf, "dev"), decisions, primary, candidates))
