@@ -67,15 +67,29 @@ def text_key(col: str | Column) -> Column:
 
 
 def _texts(df: DataFrame, columns: Sequence[str] = ("query",)) -> DataFrame:
-    """One text per key and task: the text crosses one combining aggregate, no sort, join or checkpoint key.  A frame
-    without texts holds their ``_key`` and ``columns`` that were made from them."""
+    """One text per key and task: the text crosses one combining aggregate, no join or checkpoint key.  A frame
+    without texts holds their ``_key`` and ``columns`` that were made from them.  Key and task are grouped as the one column
+    that ``_with_text`` joins on, so a text stays where the aggregate has put it."""
     key = text_key("query") if "query" in df.columns else F.col("_key")
-    return df.groupBy(key.alias("_key"), "task_type").agg(*[F.any_value(c).alias(c) for c in columns])
+    made = df.select(key.alias("_key"), "task_type", *columns)
+    return made.groupBy(_group().alias("_group")).agg(*[F.any_value(c).alias(c) for c in ("_key", "task_type", *columns)])
+
+
+def _group() -> Column:
+    """Key and task in one column: keys hold no colon, and a task that is null adds nothing."""
+    return F.concat("_key", F.coalesce(F.concat(F.lit(":"), F.col("task_type").cast("string")), F.lit("")))
 
 
 def _with_text(narrow: DataFrame, texts: DataFrame) -> DataFrame:
-    renamed = texts.withColumnsRenamed({"_key": "_k", "task_type": "_t"})
-    return narrow.join(renamed, (F.col("_key") == F.col("_k")) & F.col("task_type").eqNullSafe(F.col("_t")), "left").drop("_k", "_t")
+    renamed = texts.drop("_key", "task_type").withColumnRenamed("_group", "_g")
+    return narrow.withColumn("_group", _group()).join(renamed, F.col("_group") == F.col("_g"), "left").drop("_group", "_g")
+
+
+def _scored(queries: DataFrame) -> DataFrame:
+    """``_key, task_type, difficulty_score`` once per key and task, scored in every row: no text is shuffled."""
+    key = text_key("query") if "query" in queries.columns else F.col("_key")
+    rows = queries.select(key.alias("_key"), "task_type", difficulty_score(queries).alias("difficulty_score"))
+    return _texts(rows, ("difficulty_score",)).select("_key", "task_type", "difficulty_score")
 
 
 def best_budget(df: DataFrame, with_difficulty: bool = True, queries: DataFrame | None = None, columns: Sequence[str] = ("query",)) -> DataFrame:
@@ -94,7 +108,8 @@ def best_budget(df: DataFrame, with_difficulty: bool = True, queries: DataFrame
     out = top1(rows, ["_key", "task_type", MODEL], order, [BUDGET]).withColumn(BUDGET, repair_budget(F.col(BUDGET)))
     texts = _texts(df if queries is None else queries, columns)
     if with_difficulty:
-        scored = texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score"))
+        # a grid repeats its texts, so they are scored once they are grouped; samples are scored row by row
+        scored = _scored(queries) if queries is not None else texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score"))
         labels = _difficulty(scored).withColumnsRenamed({"_key": "_dk", "task_type": "_dt"})
         same = (F.col("_key") == F.col("_dk")) & F.col("task_type").eqNullSafe(F.col("_dt"))
         out = out.join(labels, same, "left").drop("_dk", "_dt")
@@ -150,9 +165,7 @@ def difficulty_labels(queries: DataFrame) -> DataFrame:
     easy if 3(rn−1) < n−1, medium if 3(rn−1) < 2(n−1), else hard.  Equal scores
     are ranked by the text's key, then the task.
     """
-    texts = _texts(queries)
-    labels = _difficulty(texts.select("_key", "task_type", difficulty_score(texts).alias("difficulty_score")))
-    return _with_text(labels, texts).select("query", "task_type", "difficulty_score", "difficulty")
+    return _with_text(_difficulty(_scored(queries)), _texts(queries)).select("query", "task_type", "difficulty_score", "difficulty")
 
 
 def _difficulty(scored: DataFrame) -> DataFrame:
