@@ -24,6 +24,9 @@ from gridstone.session import shared_path
 
 REQUEST_FIELDS = ["sample_id", "selected_model", "selected_budget", "task_type"]
 SLICES = 4
+#: Bytes of a row group in the landing folder: a reader deals out whole row groups, and one of the usual 128 MB would hold a slice's
+#: file, so that a few tasks did all the work on its texts.
+LANDING_GROUP = 4 * 1024 * 1024
 
 
 def with_request_key(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -62,7 +65,7 @@ def replay(table: DataFrame, by: str, name: str, run: Callable[[DataFrame], None
         fits = fits if high is None else fits & (F.col(by) < F.lit(high))
         parts.append(table.where(fits if low is not None else fits | F.col(by).isNull()))
     for part in [*parts, *([last] if last is not None else [])]:
-        part.write.mode("append").parquet(landing)
+        part.write.mode("append").option("parquet.block.size", LANDING_GROUP).parquet(landing)
         run(spark.readStream.schema(table.schema).parquet(landing))
 
 
