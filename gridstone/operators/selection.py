@@ -84,6 +84,10 @@ def choose_routers(dev_rows: DataFrame, candidates: Sequence[str]) -> DataFrame:
 def select_on_dev(dev: DataFrame, decisions: DataFrame, primary: str, candidates: Sequence[str], fallback: str = "threshold",
                   thresholds: Sequence[float] = THRESHOLD_SWEEP, benchmark: str = "task_type", w: Weights | None = None) -> DataFrame:
     """B14, first half: the selection table (one row per benchmark) from the dev grid and all routers' decisions."""
+    # the winners' rows are summed up and dropped: each trace is met once a router and threshold, with what the sums need only
+    needed = ("sample_id", "id", benchmark, "selected_model", "selected_budget", *_ATTRS, "is_correct", "cost_usd", "latency_s")
+    dev = with_sample_id(dev)
+    dev = dev.select(*[c for c in dict.fromkeys(needed) if c in dev.columns])
     plain = decisions.select(*DECISION, F.lit(None).cast("double").alias("threshold"))
     every = plain.unionByName(_uncertain(decisions, primary, fallback, thresholds))
     return choose_routers(router_rows(replayed(dev, every), benchmark, w), candidates)
