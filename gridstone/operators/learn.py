@@ -52,6 +52,16 @@ def balanced_weights(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
     return df.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(n)) / (F.lit(float(max(k, 1))) * F.col("_nc"))), n, k
 
 
+#: A training task has so many rows at least, if there are more cores than tasks, and some so many at most.
+FEW_ROWS, MANY_ROWS = 1_000, 50_000
+
+
+def training_tasks(n: int, cores: int) -> int:
+    """Over how many tasks ``n`` rows to train on are dealt: each pass of a fit takes long by its work, not its bytes, so the
+    count must not be left to a coalescing by bytes, which gives few tasks; and no task's share grows with the table."""
+    return max(1, min(cores, n // FEW_ROWS), -(-n // MANY_ROWS))
+
+
 def _feature_stages(label: str, cats: list[str], numeric: list[str]) -> list:
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_ohe" for c in cats], handleInvalid="keep")
@@ -74,7 +84,8 @@ def train_classifier(df: DataFrame, label: str, cats: list[str], kind: str = "lo
         raise ValueError("no labelled rows to train on")
     # the same rows in the same partitions and order, so that a seed gives the same model
     place = [c for c in data.columns if c != "_nc"]
-    data = cut_lineage(data.repartition(F.xxhash64(*place)).sortWithinPartitions(*place))
+    tasks = training_tasks(n, df.sparkSession.sparkContext.defaultParallelism)
+    data = cut_lineage(data.repartition(tasks, F.xxhash64(*place)).sortWithinPartitions(*place))
     prepared = Pipeline(stages=_feature_stages(label, cats, numeric)).fit(data)
     if k == 1:
         last = SQLTransformer(statement="SELECT *, CAST(0 AS DOUBLE) AS prediction FROM __THIS__")
